@@ -58,6 +58,12 @@ class Base(Roles):
             "p", "days", "label", "target", calendar_days("estimated_at", "approved_at").alias("promised_lead_days"))
 
 
+def _rounded(c, digits: int):
+    """Half away from zero on the scaled value, the same arithmetic as the SQL side."""
+    scale = F.lit(float(10 ** digits))
+    return F.when(F.abs(c) < 1e11, F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale).otherwise(c) + F.lit(0.0)
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Report form: whole numbers as BIGINT, doubles rounded."""
     out = []
@@ -66,7 +72,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = _rounded(c.cast("double"), digits)
         out.append(c.alias(f.name))
     return df.select(*out)
 

@@ -62,7 +62,7 @@ VIEWS = {
         CASE WHEN {_K} % 90 = 13 THEN 'canceled' WHEN {_K} % 40 = 7 THEN 'shipped' ELSE 'delivered' END AS order_status,
         o_orderpriority AS priority FROM orders""",
     "r_items": """SELECT l_orderkey AS order_id, l_linenumber AS item_seq, l_partkey AS product_id, l_suppkey AS seller_id,
-        l_extendedprice AS price, round(l_extendedprice * l_tax, 2) AS freight_value, l_shipdate AS shipping_limit
+        l_extendedprice AS price, floor(l_extendedprice * l_tax * 100 + 0.5::DOUBLE) / 100::DOUBLE AS freight_value, l_shipdate AS shipping_limit
         FROM lineitem""",
     "r_customers": """SELECT c_custkey AS customer_id, c_custkey AS customer_unique_id, c_nationkey AS customer_zip,
         n_name AS customer_city, r_name AS customer_state FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
@@ -74,7 +74,7 @@ VIEWS = {
         1 + p_size % 5 AS height_cm, 1 + p_size % 3 AS width_cm, (1 + p_partkey % 5)::INTEGER AS photos FROM part""",
     "r_translation": "SELECT DISTINCT p_type AS category, lower(p_type) AS category_english FROM part WHERE p_type <> 'PROMO'",
     "r_payments": """SELECT l_orderkey AS order_id, l_linenumber AS payment_seq, l_returnflag || l_linestatus AS payment_type,
-        round(l_extendedprice * (1 - l_discount), 2) AS payment_value, 1 + l_linenumber % 6 AS installments FROM lineitem""",
+        floor(l_extendedprice * (1 - l_discount) * 100 + 0.5::DOUBLE) / 100::DOUBLE AS payment_value, 1 + l_linenumber % 6 AS installments FROM lineitem""",
     "r_reviews": """SELECT order_id AS review_id, order_id, (1 + (order_id * 7) % 5)::INTEGER AS score,
         CASE WHEN order_id % 3 = 0 THEN 'text' END AS comment, delivered_at + to_days(2) AS answered_at
         FROM r_orders WHERE order_id % 11 <> 0""",

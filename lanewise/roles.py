@@ -43,7 +43,7 @@ class Roles:
         return self.raw("lineitem").selectExpr(
             "l_orderkey AS order_id", "l_linenumber AS item_seq", "l_partkey AS product_id",
             "l_suppkey AS seller_id", "l_extendedprice AS price",
-            "round(l_extendedprice * l_tax, 2) AS freight_value", "l_shipdate AS shipping_limit")
+            "floor(l_extendedprice * l_tax * 100 + 0.5D) / 100D AS freight_value", "l_shipdate AS shipping_limit")
 
     def _located(self, table: str, key: str, nation: str, prefix: str, extra=()) -> DataFrame:
         place = (self.raw("nation").join(F.broadcast(self.raw("region")),
@@ -81,7 +81,7 @@ class Roles:
         return self.raw("lineitem").selectExpr(
             "l_orderkey AS order_id", "l_linenumber AS payment_seq",
             "concat(l_returnflag, l_linestatus) AS payment_type",
-            "round(l_extendedprice * (1 - l_discount), 2) AS payment_value",
+            "floor(l_extendedprice * (1 - l_discount) * 100 + 0.5D) / 100D AS payment_value",
             "1 + l_linenumber % 6 AS installments")
 
     @cached_property
