@@ -243,8 +243,8 @@ def _(t):
     return wide.unpivot("customer_state", ["order_value", "freight_value"], "measure", "value")
 
 
-@query("calendar_spine", """SELECT d::DATE AS day, coalesce(c, 0)::BIGINT AS orders FROM (SELECT unnest(generate_series((SELECT min(d) FROM f_daily),
-    (SELECT max(d) FROM f_daily), INTERVAL 1 DAY)) AS d) s LEFT JOIN f_daily f ON f.d = s.d::DATE""".replace("SELECT d::DATE", "SELECT s.d::DATE"))
+@query("calendar_spine", """WITH span AS (SELECT unnest(generate_series((SELECT min(d) FROM f_daily), (SELECT max(d) FROM f_daily), INTERVAL 1 DAY))::DATE AS day)
+    SELECT day, coalesce(c, 0)::BIGINT AS orders FROM span LEFT JOIN f_daily ON d = day""")
 def _(t):
     daily = t.orders.where("approved_at IS NOT NULL").groupBy(day("approved_at").alias("day")).agg(N.alias("orders"))
     return reshape.calendar_spine(daily, "day", ["orders"])
