@@ -7,9 +7,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.nulls import ratio
 from ..functions.tails import t_ppf
+from ..session import shared_folder
 from .metrics import ranking_scores, score_curve
 from .ordering import ordered_blocks
 
@@ -44,8 +46,8 @@ def draw_counts(spark: SparkSession, strata: Sequence[int], draws: int, seed: in
 
 def _indexed(df: DataFrame, unit: str, units: Sequence) -> DataFrame:
     """Adds ``u``, the position of the unit, through a lookup as long as the unit list."""
-    look = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(units)], df.select(F.col(unit).alias("_unit")).schema.add("u", "int"))
-    return df.join(F.broadcast(look), F.col(unit) == F.col("_unit")).drop("_unit")
+    look = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(units)], df.select(F.col(unit).alias("_unit_key")).schema.add("u", T.IntegerType()))
+    return df.join(F.broadcast(look), F.col(unit) == F.col("_unit_key")).drop("_unit_key")
 
 
 def bootstrap_rmse(df: DataFrame, unit: str, draws: int = 2000, seed: int = 42, actual: str = "target",
@@ -117,7 +119,12 @@ def bootstrap_ap(df: DataFrame, unit: str, draws: int = 2000, seed: int = 42, sc
 
 
 def bootstrap_vs_leader(df: DataFrame, unit: str, task: str, draws: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Point score, difference to the leader, percentile interval and tied flag per model."""
+    """Point score, difference to the leader, percentile interval and tied flag per model.
+
+    The scored rows are read several times, so their lineage is cut once.
+    """
+    shared_folder(df.sparkSession)
+    df = df.select("model", unit, "p", "days", "label", "target").checkpoint()
     if task == "classification":
         point = ranking_scores(score_curve(df, ["model"]), ["model"]).select("model", F.col("avg_precision").alias("score"))
         draws_df, best = bootstrap_ap(df, unit, draws, seed), F.max_by("model", F.struct("score", "model"))
