@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
 from ..functions.scalars import clip_to_waiting_period
+from ..session import shared_folder
 from . import metrics
 from .design import Design, fit_design
 from .ordering import global_rank, hash_order, ordered_blocks
@@ -55,11 +56,12 @@ class Fitted:
 
     def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """``keep`` columns plus ``p`` (late probability) or ``days`` (clipped to the waiting period)."""
-        vec = vectorise(self.design, df, keep)
-        out = self.model.transform(vec)
+        return self.score_vectors(vectorise(self.design, df, keep), keep)
+
+    def score_vectors(self, vectors: DataFrame, keep: Sequence[str]) -> DataFrame:
+        out = self.model.transform(vectors)
         if self.spec.task == "classification":
-            p = vector_to_array("probability")[1]
-            return out.select(*keep, p.alias("p"))
+            return out.select(*keep, vector_to_array("probability")[1].alias("p"))
         if "promised_lead_days" in keep:
             return out.select(*keep, clip_to_waiting_period("prediction", "promised_lead_days", 45).alias("days"))
         return out.select(*keep, F.col("prediction").alias("days"))
@@ -76,11 +78,18 @@ def vectorise(design: Design, df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def fit(spec: Spec, train: DataFrame) -> Fitted:
     """Design and model from the training rows only."""
-    design = fit_design(train, spec.num_cols, spec.cat_cols, scale=spec.scale, **(spec.options or {}))
-    rows = vectorise(design, train, ["y"])
+    design = build_design(spec, train)
+    return fit_vectors(spec, design, vectorise(design, train, ["y"]))
+
+
+def build_design(spec: Spec, train: DataFrame) -> Design:
+    return fit_design(train, spec.num_cols, spec.cat_cols, scale=spec.scale, **(spec.options or {}))
+
+
+def fit_vectors(spec: Spec, design: Design, rows: DataFrame) -> Fitted:
     est = spec.estimator().setFeaturesCol("features").setLabelCol("y")
     if spec.weight == "balanced":
-        neg, pos = train.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+        neg, pos = rows.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
         rows = rows.withColumn("w", F.when(F.col("y") == 1, F.lit(neg / max(pos, 1))).otherwise(F.lit(1.0)))
         est = est.setWeightCol("w")
     return Fitted(spec, design, est.fit(rows))
@@ -151,20 +160,44 @@ def fold_parts(folds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return part.where("role = 'train'"), part.where("role = 'valid'")
 
 
-def fold_scores(spec: Spec, folds: DataFrame, n_folds: int) -> DataFrame:
-    """Validation scores of every fold with the outcome, as one table."""
-    def one(i):
-        train, valid = fold_parts(folds, i)
-        keep = ["order_id", "fold", "y", "label", "promised_lead_days"]
-        return fit(spec, train).score(valid, keep)
+FOLD_KEEP = ["order_id", "fold", "y", "label", "promised_lead_days"]
+
+
+def fold_scores(specs: Sequence[Spec], folds: DataFrame, n_folds: int) -> DataFrame:
+    """Validation scores of every model and fold with the outcome, as one table.
+
+    Models with the same inputs share the encoded rows of a fold, which stay cached
+    (and recomputable) while the candidates are fitted.
+    """
     from .audits import union_all
-    return union_all(in_parallel(one, range(1, n_folds + 1))).withColumn("model", F.lit(spec.name))
+    groups: dict[tuple, list[Spec]] = {}
+    for s in specs:
+        groups.setdefault((tuple(s.num_cols), tuple(s.cat_cols), s.scale, repr(s.options)), []).append(s)
+
+    def prepare(job):
+        key, i = job
+        train, valid = fold_parts(folds, i)
+        d = build_design(groups[key][0], train)
+        return key, d, vectorise(d, train, ["y"]).persist(), vectorise(d, valid, FOLD_KEEP).persist()
+
+    ready = in_parallel(prepare, [(k, i) for k in groups for i in range(1, n_folds + 1)])
+
+    def one(job):
+        spec, (_, d, train, valid) = job
+        return fit_vectors(spec, d, train).score_vectors(valid, FOLD_KEEP).withColumn("model", F.lit(spec.name))
+
+    shared_folder(folds.sparkSession)
+    # Metrics read the scores more than once: keep them, not the model applications.
+    out = union_all(in_parallel(one, [(s, r) for r in ready for s in groups[r[0]]])).checkpoint()
+    for _, _, train, valid in ready:
+        train.unpersist()
+        valid.unpersist()
+    return out
 
 
 def cv_metrics(specs: Sequence[Spec], folds: DataFrame, n_folds: int) -> DataFrame:
     """(model, fold, metric...): one ranking job for all models and folds together."""
-    from .audits import union_all
-    scored = union_all([fold_scores(s, folds, n_folds) for s in specs])
+    scored = fold_scores(specs, folds, n_folds)
     if specs[0].task == "classification":
         return metrics.classification_metrics(scored.withColumn("label", F.col("y").cast("int")), ["model", "fold"])
     return metrics.regression_metrics(scored.withColumn("target", F.col("y")), ["model", "fold"])
@@ -173,7 +206,7 @@ def cv_metrics(specs: Sequence[Spec], folds: DataFrame, n_folds: int) -> DataFra
 def out_of_fold(spec: Spec, folds: DataFrame, rows: DataFrame, n_folds: int) -> DataFrame:
     """Validation-fold score per row; rows outside every validation block stay missing."""
     score = "p" if spec.task == "classification" else "days"
-    return rows.select("order_id").join(fold_scores(spec, folds, n_folds).select("order_id", "fold", score), "order_id", "left")
+    return rows.select("order_id").join(fold_scores([spec], folds, n_folds).select("order_id", "fold", score), "order_id", "left")
 
 
 # ---- searches ----

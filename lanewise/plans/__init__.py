@@ -10,4 +10,4 @@ def load_catalog():
     return catalog.QUERIES, catalog.ORACLES
 
 
-MODULES = ["tables_and_joins", "features_and_cubes", "labels_and_audits", "metrics_and_policy", "statistics_and_models"]
+MODULES = ["tables_and_joins", "features_and_cubes", "labels_and_audits", "metrics_and_policy", "statistics_and_models", "streams"]

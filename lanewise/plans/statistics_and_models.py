@@ -129,8 +129,8 @@ def _(t):
 
 
 @query("encoded_block_summary", f"""WITH {TR}, c AS (SELECT 'customer_state' AS block, customer_state AS v, count(*) AS n FROM tr WHERE customer_state IS NOT NULL GROUP BY 2 UNION ALL SELECT 'route_type', route_type, count(*) FROM tr WHERE route_type IS NOT NULL GROUP BY 2),
-    b AS (SELECT block, 1::BIGINT AS raw_columns, count(*) AS levels_seen, arg_min(v, (-n, v)) AS reference_dropped, count(*) - 1 AS encoded_columns FROM c GROUP BY 1 UNION ALL SELECT 'numeric', {len(NUM)}, NULL, '', {len(NUM)})
-    SELECT * FROM b UNION ALL SELECT 'total', sum(raw_columns)::BIGINT, NULL, '', sum(encoded_columns)::BIGINT FROM b""")
+    eb AS (SELECT block, 1::BIGINT AS raw_columns, count(*) AS levels_seen, arg_min(v, (-n, v)) AS reference_dropped, count(*) - 1 AS encoded_columns FROM c GROUP BY 1 UNION ALL SELECT 'numeric', {len(NUM)}, NULL, '', {len(NUM)})
+    SELECT * FROM eb UNION ALL SELECT 'total', sum(raw_columns)::BIGINT, NULL, '', sum(encoded_columns)::BIGINT FROM eb""")
 def _(t):
     d = design.fit_design(train_rows(t), NUM, CAT, scale=False)
     rows = [{"block": "numeric", "raw_columns": len(NUM), "levels_seen": None, "reference_dropped": "", "encoded_columns": len(d.terms)}]
@@ -320,14 +320,16 @@ def _(t):
 # ---- selection ----
 
 def _fold_grams(t, units):
+    """(train, validation, unit columns) cross-products per fold; one design per training fold."""
     num, cat = [u for u in units if u not in CAT], [u for u in units if u in CAT]
-    rows, out = folds(t, "regression"), []
-    for i in range(1, 6):
+    rows = folds(t, "regression")
+
+    def one(i):
         train, valid = ml.fold_parts(rows, i)
         d = design.fit_design(train, num, cat, log_cols=[c for c in LOGS if c in num], cyclic=True, merge_mixed_route=True)
         cols = [*d.columns, "y"]
-        out.append((stats.gram(d.encode(train, keep=["y"]), cols), stats.gram(d.encode(valid, keep=["y"]), cols), d.units))
-    return out
+        return stats.gram(d.encode(train, keep=["y"]), cols), stats.gram(d.encode(valid, keep=["y"]), cols), d.units
+    return ml.in_parallel(one, range(1, 6))
 
 
 PATH = "step int, added_unit string, n_units int, cv_mean double, cv_se double"
@@ -364,7 +366,7 @@ def _lasso(t):
     best = min(scores, key=lambda r: (r["m"], -float(r["model"])))["model"]
     fitted = ml.fit(next(s for s in specs if s.name == best), train_rows(t, "regression"))
     values = dict(zip(fitted.design.columns, fitted.model.coefficients))
-    return float(best), [(u, max((abs(values[c]) for c in cols), default=0.0)) for u, cols in fitted.design.units.items()]
+    return float(best), [(u, max((abs(float(values[c])) for c in cols), default=0.0)) for u, cols in fitted.design.units.items()]
 
 
 @query("lasso_selection")
