@@ -17,6 +17,11 @@ def holds(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def n_rows(name: str = "n") -> Column:
+    """Row count of a group."""
+    return F.count(F.lit(1)).alias(name)
+
+
 def sum0(c) -> Column:
     """Sum that is 0 for a group whose values are all missing."""
     return F.coalesce(F.sum(col(c)), F.lit(0.0))

@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.bands import (DISTANCE_EDGES, DISTANCE_LABELS, EXPERIENCE_EDGES, EXPERIENCE_LABELS, REVIEW_EDGES,
                                REVIEW_LABELS, TRACK_EDGES, TRACK_LABELS, WINDOW_EDGES, WINDOW_LABELS,
                                cut_left_closed, cut_right_closed, equal_width_bin)
-from ..functions.nulls import percent, ratio
+from ..functions.nulls import n_rows, percent, ratio
 from ..functions.scalars import keep_top, recode, route_label
 from ..functions.times import col, day, month_label
 from .ordering import exact_quantiles, qcut_code, quantile_edges, quantile_values
 
-N = F.count(F.lit(1))
 # Display names of label statuses and weekdays.
 STATUS_NAMES = {"on_time_delivered": "Delivered on time", "late_delivered": "Delivered late",
                 "late_undelivered": "Late, not delivered", "unresolved": "Unresolved",
@@ -36,7 +35,7 @@ def late_rate_by(df: DataFrame, *keys: str, min_orders: int = 1) -> DataFrame:
     known = df.where(F.col("late").isNotNull())
     for k in keys:
         known = known.where(F.col(k).isNotNull())
-    return known.groupBy(*keys).agg(N.alias("orders"), F.avg("late").alias("late_rate")).where(F.col("orders") >= min_orders)
+    return known.groupBy(*keys).agg(n_rows("orders"), F.avg("late").alias("late_rate")).where(F.col("orders") >= min_orders)
 
 
 def dashboard_filter(df: DataFrame, dates: tuple | None = None, date_col: str = "approved_day",
@@ -56,52 +55,52 @@ def dashboard_filter(df: DataFrame, dates: tuple | None = None, date_col: str =
 
 def monthly_late_rate(df: DataFrame) -> DataFrame:
     return df.where("late IS NOT NULL").groupBy("approved_month").agg(
-        N.alias("delivered"), F.avg("late").alias("late_rate"))
+        n_rows("delivered"), F.avg("late").alias("late_rate"))
 
 
 def monthly_rate_average(monthly: DataFrame) -> DataFrame:
     return monthly.agg(F.avg("late_rate").alias("mean_monthly_rate"), F.median("late_rate").alias("median_monthly_rate"),
-                       N.alias("months"))
+                       n_rows("months"))
 
 
 def top_categories(items: DataFrame, n: int) -> list:
     """Names of the n largest categories (count, then name)."""
-    rows = items.where("category IS NOT NULL").groupBy("category").agg(N.alias("c")) \
+    rows = items.where("category IS NOT NULL").groupBy("category").agg(n_rows("c")) \
         .orderBy(F.desc("c"), "category").limit(n).collect()
     return [r[0] for r in rows]
 
 
 def top_category_trend(items: DataFrame, top: Sequence[str]) -> DataFrame:
-    return items.where(F.col("category").isin(list(top))).groupBy("month", "category").agg(N.alias("items"))
+    return items.where(F.col("category").isin(list(top))).groupBy("month", "category").agg(n_rows("items"))
 
 
 def route_share_by_state(df: DataFrame, top: Sequence[str], routes: Sequence[str]) -> DataFrame:
     """Route share within top states and 'Others', as one column per route."""
     counts = (df.where("route_type IS NOT NULL").withColumn("state", keep_top("customer_state", top))
-              .groupBy("state", "route_type").agg(N.alias("n")))
+              .groupBy("state", "route_type").agg(n_rows("n")))
     shared = counts.withColumn("pct", percent("n", F.sum("n").over(Window.partitionBy("state"))))
     return shared.groupBy("state").pivot("route_type", list(routes)).agg(F.max("pct"))
 
 
 def share_within_group(df: DataFrame, group: str, item: str) -> DataFrame:
-    counts = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(N.alias("n"))
+    counts = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(n_rows("n"))
     return counts.withColumn("share", ratio("n", F.sum("n").over(Window.partitionBy(group))))
 
 
 def review_score_distribution(df: DataFrame) -> DataFrame:
     return df.where("review_score IS NOT NULL").groupBy(F.bround("review_score").cast("int").alias("score")) \
-        .agg(N.alias("orders"))
+        .agg(n_rows("orders"))
 
 
 def monthly_sales(df: DataFrame) -> DataFrame:
     """Orders, revenue and average order value: per order, and per order with a payment."""
     return df.groupBy("approved_month").agg(
-        N.alias("orders"), F.sum("payment_value").alias("revenue"), F.avg("payment_value").alias("mean_paid_order")) \
+        n_rows("orders"), F.sum("payment_value").alias("revenue"), F.avg("payment_value").alias("mean_paid_order")) \
         .withColumn("average_order", ratio("revenue", "orders"))
 
 
 def status_share(df: DataFrame, c: str = "order_status") -> DataFrame:
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(N.alias("orders"))
+    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(n_rows("orders"))
     return counts.withColumn("share", ratio("orders", F.sum("orders").over(Window.partitionBy())))
 
 
@@ -110,8 +109,8 @@ def category_summary(star: DataFrame) -> DataFrame:
 
     Two levels, so the distinct orders of a hot category are counted in parallel.
     """
-    per = star.where("category IS NOT NULL").groupBy("category", "order_id").agg(N.alias("q"), F.sum("price").alias("v"))
-    return per.groupBy("category").agg(N.alias("orders"), F.sum("q").alias("quantity"), F.sum("v").alias("value")) \
+    per = star.where("category IS NOT NULL").groupBy("category", "order_id").agg(n_rows("q"), F.sum("price").alias("v"))
+    return per.groupBy("category").agg(n_rows("orders"), F.sum("q").alias("quantity"), F.sum("v").alias("value")) \
         .withColumn("value_per_unit", ratio("value", "quantity"))
 
 
@@ -129,32 +128,32 @@ def item_share_by_state(star: DataFrame) -> DataFrame:
     from .joins import outer_compare
 
     def side(c, name):
-        counts = star.groupBy(F.col(c).alias(name)).agg(N.alias("n"))
+        counts = star.groupBy(F.col(c).alias(name)).agg(n_rows("n"))
         return counts.withColumn(f"{name}_share", percent("n", F.sum("n").over(Window.partitionBy()))).drop("n")
     both = outer_compare(side("customer_state", "buyer"), side("seller_state", "seller"), "buyer", "seller", "state")
     return both.withColumn("seller_to_buyer", ratio("seller_share", "buyer_share"))
 
 
 def weekday_hour(df: DataFrame) -> DataFrame:
-    return df.groupBy("purchase_weekday", "purchase_hour").agg(N.alias("orders")) \
+    return df.groupBy("purchase_weekday", "purchase_hour").agg(n_rows("orders")) \
         .withColumn("weekday", recode("purchase_weekday", WEEKDAYS))
 
 
 def weekday_hour_grid(df: DataFrame, hours: Sequence[int]) -> DataFrame:
-    return df.groupBy("purchase_weekday").pivot("purchase_hour", list(hours)).agg(N).na.fill(0)
+    return df.groupBy("purchase_weekday").pivot("purchase_hour", list(hours)).agg(n_rows()).na.fill(0)
 
 
 def route_late_summary(df: DataFrame) -> DataFrame:
     """Volume, late rate and median days late of the late orders, by route."""
     return df.where("route_type IS NOT NULL AND late IS NOT NULL").groupBy("route_type").agg(
-        N.alias("delivered"), F.avg("late").alias("late_rate"),
+        n_rows("delivered"), F.avg("late").alias("late_rate"),
         F.median(F.when(F.col("late") == 1, F.col("days_from_promise"))).alias("median_days_late"))
 
 
 def total_row_rollup(df: DataFrame, key: str, total: str = "Total") -> DataFrame:
     """Groups plus a Total row from one aggregation."""
     return df.where(F.col(key).isNotNull() & F.col("late").isNotNull()).rollup(key).agg(
-        F.grouping(key).alias("_g"), N.alias("orders"), F.sum(F.col("late").cast("bigint")).alias("late_orders"),
+        F.grouping(key).alias("_g"), n_rows("orders"), F.sum(F.col("late").cast("bigint")).alias("late_orders"),
         F.avg("late").alias("late_rate")).select(
         F.when(F.col("_g") == 1, F.lit(total)).otherwise(F.col(key)).alias("group"), "orders", "late_orders", "late_rate")
 
@@ -186,7 +185,7 @@ def band_summary(df: DataFrame, band: Column) -> DataFrame:
     """Orders, late rate, median deviation and median days late by band."""
     late_days = F.when(F.col("late") == 1, F.col("days_from_promise"))
     out = df.withColumn("band", band).where("band IS NOT NULL AND late IS NOT NULL").groupBy("band").agg(
-        N.alias("orders"), F.avg("late").alias("late_rate"), F.median("days_from_promise").alias("median_deviation"),
+        n_rows("orders"), F.avg("late").alias("late_rate"), F.median("days_from_promise").alias("median_deviation"),
         F.median(late_days).alias("median_days_late"))
     return out.withColumn("share_pct", percent("orders", F.sum("orders").over(Window.partitionBy())))
 
@@ -204,7 +203,7 @@ def quintile_summary(df: DataFrame, attribute: str, bins: int = 5) -> DataFrame:
     known = df.where(F.col("late").isNotNull() & F.col(attribute).isNotNull())
     code = qcut_code(attribute, quantile_edges(known, attribute, bins)) + 1
     return known.withColumn("band", code).groupBy("band").agg(
-        N.alias("orders"), F.avg("late").alias("late_rate"), F.min(attribute).alias("low"), F.max(attribute).alias("high"))
+        n_rows("orders"), F.avg("late").alias("late_rate"), F.min(attribute).alias("low"), F.max(attribute).alias("high"))
 
 
 def review_group_late(df: DataFrame, with_missing: bool = False) -> DataFrame:
@@ -212,7 +211,7 @@ def review_group_late(df: DataFrame, with_missing: bool = False) -> DataFrame:
     if with_missing:
         band = F.coalesce(band, F.lit("No review"))
     return df.withColumn("review_group", band).where("late IS NOT NULL AND review_group IS NOT NULL") \
-        .groupBy("review_group").agg(N.alias("orders"), F.sum(F.col("late").cast("bigint")).alias("late")) \
+        .groupBy("review_group").agg(n_rows("orders"), F.sum(F.col("late").cast("bigint")).alias("late")) \
         .withColumn("late_rate_pct", percent("late", "orders"))
 
 
@@ -228,7 +227,7 @@ def review_kpis(df: DataFrame) -> DataFrame:
 def kpi_cards(df: DataFrame) -> DataFrame:
     """Headline figures; distinct customers are counted through a per-customer reduction."""
     per = df.groupBy("customer_id").agg(
-        N.alias("o"), F.sum("order_value").alias("v"), F.count("late").alias("k"),
+        n_rows("o"), F.sum("order_value").alias("v"), F.count("late").alias("k"),
         F.sum(F.col("late").cast("bigint")).alias("l"), F.sum("review_score").alias("s"), F.count("review_score").alias("r"))
     return per.agg(F.sum("o").alias("orders"), F.count("customer_id").alias("customers"), F.sum("v").alias("value"),
                    ratio(F.sum("l"), F.sum("k")).alias("late_rate"), ratio(F.sum("s"), F.sum("r")).alias("mean_score"))
@@ -236,7 +235,7 @@ def kpi_cards(df: DataFrame) -> DataFrame:
 
 def seller_performance(history: DataFrame, min_orders: int) -> DataFrame:
     return history.groupBy("seller_id").agg(
-        N.alias("orders"), F.avg("late").alias("late_rate"), F.median("deviation_days").alias("median_deviation")) \
+        n_rows("orders"), F.avg("late").alias("late_rate"), F.median("deviation_days").alias("median_deviation")) \
         .where(F.col("orders") >= min_orders)
 
 
@@ -252,9 +251,9 @@ def seller_bands(history: DataFrame) -> DataFrame:
 def cross_state_topk(star: DataFrame, k: int) -> DataFrame:
     """Top-k categories per customer state, with quantity per customer of the state."""
     known = star.where("category IS NOT NULL AND customer_state IS NOT NULL")
-    counts = known.groupBy("customer_state", "category").agg(N.alias("quantity"))
+    counts = known.groupBy("customer_state", "category").agg(n_rows("quantity"))
     w = Window.partitionBy("customer_state").orderBy(F.desc("quantity"), "category")
-    buyers = known.select("customer_state", "customer_id").distinct().groupBy("customer_state").agg(N.alias("buyers"))
+    buyers = known.select("customer_state", "customer_id").distinct().groupBy("customer_state").agg(n_rows("buyers"))
     return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k) \
         .join(buyers, "customer_state").withColumn("per_buyer", ratio("quantity", "buyers"))
 
@@ -308,7 +307,7 @@ def category_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Sorted levels and the most frequent level (ties: first in order) per categorical."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in columns)
     counts = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, level)").where("level IS NOT NULL") \
-        .groupBy("feature", "level").agg(N.alias("n"))
+        .groupBy("feature", "level").agg(n_rows("n"))
     return counts.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_set("level")), "|").alias("levels"),
                                          F.min_by("level", F.struct(-F.col("n"), F.col("level"))).alias("mode"))
 
@@ -317,20 +316,20 @@ def score_histogram(df: DataFrame, score: str, bins: int = 30) -> DataFrame:
     low, high = df.agg(F.min(score), F.max(score)).first()
     width = (high - low) / bins
     return df.where(F.col(score).isNotNull()).groupBy(equal_width_bin(score, low, high, bins).alias("bin")) \
-        .agg(N.alias("orders")).withColumn("lower", F.lit(low) + F.col("bin") * F.lit(width))
+        .agg(n_rows("orders")).withColumn("lower", F.lit(low) + F.col("bin") * F.lit(width))
 
 
 def trimmed_histogram(df: DataFrame, c: str) -> DataFrame:
     """Whole-number histogram within the 1st-99th percentile, with the sign side."""
     lo, hi = quantile_values(df, c, [0.01, 0.99])
-    return df.where(F.col(c).between(lo, hi)).groupBy(F.ceil(c).cast("int").alias("days")).agg(N.alias("orders")) \
+    return df.where(F.col(c).between(lo, hi)).groupBy(F.ceil(c).cast("int").alias("days")).agg(n_rows("orders")) \
         .withColumn("side", F.when(F.col("days") > 0, "Late").otherwise("On time or early"))
 
 
 def residuals_by_segment(df: DataFrame, segment: str, actual: str, predicted: str) -> DataFrame:
     e = col(predicted) - col(actual)
     return df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).groupBy(segment).agg(
-        N.alias("n"), F.avg(actual).alias("mean_actual"), F.avg(predicted).alias("mean_predicted"),
+        n_rows("n"), F.avg(actual).alias("mean_actual"), F.avg(predicted).alias("mean_predicted"),
         F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"))
 
 

@@ -11,18 +11,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import percent, ratio
+from ..functions.nulls import n_rows, percent, ratio
 from ..functions.times import col
 from .ordering import exact_quantiles, global_rank, prefix_sums, qcut_code, quantile_edges
 
-N = F.count(F.lit(1))
-
 
 def score_curve(df: DataFrame, by: Sequence[str] = (), score: str = "p", label: str = "label") -> DataFrame:
     """Per distinct score, highest first: n rows, k known, pos late, each with cum_ and all_ totals."""
     y = F.col(label).cast("bigint")
     counts = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
-        N.alias("n"), F.count(y).alias("k"), F.coalesce(F.sum(y), F.lit(0)).alias("pos"))
+        n_rows("n"), F.count(y).alias("k"), F.coalesce(F.sum(y), F.lit(0)).alias("pos"))
     return prefix_sums(counts, by, [F.desc("score")], {c: F.col(c) for c in ("n", "k", "pos")})
 
 
@@ -84,7 +82,7 @@ def regression_metrics(df: DataFrame, by: Sequence[str] = (), actual: str = "tar
     known = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()) \
         .withColumn("_e", F.col(predicted) - F.col(actual)).withColumn("_a", F.abs("_e"))
     sq = F.col("_e") * F.col("_e")
-    sums = known.groupBy(*by).agg(N.alias("n"), F.avg("_a").alias("mae"), F.sqrt(F.avg(sq)).alias("rmse"),
+    sums = known.groupBy(*by).agg(n_rows("n"), F.avg("_a").alias("mae"), F.sqrt(F.avg(sq)).alias("rmse"),
                                   (1 - ratio(F.sum(sq), F.count("_e") * F.var_pop(actual))).alias("r2"), F.avg("_e").alias("bias"))
     mid = exact_quantiles(known, by, ["_a"], {"median_ae": 0.5}).select(*by, "median_ae")
     return sums.join(mid, list(by)) if by else sums.withColumn("_1", F.lit(1)).join(mid.withColumn("_1", F.lit(1)), "_1").drop("_1")
@@ -114,7 +112,7 @@ def risk_deciles(df: DataFrame, by: Sequence[str] = (), score: str = "p", label:
     by = list(by)
     ranked = global_rank(df.where(F.col(score).isNotNull()), [F.desc(score), F.asc(id_col)], by)
     tenth = ranked.withColumn("decile", (F.floor(10 * (F.col("rank") - 1) / F.col("n")) + 1).cast("int"))
-    groups = tenth.groupBy(*by, "decile").agg(N.alias("scored_orders"), F.count(label).alias("known_orders"),
+    groups = tenth.groupBy(*by, "decile").agg(n_rows("scored_orders"), F.count(label).alias("known_orders"),
                                               F.coalesce(F.sum(F.col(label).cast("bigint")), F.lit(0)).alias("late_orders"))
     whole = Window.partitionBy(*by)
     running = whole.orderBy("decile").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -130,7 +128,7 @@ def quantile_deciles(df: DataFrame, score: str = "p", label: str = "label") -> D
     edges = quantile_edges(known, score, 10)
     groups = max(len(edges) - 1, 1)
     agg = known.groupBy((F.lit(groups) - qcut_code(score, edges)).alias("decile")).agg(
-        N.alias("orders"), F.coalesce(F.sum(F.col(label).cast("bigint")), F.lit(0)).alias("late"),
+        n_rows("orders"), F.coalesce(F.sum(F.col(label).cast("bigint")), F.lit(0)).alias("late"),
         F.min(score).alias("min_score"), F.max(score).alias("max_score"))
     run = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     late, orders = F.sum("late").over(run), F.sum("orders").over(run)
@@ -143,7 +141,7 @@ def monthly_rank_deciles(df: DataFrame, month: str, score: str = "p", label: str
     r = global_rank(df.where(F.col(label).isNotNull() & F.col(score).isNotNull()), [F.asc(score), F.asc(id_col)], [month])
     steps = F.greatest(F.col("n") - 1, F.lit(1))
     tenth = F.greatest(F.lit(1), F.ceil(10 * (F.col("rank") - 1) / steps))
-    return r.groupBy(month, tenth.cast("int").alias("decile")).agg(N.alias("orders"), F.avg(label).alias("late_rate"))
+    return r.groupBy(month, tenth.cast("int").alias("decile")).agg(n_rows("orders"), F.avg(label).alias("late_rate"))
 
 
 def f1_threshold(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -169,7 +167,7 @@ def confusion_at(curve: DataFrame, cutoffs: Sequence[float]) -> DataFrame:
 def false_negative_breakdown(df: DataFrame, threshold: float, segment: str, score: str = "p", label: str = "label") -> DataFrame:
     """Known late rows below the cut-off by segment, with the segment's share of all misses."""
     late = df.where((F.col(label) == 1) & F.col(segment).isNotNull())
-    table = late.groupBy(segment).agg(N.alias("late_orders"), F.count_if(F.col(score) < threshold).alias("missed"))
+    table = late.groupBy(segment).agg(n_rows("late_orders"), F.count_if(F.col(score) < threshold).alias("missed"))
     everything = F.greatest(F.sum("missed").over(Window.partitionBy()), F.lit(1))
     return table.withColumn("miss_rate_pct", percent("missed", "late_orders")).withColumn("share_of_missed_pct", percent("missed", everything))
 
@@ -197,7 +195,7 @@ def calibration_bins(df: DataFrame, bins: int = 10, score: str = "p", label: str
     code = F.lit(0)
     for e in edges[1:-1]:
         code = code + (F.col(score) > e).cast("int")
-    return known.groupBy(code.alias("bin")).agg(N.alias("orders"), F.avg(score).alias("mean_predicted"), F.avg(label).alias("observed"))
+    return known.groupBy(code.alias("bin")).agg(n_rows("orders"), F.avg(score).alias("mean_predicted"), F.avg(label).alias("observed"))
 
 
 def mean_probability_check(df: DataFrame, by: Sequence[str], score: str = "p", label: str = "label") -> DataFrame:
@@ -206,7 +204,7 @@ def mean_probability_check(df: DataFrame, by: Sequence[str], score: str = "p", l
 
 def density_2d(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / width).cast("int")
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cell(x).alias("x_bin"), cell(y).alias("y_bin")).agg(N.alias("orders"))
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cell(x).alias("x_bin"), cell(y).alias("y_bin")).agg(n_rows("orders"))
 
 
 def ensemble_mean(parts: DataFrame, id_col: str = "order_id", score: str = "p") -> DataFrame:

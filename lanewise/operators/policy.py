@@ -6,12 +6,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import ratio
+from ..functions.nulls import n_rows, ratio
 from ..functions.times import day
 from .ordering import global_rank
 
-N = F.count(F.lit(1))
-
 
 def candidates(orders: DataFrame) -> DataFrame:
     """Orders of each batch day still open at the next midnight and with a promise date."""
@@ -49,7 +47,7 @@ def selected(share: float) -> Column:
 
 
 def exclusion_counts(wl: DataFrame) -> DataFrame:
-    return wl.select("run_day", F.explode("reasons").alias("reason")).groupBy("run_day", "reason").agg(N.alias("orders"))
+    return wl.select("run_day", F.explode("reasons").alias("reason")).groupBy("run_day", "reason").agg(n_rows("orders"))
 
 
 def attach_outcomes(wl: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -62,7 +60,7 @@ def month_summary(replay: DataFrame, share: float) -> DataFrame:
     pick, open_ = selected(share), F.col("rank").isNotNull()
     late, known = F.col("label") == 1, F.col("label").isNotNull()
     out = replay.withColumn("_s", pick).rollup("run_day").agg(
-        F.grouping("run_day").alias("_g"), N.alias("total"), F.count_if(open_).alias("eligible"), F.count_if("_s").alias("selected"),
+        F.grouping("run_day").alias("_g"), n_rows("total"), F.count_if(open_).alias("eligible"), F.count_if("_s").alias("selected"),
         F.count_if(F.col("_s") & known).alias("selected_known"), F.count_if(known).alias("known_all"),
         F.count_if(F.col("_s") & late).alias("late_caught"), F.count_if(open_ & late).alias("late_eligible"), F.count_if(late).alias("late_all"))
     return out.where("_g = 1 OR run_day IS NOT NULL").withColumn("level", F.when(F.col("_g") == 1, "pooled").otherwise("day")).drop("_g") \
@@ -77,7 +75,7 @@ def monthly_ranking(orders: DataFrame, scores: DataFrame, outcomes: DataFrame, s
         .join(scores.where(F.col(score).isNotNull()), "order_id").join(outcomes.select("order_id", "label"), "order_id", "left")
     ranked = global_rank(rows, [F.desc(score), F.asc("order_id")], ["month"])
     pick, late = F.col("rank") <= F.ceil(F.lit(float(share)) * F.col("n")), F.col("label") == 1
-    return ranked.groupBy("month").agg(N.alias("total"), F.count_if(pick).alias("selected"), F.count_if(pick & late).alias("late_caught"),
+    return ranked.groupBy("month").agg(n_rows("total"), F.count_if(pick).alias("selected"), F.count_if(pick & late).alias("late_caught"),
                                        F.count_if(late).alias("late_all")).withColumn("all_late_coverage", ratio("late_caught", "late_all"))
 
 
@@ -94,7 +92,7 @@ def effort_curve(ranked: DataFrame, rank: str, size: str, late_total: int, share
     """
     grid = F.array(*[F.lit(float(s)) for s in shares])
     first = F.element_at(F.filter(grid, lambda s: F.ceil(s * F.col(size)) >= F.col(rank)), 1)
-    at = ranked.where(F.col(rank).isNotNull()).groupBy(first.alias("share")).agg(N.alias("n"), F.count_if(F.col("label") == 1).alias("late"))
+    at = ranked.where(F.col(rank).isNotNull()).groupBy(first.alias("share")).agg(n_rows("n"), F.count_if(F.col("label") == 1).alias("late"))
     steps = ranked.sparkSession.createDataFrame([(float(s),) for s in shares], "share double").join(at, "share", "left")
     w = Window.orderBy("share").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     caught = F.coalesce(F.sum("late").over(w), F.lit(0))
@@ -106,7 +104,7 @@ def timing_accuracy(df: DataFrame) -> DataFrame:
     """Timing error overall and per approval day."""
     e = F.col("days") - F.col("target")
     out = df.where("days IS NOT NULL AND target IS NOT NULL").rollup("approval_day").agg(
-        F.grouping("approval_day").alias("_g"), N.alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
+        F.grouping("approval_day").alias("_g"), n_rows("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
         F.avg("target").alias("mean_actual"), F.avg("days").alias("mean_predicted"), F.avg(F.when(F.col("label") == 1, F.col("days"))).alias("predicted_late"),
         F.avg(F.when(F.col("label") == 0, F.col("days"))).alias("predicted_on_time"))
     return out.withColumn("level", F.when(F.col("_g") == 1, "all").otherwise("day")).drop("_g")
@@ -117,7 +115,7 @@ def retrospective_counts(replay: DataFrame, share: float) -> DataFrame:
     groups = F.array_compact(F.array(F.lit("all"), F.when(F.col("rank").isNotNull(), F.lit("eligible")), F.when(selected(share), F.lit("selected"))))
     known, gone = F.col("label").isNotNull(), F.coalesce(F.col("canceled"), F.lit(False))
     return replay.withColumn("population", F.explode(groups)).groupBy("population").agg(
-        N.alias("total"), F.count_if(known).alias("known"), F.count_if(~known & ~gone).alias("unknown"), F.count_if(gone).alias("canceled"),
+        n_rows("total"), F.count_if(known).alias("known"), F.count_if(~known & ~gone).alias("unknown"), F.count_if(gone).alias("canceled"),
         F.count_if(F.col("label") == 1).alias("late")).withColumn("late_rate", ratio("late", "known"))
 
 
@@ -131,7 +129,7 @@ def prediction_monitor(log: DataFrame, recent: int = 1000, warnings: int = 20, l
     """Totals, the newest records and the newest out-of-range records of a prediction log."""
     newest = [F.desc("ts"), F.desc("event_id")]
     def part(df, name):
-        return df.agg(N.alias("records"), F.avg("score").alias("mean_score"), F.max("ts").cast("date").alias("last_day")).select(F.lit(name).alias("view"), "*")
+        return df.agg(n_rows("records"), F.avg("score").alias("mean_score"), F.max("ts").cast("date").alias("last_day")).select(F.lit(name).alias("view"), "*")
     odd = log.where((F.col("score") < low) | (F.col("score") > high))
     return part(log, "all").unionByName(part(log.orderBy(*newest).limit(recent), "recent")) \
         .unionByName(part(odd, "warnings")).unionByName(part(odd.orderBy(*newest).limit(warnings), "recent warnings"))
@@ -139,5 +137,5 @@ def prediction_monitor(log: DataFrame, recent: int = 1000, warnings: int = 20, l
 
 def risk_vs_actual(df: DataFrame, by: str, min_orders: int = 1) -> DataFrame:
     return df.where(F.col(by).isNotNull()).groupBy(by).agg(
-        N.alias("orders"), F.avg("label").alias("late_rate"), F.avg("p").alias("mean_risk"), F.avg("target").alias("mean_actual_days"),
+        n_rows("orders"), F.avg("label").alias("late_rate"), F.avg("p").alias("mean_risk"), F.avg("target").alias("mean_actual_days"),
         F.avg("days").alias("mean_predicted_days")).where(F.col("orders") >= min_orders)

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import (LEAD_EDGES, LEAD_LABELS, WINDOW_EDGES, WINDOW_LABELS, cut_left_closed, cut_right_closed)
-from ..functions.nulls import ratio
+from ..functions.nulls import n_rows, ratio
 from ..functions.times import day, month_start
 from ..operators import audits, cubes, features, history, joins, ordering, reshape
 from ..roles import PAYMENT_TYPES
@@ -13,7 +13,6 @@ from .catalog import FIRST_MONTH, ITEM_ORDER, LAST_MONTH, query
 from .oracle import ITEM_ORDER as SQL_ORDER
 from .oracle import TYPES
 
-N = F.count(F.lit(1))
 
 # ---- order-grain rollups ----
 
@@ -207,7 +206,7 @@ def _(t):
     SELECT 'weekend', count(*) FROM f_approved WHERE isodow(approved_day) >= 6""")
 def _(t):
     flagged = features.calendar_flags(t.orders.where("approved_at IS NOT NULL"))
-    part = lambda tag, v: flagged.where(F.col("is_weekend_approval") == v).agg(N.alias("orders")).select(F.lit(tag).alias("tag"), "orders")
+    part = lambda tag, v: flagged.where(F.col("is_weekend_approval") == v).agg(n_rows("orders")).select(F.lit(tag).alias("tag"), "orders")
     return audits.union_all([part("weekday", 0), part("weekend", 1)])
 
 
@@ -215,7 +214,7 @@ def _(t):
     (SELECT customer_state, count(*) AS n FROM ot WHERE year(approved_day) = 1997 GROUP BY 1) a FULL JOIN
     (SELECT customer_state, count(*) AS n FROM ot WHERE year(approved_day) = 1998 GROUP BY 1) b USING (customer_state)""")
 def _(t):
-    year = lambda y: t.order_table.where(F.year("approved_day") == y).groupBy("customer_state").agg(N.alias("orders"))
+    year = lambda y: t.order_table.where(F.year("approved_day") == y).groupBy("customer_state").agg(n_rows("orders"))
     return reshape.concat_columns({"1997": year(1997), "1998": year(1998)}, "customer_state")
 
 
@@ -233,7 +232,7 @@ def _(t):
     count(*) FILTER (WHERE route_type = '2. All same-state') AS "2. All same-state", count(*) FILTER (WHERE route_type = '3. Mixed') AS "3. Mixed" FROM ot GROUP BY 1""")
 def _(t):
     return reshape.pivot_wide(t.order_table, ["customer_state"], "route_type",
-                              ["1. All interstate", "2. All same-state", "3. Mixed"], N).na.fill(0)
+                              ["1. All interstate", "2. All same-state", "3. Mixed"], n_rows()).na.fill(0)
 
 
 @query("unpivot_long", """SELECT customer_state, measure, value FROM (SELECT customer_state, round(sum(order_value), 4) AS order_value,
@@ -246,7 +245,7 @@ def _(t):
 @query("calendar_spine", """WITH span AS (SELECT unnest(generate_series((SELECT min(d) FROM f_daily), (SELECT max(d) FROM f_daily), INTERVAL 1 DAY))::DATE AS day)
     SELECT day, coalesce(c, 0)::BIGINT AS orders FROM span LEFT JOIN f_daily ON d = day""")
 def _(t):
-    daily = t.orders.where("approved_at IS NOT NULL").groupBy(day("approved_at").alias("day")).agg(N.alias("orders"))
+    daily = t.orders.where("approved_at IS NOT NULL").groupBy(day("approved_at").alias("day")).agg(n_rows("orders"))
     return reshape.calendar_spine(daily, "day", ["orders"])
 
 
@@ -265,7 +264,7 @@ def _(t):
 @query("cut_right_closed", """SELECT CASE WHEN promised_lead_days <= 14 THEN '<= 14 days' WHEN promised_lead_days <= 21 THEN '15-21 days'
     WHEN promised_lead_days <= 28 THEN '22-28 days' ELSE '> 28 days' END AS band, count(*) AS orders FROM ot GROUP BY 1""")
 def _(t):
-    return t.order_table.groupBy(cut_right_closed("promised_lead_days", LEAD_EDGES, LEAD_LABELS).alias("band")).agg(N.alias("orders"))
+    return t.order_table.groupBy(cut_right_closed("promised_lead_days", LEAD_EDGES, LEAD_LABELS).alias("band")).agg(n_rows("orders"))
 
 
 W_BAND = """CASE WHEN promised_lead_days < 11 THEN '0–10 days' WHEN promised_lead_days < 21 THEN '11–20'
@@ -274,7 +273,7 @@ W_BAND = """CASE WHEN promised_lead_days < 11 THEN '0–10 days' WHEN promised_l
 
 @query("cut_left_closed", f"SELECT {W_BAND} AS band, count(*) AS orders FROM ot GROUP BY 1")
 def _(t):
-    return t.order_table.groupBy(cut_left_closed("promised_lead_days", WINDOW_EDGES, WINDOW_LABELS).alias("band")).agg(N.alias("orders"))
+    return t.order_table.groupBy(cut_left_closed("promised_lead_days", WINDOW_EDGES, WINDOW_LABELS).alias("band")).agg(n_rows("orders"))
 
 
 def _qcut(c, n):
@@ -292,7 +291,7 @@ def _(t):
     df = t.order_table.where("payment_value IS NOT NULL")
     edges = ordering.quantile_edges(df, "payment_value", 5)
     return df.groupBy(ordering.qcut_code("payment_value", edges).alias("band")).agg(
-        N.alias("orders"), F.min("payment_value").alias("low"), F.max("payment_value").alias("high"))
+        n_rows("orders"), F.min("payment_value").alias("low"), F.max("payment_value").alias("high"))
 
 
 @query("trimmed_histogram", """WITH q AS (SELECT quantile_cont(days_from_promise, 0.01) AS lo, quantile_cont(days_from_promise, 0.99) AS hi FROM ot)

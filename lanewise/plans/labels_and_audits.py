@@ -5,7 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions.nulls import percent
+from ..functions.nulls import n_rows, percent
 from ..functions.times import day, month_bounds, month_label
 from ..operators import audits, cubes, features, labels, splits
 from ..operators.labels import EXCLUDED_STATUSES
@@ -13,7 +13,6 @@ from ..roles import PAYMENT_TYPES
 from .catalog import FIRST_MONTH, LAST_MONTH, RUN_DATE, query
 from .oracle import CUTOFF, arrived, label, status, target, target_status
 
-N = F.count(F.lit(1))
 RUN = "DATE '1998-06-02'"
 WINDOW = "approved_at::DATE BETWEEN DATE '1997-04-18' AND DATE '1998-04-17' AND order_status <> 'canceled'"
 LEAD = "date_diff('day', approved_at::DATE, delivered_at::DATE)"
@@ -23,7 +22,7 @@ LEAD = "date_diff('day', approved_at::DATE, delivered_at::DATE)"
     DATE '1998-06-02' - 1 AS inference_day, count(*) AS orders FROM r_orders WHERE approved_at::DATE BETWEEN DATE '1998-06-02' - 410 AND DATE '1998-06-02' - 46""")
 def _(t):
     start, end, inference = labels.required_dates(RUN_DATE, 45, 365)
-    return t.orders.where(day("approved_at").between(F.lit(start), F.lit(end))).agg(N.alias("orders")).select(
+    return t.orders.where(day("approved_at").between(F.lit(start), F.lit(end))).agg(n_rows("orders")).select(
         F.lit(RUN_DATE).cast("date").alias("run_date"), F.lit(start).alias("start_day"), F.lit(end).alias("end_day"),
         F.lit(inference).alias("inference_day"), "orders")
 
@@ -72,7 +71,7 @@ def _(t):
 def _(t):
     lo, hi = month_bounds("1998-02")
     return t.orders.where(day("approved_at").between(lo, hi)).groupBy(month_label("approved_at").alias("month")).agg(
-        F.trunc(F.min(day("approved_at")), "MM").alias("first_day"), F.last_day(F.min(day("approved_at"))).alias("final_day"), N.alias("orders"))
+        F.trunc(F.min(day("approved_at")), "MM").alias("first_day"), F.last_day(F.min(day("approved_at"))).alias("final_day"), n_rows("orders"))
 
 
 RETRO = f"""retro AS (SELECT o.order_id, approved_at::DATE AS approval_day, {label(CUTOFF)}::BIGINT AS late, v.score::BIGINT AS review_score FROM r_orders o
@@ -331,7 +330,7 @@ def _(t):
     p AS (SELECT blk::BIGINT AS fold, min(d) AS vs, max(d) AS ve FROM k WHERE blk > 0 GROUP BY 1)
     SELECT fold, CASE WHEN approved_at::DATE < vs - 10 THEN 'train' ELSE 'valid' END AS role, count(*) AS rows FROM r_orders, p WHERE approved_at::DATE < vs - 10 OR approved_at::DATE BETWEEN vs AND ve GROUP BY 1, 2""")
 def _(t):
-    return splits.day_blocked_folds(t.orders, n_splits=5, gap_days=10).groupBy("fold", "role").agg(N.alias("rows"))
+    return splits.day_blocked_folds(t.orders, n_splits=5, gap_days=10).groupBy("fold", "role").agg(n_rows("rows"))
 
 
 AVAILABLE = f"""{FOLDS}, st AS (SELECT fold, min(approved_at::DATE) AS v FROM folds WHERE role = 'valid' GROUP BY 1),
@@ -355,4 +354,4 @@ def _(t):
 @query("random_stratified_split")
 def _(t):
     rows = labels.training_window(t.orders, RUN_DATE, "classification").select("order_id", "label")
-    return splits.stratified_split(rows, "label", 0.2).groupBy("label", "split").agg(N.alias("rows"))
+    return splits.stratified_split(rows, "label", 0.2).groupBy("label", "split").agg(n_rows("rows"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.nulls import n_rows
 from ..functions.times import day
 from ..operators import comparison, cubes, labels, metrics, ordering, policy
 from ..operators.audits import union_all
 from .catalog import query
 from .oracle import CUTOFF, label, target
 
-N = F.count(F.lit(1))
 # A second, deliberately different score of the same orders, and named periods.
 SQL_LONG = """sl AS (SELECT * FROM (SELECT s.*, CASE WHEN month BETWEEN '1997-01' AND '1998-03' THEN 'Train' WHEN month BETWEEN '1998-04' AND '1998-05' THEN 'Validation'
     WHEN month = '1998-06' THEN 'June' WHEN month = '1998-07' THEN 'July' WHEN month = '1998-08' THEN 'August' END AS split,
@@ -110,7 +110,7 @@ def _(t):
     rows = labels.scoring_eligibility(t.orders, "1998-06-01", "1998-08-31").where(~F.col("order_status").isin(labels.EXCLUDED_STATUSES))
     daily = rows.select("order_id", F.date_format(day("approved_at"), "yyyy-MM").alias("month")).join(t.scores.where("p IS NOT NULL"), "order_id")
     return labels.attach_prediction_labels(daily, t.orders, 45).groupBy("month").agg(
-        N.alias("scored"), F.count("actual_label").alias("known"), F.coalesce(F.sum("actual_label"), F.lit(0)).alias("late"), F.avg("p").alias("mean_score"))
+        n_rows("scored"), F.count("actual_label").alias("known"), F.coalesce(F.sum("actual_label"), F.lit(0)).alias("late"), F.avg("p").alias("mean_score"))
 
 
 CLS_LONG = f"{SQL_LONG}, {_cls_sql('sl', ['model', 'split'], 'sc', 'label')}"
@@ -288,7 +288,7 @@ def _(t):
 @query("decile_prob_range", """WITH r AS (SELECT p, row_number() OVER (ORDER BY p DESC, order_id) AS r, count(*) OVER () AS n FROM scored) SELECT (floor(10 * (r - 1) / n::DOUBLE) + 1)::BIGINT AS decile, count(*) AS orders, round(min(p), 6) AS min_p, round(max(p), 6) AS max_p FROM r GROUP BY 1""")
 def _(t):
     r = ordering.global_rank(t.scored, [F.desc("p"), F.asc("order_id")])
-    return r.groupBy((F.floor(10 * (F.col("rank") - 1) / F.col("n")) + 1).alias("decile")).agg(N.alias("orders"), F.min("p").alias("min_p"), F.max("p").alias("max_p"))
+    return r.groupBy((F.floor(10 * (F.col("rank") - 1) / F.col("n")) + 1).alias("decile")).agg(n_rows("orders"), F.min("p").alias("min_p"), F.max("p").alias("max_p"))
 
 
 @query("rank_within_day", "SELECT order_id, approval_day, row_number() OVER (PARTITION BY approval_day ORDER BY p DESC, order_id) AS rank FROM scored")
@@ -325,7 +325,7 @@ def _(t):
     round(avg(d) + 2.7764451051977987::DOUBLE * sqrt((0.2 + avg(share)) * var_samp(d)), 6) AS ci_high, count(*) FILTER (WHERE d > 0) AS folds_better, count(*) AS folds FROM d""")
 def _(t):
     rows = _fold_rows(t)
-    sizes = rows.where("model = 'M1'").groupBy("fold").agg(N.alias("n_valid")).withColumn("n_train", F.col("n_valid") * (1 + F.col("fold")))
+    sizes = rows.where("model = 'M1'").groupBy("fold").agg(n_rows("n_valid")).withColumn("n_train", F.col("n_valid") * (1 + F.col("fold")))
     return comparison.paired_fold_interval(_cls_folds(t).join(sizes, "fold"), "M1", "M2", "avg_precision")
 
 

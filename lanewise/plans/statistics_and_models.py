@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import n_rows
 from ..functions.times import day, month_label
 from ..operators import cubes, design, features, labels, metrics, ml, ordering, splits, stats
 from ..operators.audits import union_all
@@ -13,7 +14,6 @@ from .catalog import RUN_DATE, query
 from .labels_and_audits import RUN, TASK, WINDOW
 from .oracle import TYPES, label, target
 
-N = F.count(F.lit(1))
 NUM = features.SELECTED_NUMERIC
 CAT = ["customer_state", "route_type"]
 LOGS = ["payment_value_sum", "order_frieght_value_sum", "order_product_weight_g_sum"]
@@ -258,7 +258,7 @@ def _linear_fit(t):
 def _(t):
     _, x, _ = _linear_fit(t)
     code = ordering.qcut_code("fitted", ordering.quantile_edges(x, "fitted", 5)) + 1
-    return x.groupBy(code.alias("fitted_group")).agg(F.avg("fitted").alias("mean_fitted"), F.avg("residual").alias("residual_mean"), F.stddev_samp("residual").alias("residual_sd"), N.alias("orders"))
+    return x.groupBy(code.alias("fitted_group")).agg(F.avg("fitted").alias("mean_fitted"), F.avg("residual").alias("residual_mean"), F.stddev_samp("residual").alias("residual_sd"), n_rows("orders"))
 
 
 @query("partial_residual_bins")
@@ -529,18 +529,18 @@ def _(t):
 
 @query("resample_under")
 def _(t):
-    return ml.undersample(train_rows(t)).groupBy("y").agg(N.alias("rows"), F.count_distinct("order_id").alias("orders"))
+    return ml.undersample(train_rows(t)).groupBy("y").agg(n_rows("rows"), F.count_distinct("order_id").alias("orders"))
 
 
 @query("resample_over")
 def _(t):
-    return ml.oversample(train_rows(t)).groupBy("y").agg(N.alias("rows"), F.count_distinct("order_id").alias("orders"))
+    return ml.oversample(train_rows(t)).groupBy("y").agg(n_rows("rows"), F.count_distinct("order_id").alias("orders"))
 
 
 @query("resample_smotenc")
 def _(t):
     made = ml.synthetic_minority(train_rows(t), FEW, CAT)
-    return made.groupBy("y").agg(N.alias("rows"), F.count_if(F.col("order_id") < 0).alias("synthetic"), *[F.avg(c).alias(f"mean_{c}") for c in FEW])
+    return made.groupBy("y").agg(n_rows("rows"), F.count_if(F.col("order_id") < 0).alias("synthetic"), *[F.avg(c).alias(f"mean_{c}") for c in FEW])
 
 
 @query("resampling_experiment")
@@ -559,7 +559,7 @@ def _(t):
     base = ap.where("model = 'none'").select("fold", F.col("avg_precision").alias("b"))
     return ap.join(base, "fold").groupBy("model").agg(
         F.avg("avg_precision").alias("cv_mean"), F.stddev_samp("avg_precision").alias("cv_sd"), F.avg(F.col("avg_precision") - F.col("b")).alias("gain"),
-        (F.stddev_samp(F.col("avg_precision") - F.col("b")) / F.sqrt(N)).alias("gain_se"))
+        (F.stddev_samp(F.col("avg_precision") - F.col("b")) / F.sqrt(n_rows())).alias("gain_se"))
 
 
 # ---- interpretation ----
@@ -625,4 +625,4 @@ def _(t):
     rows = feature_rows(t).withColumn("order_item_count", F.when(F.col("order_id") % 50 == 1, 0).otherwise(F.col("order_item_count")))
     states = f.design.levels["customer_state"]
     out = ml.bulk_score(f, rows, FEW, {"customer_state": states})
-    return out.groupBy(F.array_join("violations", ",").alias("violations")).agg(N.alias("rows"), F.count("p").alias("scored"))
+    return out.groupBy(F.array_join("violations", ",").alias("violations")).agg(n_rows("rows"), F.count("p").alias("scored"))
