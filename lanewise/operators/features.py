@@ -187,21 +187,27 @@ def order_item_rollup(items: DataFrame, products: DataFrame, sellers: DataFrame)
         .withColumn("seller_state_count", F.size("seller_states")))
 
 
-def payment_pivot(payments: DataFrame, types: Sequence[str]) -> DataFrame:
-    """Total plus value and count per known type, in one aggregation (no distinct-value pass)."""
+def payment_aggs(types: Sequence[str]) -> list:
     def of(t):
         return F.col("payment_type") == t
-    return payments.groupBy("order_id").agg(
-        F.sum("payment_value").alias("payment_value_sum"),
-        *[F.coalesce(F.sum(F.when(of(t), F.col("payment_value"))), F.lit(0.0)).alias(f"payment_type_value_{t}") for t in types],
-        *[F.count_if(of(t)).alias(f"payment_type_count_{t}") for t in types])
+    return [F.sum("payment_value").alias("payment_value_sum"),
+            *[F.coalesce(F.sum(F.when(of(t), F.col("payment_value"))), F.lit(0.0)).alias(f"payment_type_value_{t}") for t in types],
+            *[F.count_if(of(t)).alias(f"payment_type_count_{t}") for t in types]]
+
+
+def profile_aggs() -> list:
+    return [F.array_join(F.array_sort(F.collect_set("payment_type")), "+").alias("payment_combination"),
+            F.max("installments").alias("payment_installments_max")]
+
+
+def payment_pivot(payments: DataFrame, types: Sequence[str]) -> DataFrame:
+    """Total plus value and count per known type, in one aggregation (no distinct-value pass)."""
+    return payments.groupBy("order_id").agg(*payment_aggs(types))
 
 
 def payment_profile(payments: DataFrame) -> DataFrame:
     """Distinct types joined by '+', and the largest number of installments."""
-    return payments.groupBy("order_id").agg(
-        F.array_join(F.array_sort(F.collect_set("payment_type")), "+").alias("payment_combination"),
-        F.max("installments").alias("payment_installments_max"))
+    return payments.groupBy("order_id").agg(*profile_aggs())
 
 
 def volume_photos(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -252,28 +258,58 @@ def review_rollup(reviews: DataFrame) -> DataFrame:
         F.bool_or(F.col("comment").isNotNull()).alias("has_review_comment"))
 
 
+def basket_by_order(t, orders: DataFrame) -> DataFrame:
+    """Basket, route, distance and catalogue features in one pass over the items.
+
+    Items shrink to (order, seller) rows first; seller and customer attributes join those,
+    and one aggregation per order follows on the partitioning of the order join.
+    """
+    zips = geo_median_by_zip(t.geolocation)
+
+    def place(df, p):
+        return df.join(zips.select(F.col("zip").alias(f"{p}_zip"), F.col("lat").alias(f"{p}_lat"), F.col("lng").alias(f"{p}_lng")),
+                       f"{p}_zip", "left")
+    catalogue = t.products.select("product_id", "category", "weight_g", "photos",
+                                  (F.col("length_cm") * F.col("height_cm") * F.col("width_cm")).cast("double").alias("volume"))
+    by_pair = t.items.join(catalogue, "product_id", "left").groupBy("order_id", "seller_id").agg(
+        F.count("product_id").alias("n"), sum0("price").alias("price"), sum0("freight_value").alias("freight"),
+        sum0(F.col("price") + F.col("freight_value")).alias("revenue"), sum0("weight_g").alias("weight"),
+        F.sum("volume").alias("volume"), F.sum("photos").alias("photos"), F.count("photos").alias("photographed"),
+        F.collect_set("category").alias("cats"))
+    buyers = orders.select("order_id", "customer_state", "customer_zip")
+    legs = place(by_pair.join(place(t.sellers, "seller"), "seller_id", "left").join(buyers, "order_id"), "customer")
+    legs = legs.withColumn("km", haversine_km("seller_lat", "seller_lng", "customer_lat", "customer_lng")) \
+        .withColumn("_x", differs("customer_state", "seller_state"))
+    return (legs.groupBy("order_id").agg(
+        F.sum("n").alias("order_item_count"), F.count("seller_id").alias("order_seller_count"),
+        F.sum("price").alias("order_pdt_price_sum"), F.sum("freight").alias("order_frieght_value_sum"),
+        F.sum("revenue").alias("order_revenue_sum"), F.sum("weight").alias("order_product_weight_g_sum"),
+        F.sum("volume").alias("order_product_volume_cm3_sum"), ratio(F.sum("photos"), F.sum("photographed")).alias("order_product_photos_mean"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("cats")))).alias("product_categories"),
+        F.array_sort(F.collect_set("seller_zip")).alias("seller_zips"), F.array_sort(F.collect_set("seller_city")).alias("seller_cities"),
+        F.array_sort(F.collect_set("seller_state")).alias("seller_states"),
+        F.max("km").alias("seller_dist_km_max"), F.min("km").alias("seller_dist_km_min"), F.median("km").alias("seller_dist_km_median"),
+        F.avg("km").alias("seller_dist_km_mean"), F.bool_and("_x").alias("_all"), F.bool_or("_x").alias("_any"))
+        .withColumn("order_product_category_count", F.size("product_categories"))
+        .withColumn("seller_zip_code_prefix_count", F.size("seller_zips"))
+        .withColumn("seller_city_count", F.size("seller_cities")).withColumn("seller_state_count", F.size("seller_states")))
+
+
 def feature_table(t, payment_types: Sequence[str], min_month: str = "1995-02") -> DataFrame:
-    """One row per approved order: five rollups merged, plus the ten extra columns.
+    """One row per approved order: item and payment rollups merged, plus the extra columns.
 
-    The month floor is applied to the orders first and reaches the child tables as a
-    semi join on approved ids, before anything is shuffled for a rollup.
+    Two passes over child tables (items, payments), each reduced to one row per order
+    before it joins; every large join shares the ``order_id`` partitioning.
     """
-    orders = calendar_features(t.orders.where("approved_at IS NOT NULL"))
-    orders = duration_features(orders).where(F.col("partition_yyyymm") >= min_month) \
-        .join(t.customers, "customer_id", "left")
-    ids = orders.select("order_id")
-    items = t.items.join(ids, "order_id", "left_semi")
-    payments = t.payments.join(ids, "order_id", "left_semi")
-    pairs = pair_distances(items, orders, t.customers, t.sellers, geo_median_by_zip(t.geolocation))
-    df = (orders.join(route_type(orders, items, t.sellers), "order_id", "left")
-          .join(seller_distance_stats(pairs), "order_id", "left")
-          .join(order_item_rollup(items, t.products, t.sellers), "order_id", "left")
-          .join(payment_pivot(payments, payment_types), "order_id", "left")
-          .join(payment_profile(payments), "order_id", "left")
-          .join(volume_photos(items, t.products), "order_id", "left")
-          .join(trailing_load(t.orders).drop("approved"), "approved_day", "left"))
+    orders = duration_features(calendar_features(t.orders.where("approved_at IS NOT NULL")))
+    orders = orders.where(F.col("partition_yyyymm") >= min_month).join(t.customers, "customer_id", "left")
+    pay = t.payments.groupBy("order_id").agg(*payment_aggs(payment_types), *profile_aggs())
+    df = (orders.join(basket_by_order(t, orders), "order_id", "left").join(pay, "order_id", "left")
+          .join(F.broadcast(trailing_load(t.orders).drop("approved")), "approved_day", "left"))
     df = calendar_flags(promise_features(df))
-    return (df.withColumn("payment_combination", F.coalesce("payment_combination", F.lit("no_payment")))
+    route = F.when(F.coalesce("_all", F.lit(True)), "1. All interstate").when(~F.col("_any"), "2. All same-state").otherwise("3. Mixed")
+    return (df.withColumn("route_type", route).drop("_all", "_any")
+            .withColumn("payment_combination", F.coalesce("payment_combination", F.lit("no_payment")))
             .withColumn("freight_to_price_ratio", ratio("order_frieght_value_sum", "order_pdt_price_sum")))
 
 

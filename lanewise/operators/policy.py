@@ -25,15 +25,17 @@ def worklist(orders: DataFrame, scores: DataFrame, min_days: int, score: str = "
     """
     if isinstance(min_days, bool) or not isinstance(min_days, int) or not 0 <= min_days <= 365:
         raise ValueError("min_days must be an integer between 0 and 365")
-    base = orders.where("approved_at IS NOT NULL").withColumn("run_day", F.date_add(day("approved_at"), 1)) \
-        .join(scores, "order_id", "left")
+    run_day = F.date_add(day("approved_at"), 1)
+    # Reasons are settled before the join: only the ranking key travels on.
     promise = day("estimated_at")
     known = F.array_compact(F.array(
-        F.when(F.col("delivered_at") < F.col("run_day").cast("timestamp_ntz"), F.lit("already_delivered")),
+        F.when(F.col("delivered_at") < run_day.cast("timestamp_ntz"), F.lit("already_delivered")),
         F.when(promise.isNull(), F.lit("missing_promised_delivery_date")),
-        F.when(F.datediff(promise, F.col("run_day")) <= min_days, F.lit("insufficient_time_remaining"))))
+        F.when(F.datediff(promise, run_day) <= min_days, F.lit("insufficient_time_remaining"))))
+    base = orders.where("approved_at IS NOT NULL").select("order_id", run_day.alias("run_day"), promise.alias("promised_day"), known.alias("_r")) \
+        .join(scores.select("order_id", score), "order_id", "left")
     reasons = F.when((F.size("_r") == 0) & F.col(score).isNull(), F.array(F.lit("invalid_model_inputs"))).otherwise(F.col("_r"))
-    rows = base.withColumn("_r", known).withColumn("reasons", reasons).drop("_r")
+    rows = base.withColumn("reasons", reasons).drop("_r")
     ranked = global_rank(rows.where(F.size("reasons") == 0), [F.desc(score), F.asc("order_id")], ["run_day"]) \
         .withColumnRenamed("n", "eligible")
     rest = rows.where(F.size("reasons") > 0).withColumn("rank", F.lit(None).cast("bigint")).withColumn("eligible", F.lit(None).cast("bigint"))

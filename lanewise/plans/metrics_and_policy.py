@@ -415,7 +415,7 @@ SHARES = [round(0.05 * i, 2) for i in range(21)]
     (SELECT 'daily' AS method, share, rank <= ceil(share * eligible) AS s, y FROM wl, g WHERE ok UNION ALL SELECT 'buffer', share, brank <= ceil(share * eligible), y FROM b, g WHERE ok UNION ALL SELECT 'monthly', share, rank <= ceil(share * n), y FROM mr, g), tot GROUP BY 1, 2""")
 def _(t):
     daily = _replay(t)
-    late = daily.where("label = 1").count()
+    late = outcomes(t).where("label = 1").count()
     buffer = policy.attach_outcomes(_worklist(t, policy.buffer_scores(t.scores)), outcomes(t))
     monthly = ordering.global_rank(
         t.orders.where("approved_at IS NOT NULL").select("order_id", F.date_format(day("approved_at"), "yyyy-MM").alias("month"))
