@@ -93,10 +93,13 @@ def review_score_distribution(df: DataFrame) -> DataFrame:
 
 
 def monthly_sales(df: DataFrame) -> DataFrame:
-    """Orders, revenue and average order value: per order, and per order with a payment."""
-    return df.groupBy("approved_month").agg(
-        n_rows("orders"), F.sum("payment_value").alias("revenue"), F.avg("payment_value").alias("mean_paid_order")) \
-        .withColumn("average_order", ratio("revenue", "orders"))
+    """Orders, revenue and average order value: per order, and per order with a payment.
+
+    Amounts are added as whole cents, so the total does not depend on task order.
+    """
+    cents = F.sum(F.round(F.col("payment_value") * 100).cast("bigint")) / F.lit(100.0)
+    return df.groupBy("approved_month").agg(n_rows("orders"), cents.alias("revenue"), F.count("payment_value").alias("_paid")) \
+        .withColumn("mean_paid_order", ratio("revenue", "_paid")).withColumn("average_order", ratio("revenue", "orders")).drop("_paid")
 
 
 def status_share(df: DataFrame, c: str = "order_status") -> DataFrame:

@@ -161,26 +161,33 @@ def seller_distance_stats(pairs: DataFrame) -> DataFrame:
         F.count("seller_id").alias("seller_dist_km_count"))
 
 
+def category_sets(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Distinct categories per order: repeats collapse before the set is gathered."""
+    seen = items.select("order_id", "product_id").join(products.select("product_id", "category"), "product_id") \
+        .where("category IS NOT NULL").select("order_id", "category").distinct()
+    return seen.groupBy("order_id").agg(F.array_sort(F.collect_set("category")).alias("product_categories"))
+
+
 def order_item_rollup(items: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
     """Basket measures and place sets per order.
 
     Two levels, (order, seller) then order: seller attributes join the reduced rows,
-    every distinct count is the size of a set bounded by a dimension, and no
+    every distinct count is the size of a set of places or categories, and no
     multi-distinct expansion is needed.
     """
-    by_pair = (items.join(products.select("product_id", "category", "weight_g"), "product_id", "left")
+    by_pair = (items.join(products.select("product_id", "weight_g"), "product_id", "left")
                .groupBy("order_id", "seller_id").agg(
         F.count("product_id").alias("n"), sum0("price").alias("price"), sum0("freight_value").alias("freight"),
-        sum0(F.col("price") + F.col("freight_value")).alias("revenue"), sum0("weight_g").alias("weight"),
-        F.collect_set("category").alias("cats")))
+        sum0(F.col("price") + F.col("freight_value")).alias("revenue"), sum0("weight_g").alias("weight")))
     return (by_pair.join(sellers, "seller_id", "left").groupBy("order_id").agg(
         F.sum("n").alias("order_item_count"), F.count("seller_id").alias("order_seller_count"),
         F.sum("price").alias("order_pdt_price_sum"), F.sum("freight").alias("order_frieght_value_sum"),
         F.sum("revenue").alias("order_revenue_sum"), F.sum("weight").alias("order_product_weight_g_sum"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("cats")))).alias("product_categories"),
         F.array_sort(F.collect_set("seller_zip")).alias("seller_zips"),
         F.array_sort(F.collect_set("seller_city")).alias("seller_cities"),
         F.array_sort(F.collect_set("seller_state")).alias("seller_states"))
+        .join(category_sets(items, products), "order_id", "left")
+        .withColumn("product_categories", F.coalesce("product_categories", F.array().cast("array<string>")))
         .withColumn("order_product_category_count", F.size("product_categories"))
         .withColumn("seller_zip_code_prefix_count", F.size("seller_zips"))
         .withColumn("seller_city_count", F.size("seller_cities"))
@@ -259,7 +266,7 @@ def review_rollup(reviews: DataFrame) -> DataFrame:
 
 
 def basket_by_order(t, orders: DataFrame) -> DataFrame:
-    """Basket, route, distance and catalogue features in one pass over the items.
+    """Basket, route, distance and catalogue features from (order, seller) rows.
 
     Items shrink to (order, seller) rows first; seller and customer attributes join those,
     and one aggregation per order follows on the partitioning of the order join.
@@ -269,13 +276,12 @@ def basket_by_order(t, orders: DataFrame) -> DataFrame:
     def place(df, p):
         return df.join(zips.select(F.col("zip").alias(f"{p}_zip"), F.col("lat").alias(f"{p}_lat"), F.col("lng").alias(f"{p}_lng")),
                        f"{p}_zip", "left")
-    catalogue = t.products.select("product_id", "category", "weight_g", "photos",
+    catalogue = t.products.select("product_id", "weight_g", "photos",
                                   (F.col("length_cm") * F.col("height_cm") * F.col("width_cm")).cast("double").alias("volume"))
     by_pair = t.items.join(catalogue, "product_id", "left").groupBy("order_id", "seller_id").agg(
         F.count("product_id").alias("n"), sum0("price").alias("price"), sum0("freight_value").alias("freight"),
         sum0(F.col("price") + F.col("freight_value")).alias("revenue"), sum0("weight_g").alias("weight"),
-        F.sum("volume").alias("volume"), F.sum("photos").alias("photos"), F.count("photos").alias("photographed"),
-        F.collect_set("category").alias("cats"))
+        F.sum("volume").alias("volume"), F.sum("photos").alias("photos"), F.count("photos").alias("photographed"))
     buyers = orders.select("order_id", "customer_state", "customer_zip")
     legs = place(by_pair.join(place(t.sellers, "seller"), "seller_id", "left").join(buyers, "order_id"), "customer")
     legs = legs.withColumn("km", haversine_km("seller_lat", "seller_lng", "customer_lat", "customer_lng")) \
@@ -285,11 +291,12 @@ def basket_by_order(t, orders: DataFrame) -> DataFrame:
         F.sum("price").alias("order_pdt_price_sum"), F.sum("freight").alias("order_frieght_value_sum"),
         F.sum("revenue").alias("order_revenue_sum"), F.sum("weight").alias("order_product_weight_g_sum"),
         F.sum("volume").alias("order_product_volume_cm3_sum"), ratio(F.sum("photos"), F.sum("photographed")).alias("order_product_photos_mean"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("cats")))).alias("product_categories"),
         F.array_sort(F.collect_set("seller_zip")).alias("seller_zips"), F.array_sort(F.collect_set("seller_city")).alias("seller_cities"),
         F.array_sort(F.collect_set("seller_state")).alias("seller_states"),
         F.max("km").alias("seller_dist_km_max"), F.min("km").alias("seller_dist_km_min"), F.median("km").alias("seller_dist_km_median"),
         F.avg("km").alias("seller_dist_km_mean"), F.bool_and("_x").alias("_all"), F.bool_or("_x").alias("_any"))
+        .join(category_sets(t.items, t.products), "order_id", "left")
+        .withColumn("product_categories", F.coalesce("product_categories", F.array().cast("array<string>")))
         .withColumn("order_product_category_count", F.size("product_categories"))
         .withColumn("seller_zip_code_prefix_count", F.size("seller_zips"))
         .withColumn("seller_city_count", F.size("seller_cities")).withColumn("seller_state_count", F.size("seller_states")))
@@ -298,7 +305,7 @@ def basket_by_order(t, orders: DataFrame) -> DataFrame:
 def feature_table(t, payment_types: Sequence[str], min_month: str = "1995-02") -> DataFrame:
     """One row per approved order: item and payment rollups merged, plus the extra columns.
 
-    Two passes over child tables (items, payments), each reduced to one row per order
+    Passes over the child tables (items, item categories, payments), each reduced to one row per order
     before it joins; every large join shares the ``order_id`` partitioning.
     """
     orders = duration_features(calendar_features(t.orders.where("approved_at IS NOT NULL")))

@@ -162,7 +162,7 @@ def _(t):
     return history.order_history_rollup(t.seller_history)
 
 
-MONTHLY = "SELECT approved_month, count(*) AS orders, sum(payment_value) AS revenue FROM ot GROUP BY 1"
+MONTHLY = "SELECT approved_month, count(*) AS orders, sum(round(payment_value * 100)::BIGINT)::BIGINT / 100.0::DOUBLE AS revenue FROM ot GROUP BY 1"
 
 
 @query("mom_yoy_change", f"""SELECT approved_month, round(revenue, 4) AS revenue, round(revenue / lag(revenue) OVER w - 1, 4) AS mom,
@@ -341,8 +341,11 @@ def _(t):
     return cubes.review_score_distribution(t.order_table)
 
 
-@query("monthly_sales", """SELECT approved_month, count(*) AS orders, round(sum(payment_value), 4) AS revenue, round(avg(payment_value), 4) AS mean_paid_order,
-    round(sum(payment_value) / count(*), 4) AS average_order FROM ot GROUP BY 1""", digits=4)
+CENTS = "sum(round(payment_value * 100)::BIGINT)::BIGINT / 100.0::DOUBLE"
+
+
+@query("monthly_sales", f"""SELECT approved_month, orders, round(revenue, 6) AS revenue, round(revenue / nullif(paid, 0), 6) AS mean_paid_order, round(revenue / orders, 6) AS average_order
+    FROM (SELECT approved_month, count(*) AS orders, count(payment_value) AS paid, {CENTS} AS revenue FROM ot GROUP BY 1)""")
 def _(t):
     return cubes.monthly_sales(t.order_table)
 

@@ -74,7 +74,7 @@ def _(t):
 def _reg_sql(src, by, actual, pred):
     keys = ", ".join(by)
     return f"""reg AS (SELECT {keys}, count(*) AS n, avg(abs({pred} - {actual})) AS mae, sqrt(avg(({pred} - {actual}) * ({pred} - {actual}))) AS rmse,
-      1 - sum(({pred} - {actual}) * ({pred} - {actual})) / (count(*) * var_pop({actual})) AS r2, avg({pred} - {actual}) AS bias, quantile_cont(abs({pred} - {actual}), 0.5) AS median_ae
+      1 - sum(({pred} - {actual}) * ({pred} - {actual})) / nullif(count(*) * var_pop({actual}), 0) AS r2, avg({pred} - {actual}) AS bias, quantile_cont(abs({pred} - {actual}), 0.5) AS median_ae
       FROM {src} WHERE {actual} IS NOT NULL AND {pred} IS NOT NULL GROUP BY {keys})"""
 
 

@@ -55,8 +55,9 @@ def _(t):
     path = shared_path(t.spark, "day-json")
     rows = t.orders.where("approved_at IS NOT NULL").select(
         day("approved_at").alias("d"), "order_id", calendar_days("estimated_at", "approved_at").alias("promise"))
-    # One document per (day, slice): a hot day becomes several documents of bounded length.
-    docs = rows.groupBy("d", F.pmod(F.xxhash64("order_id"), F.lit(16)).alias("slice")).agg(
+    # One document per day and 10,000 orders: a busy day becomes several bounded documents.
+    ranked = ordering.global_rank(rows, [F.asc("order_id")], ["d"])
+    docs = ranked.groupBy("d", F.floor((F.col("rank") - 1) / 10_000).alias("slice")).agg(
         F.collect_list(F.struct("order_id", "promise")).alias("rows")).select(F.map_from_arrays(
             F.array(F.date_format("d", "yyyy-MM-dd")), F.array("rows")).alias("days"))
     docs.write.json(path)
