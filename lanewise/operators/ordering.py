@@ -39,13 +39,17 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums:
     group = Window.partitionBy(*by)
     before = group.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = block_totals.select(
-        BLOCK, *by,
+        F.col(BLOCK).alias("_at"), *[F.col(c).alias(f"_by_{c}") for c in by],
         *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_off_{k}") for k in sums],
         *([F.sum(f"_t_{k}").over(group).alias(f"all_{k}") for k in sums] if totals else []))
     inside = Window.partitionBy(BLOCK, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = blocks.select("*", *[F.coalesce(F.sum(e).over(inside), F.lit(0)).alias(f"_in_{k}")
                                    for k, e in sums.items()])
-    joined = running.join(carry, [BLOCK, *by])
+    # Null-safe on the group, so a missing key is a group like any other.
+    same = F.col(BLOCK) == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = running.join(carry, same)
     keep = [c for c in df.columns]
     return joined.select(*keep, *[(F.col(f"_in_{k}") + F.col(f"_off_{k}")).alias(f"cum_{k}") for k in sums],
                          *([F.col(f"all_{k}") for k in sums] if totals else []))

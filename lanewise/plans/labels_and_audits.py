@@ -351,7 +351,8 @@ def _(t):
     return splits.fold_summary(available_folds(t))
 
 
-@query("random_stratified_split")
+@query("random_stratified_split", f"""WITH c AS (SELECT {label(RUN)}::BIGINT AS label, count(*) AS n FROM r_orders WHERE {WINDOW} AND {label(RUN)} IS NOT NULL GROUP BY 1)
+    SELECT label, 'test' AS split, floor(0.2::DOUBLE * n)::BIGINT AS rows FROM c UNION ALL SELECT label, 'train', n - floor(0.2::DOUBLE * n)::BIGINT FROM c""")
 def _(t):
     rows = labels.training_window(t.orders, RUN_DATE, "classification").select("order_id", "label")
     return splits.stratified_split(rows, "label", 0.2).groupBy("label", "split").agg(n_rows("rows"))

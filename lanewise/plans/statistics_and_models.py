@@ -527,12 +527,15 @@ def _(t):
     return _cls_table(union_all(parts))
 
 
-@query("resample_under")
+BALANCE = f"WITH {TASK}, c AS (SELECT y::DOUBLE AS y, count(*) AS n FROM task WHERE split = 'train' AND strftime(approved_at, '%Y-%m') >= '1995-02' GROUP BY 1)"
+
+
+@query("resample_under", f"{BALANCE} SELECT y, (SELECT min(n) FROM c) AS rows, (SELECT min(n) FROM c) AS orders FROM c")
 def _(t):
     return ml.undersample(train_rows(t)).groupBy("y").agg(n_rows("rows"), F.count_distinct("order_id").alias("orders"))
 
 
-@query("resample_over")
+@query("resample_over", f"{BALANCE} SELECT y, (SELECT max(n) FROM c) AS rows, n AS orders FROM c")
 def _(t):
     return ml.oversample(train_rows(t)).groupBy("y").agg(n_rows("rows"), F.count_distinct("order_id").alias("orders"))
 
@@ -619,7 +622,8 @@ def _(t):
     return rows_df(t, [{"family": k, "parameters": ml.model_size(v.model)} for k, v in fits.items()], "family string, parameters int")
 
 
-@query("bulk_score")
+@query("bulk_score", """SELECT CASE WHEN order_id % 50 = 1 THEN 'order_item_count: count' ELSE '' END AS violations, count(*) AS rows,
+    count(*) FILTER (WHERE order_id % 50 <> 1) AS scored FROM feat GROUP BY 1""")
 def _(t):
     f = ml.fit(logit_spec("C1", FEW), train_rows(t))
     rows = feature_rows(t).withColumn("order_item_count", F.when(F.col("order_id") % 50 == 1, 0).otherwise(F.col("order_item_count")))

@@ -85,3 +85,10 @@ def test_tail_functions():
     assert math.isclose(chi2_sf(3.841458820694124, 1), 0.05, rel_tol=1e-9)
     assert math.isclose(chi2_sf(30.0, 28), 0.36321781, rel_tol=1e-5)
     assert math.isclose(normal_ppf(0.975), 1.959963984540054, rel_tol=1e-9)
+
+
+def test_missing_group_key_is_kept(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, None, 4.0), (3, "a", 5.0)], "id long, k string, s double")
+    assert ordering.global_rank(df, [F.asc("s")], ["k"]).count() == 3
+    got = {r["k"]: r["m"] for r in ordering.exact_quantiles(df, ["k"], ["s"], {"m": 0.5}).collect()}
+    assert got == {None: 3.0, "a": 5.0}
