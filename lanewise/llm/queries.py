@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, near, packing, rules, secrets
+from . import exact, mixing, near, packing, rules, secrets, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,11 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_substring_dedup(spark, sf_dir):
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 @_query
 def op5_minhash_near_dedup(spark, sf_dir):
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
