@@ -1,10 +1,14 @@
 """Queries op1 .. op10 over the whole tables, and their SQL where SQL can say the same."""
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, near, packing, rules, secrets, substrings
+from ..session import share_code
+from . import exact, mixing, near, packing, quality, rules, secrets, substrings, toxicity
+from .text import held_out
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,8 +24,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark, sf_dir):
+        share_code(spark)
+        return fn(spark, sf_dir)
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @_query
@@ -29,6 +37,12 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 @_query
 def op3_substring_dedup(spark, sf_dir):
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"), keep_text=False)
@@ -39,6 +53,14 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
+    return toxicity.score(rows, toxicity.train(docs, _table(spark, sf_dir, "labels"))).drop("text") \
+        .withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @_query
 def op7_mixing(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
