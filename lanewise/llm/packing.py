@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import as_bytes, written
+from .text import as_bytes, small_groups, written
 
 SIZE = 4096
 END_ID = 2
@@ -80,19 +80,6 @@ def cut(tokens: int, size: int = SIZE) -> list[int]:
     return [size] * whole + [rest] * bool(rest)
 
 
-def small_groups(values: list, weight, most: int) -> Iterator[list[int]]:
-    """Consecutive positions whose weights add up to about `most`."""
-    group, total = [], 0
-    for i, v in enumerate(values):
-        group.append(i)
-        total += weight(v)
-        if total >= most:
-            yield group
-            group, total = [], 0
-    if group:
-        yield group
-
-
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens (and the ids). A null text is the empty one: its end id alone."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import share_code
-from . import exact, mixing, near, packing, quality, rules, secrets, substrings, toxicity
+from . import exact, language, mixing, near, packing, quality, rules, secrets, substrings, toxicity
 from .text import held_out
 
 QUERIES: dict = {}
@@ -48,6 +48,12 @@ def op3_substring_dedup(spark, sf_dir):
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
+@_query
+def op4_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs), spans=False)
+
+
 @_query
 def op5_minhash_near_dedup(spark, sf_dir):
     return near.near_duplicates(_table(spark, sf_dir, "documents"))

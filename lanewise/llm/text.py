@@ -4,6 +4,8 @@ Words are runs of bytes other than space and \\t..\\r, so `bytes.split()` and th
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -71,6 +73,19 @@ def as_bytes(text) -> bytes:
     return text.encode("utf-8") if isinstance(text, str) else b""
 
 
+def small_groups(values: list, weight, most: int) -> Iterator[list[int]]:
+    """Consecutive positions whose weights add up to about `most`."""
+    group, total = [], 0
+    for i, v in enumerate(values):
+        group.append(i)
+        total += weight(v)
+        if total >= most:
+            yield group
+            group, total = [], 0
+    if group:
+        yield group
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
