@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import SPACES, text_or_empty, written
+from .text import SPACES, fresh, text_or_empty, written
 
 
 def normalised(text: str = "text") -> Column:
@@ -62,14 +62,13 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; rows with a null id are compared like all others."""
-    kept = exact_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    kept = written(kept, "kept")
+    kept = written(exact_duplicates(docs, doc_id, text).where("kept").select("doc_id", "text_sha256"), "kept")
     sha = F.sha2(normalised(text), 256)
-    out = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
+    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["doc_id"]) & (sha == kept["text_sha256"]), "left_semi")
     # Rows that repeat both id and text all match the one kept row; only then a second shuffle is needed.
-    repeated = docs.groupBy(F.col(doc_id)).count().where("count > 1").select(F.col(doc_id).alias("_id"))
+    repeated = docs.groupBy(F.col(doc_id).alias("id")).count().where("count > 1").select("id")
     if not repeated.head(1):
         return out
-    many = F.col(doc_id).eqNullSafe(F.col("_id"))
-    return out.join(repeated, many, "left_anti").unionByName(
-        out.join(repeated, many, "left_semi").withColumn("_sha", sha).dropDuplicates([doc_id, "_sha"]).drop("_sha"))
+    same, mark = docs[doc_id].eqNullSafe(repeated["id"]), fresh(docs, "_sha")
+    return out.join(repeated, same, "left_anti").unionByName(
+        out.join(repeated, same, "left_semi").withColumn(mark, sha).dropDuplicates([doc_id, mark]).drop(mark))

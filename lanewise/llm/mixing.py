@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import SPACES, text_or_empty, written
+from .text import SPACES, fresh, text_or_empty, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -78,7 +78,7 @@ def shard_quotas(quotas: dict[int, int], shard: int, shards: int, seed: int) ->
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget: float = 1.5, most: float = 2.0,
-        weights: tuple[float, ...] = WEIGHTS, block_words: int = 1 << 20, shards: int = 16, seed: int = 7) -> DataFrame:
+        weights: tuple[float, ...] = WEIGHTS, block_words: int = 1 << 18, shards: int = 16, seed: int = 7) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, taken, shards, place.
 
     A source with target t and s words gives floor(t / s) whole copies of everything, then drawn blocks for the rest; `taken` counts
@@ -138,16 +138,18 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A document is known by its id here; of rows that repeat one, each is matched with each row of the mix at most once.
     """
+    mark = fresh(docs, "_mix")
     taken = mix(docs, doc_id, text, source, **options).where("taken > 0")
-    taken = written(taken.groupBy("doc_id", "size", F.col("source").alias("_of")).agg(F.max("taken").alias("_taken")), "taken")
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "size": "_size"})
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).cast("string").eqNullSafe(F.col("_of")) & (n_words(text_or_empty(text)) == F.col("_size"))
-    rows = docs.join(taken, same) \
-        .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size"))))) \
-        .withColumn("_words", F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size")))
+    taken = written(taken.groupBy("doc_id", "size", "source").agg(F.max("taken").alias("taken")), "taken") \
+        .select(F.struct("doc_id", "size", "source", "taken").alias(mark))
+    m = F.col(mark)
+    same = F.col(doc_id).eqNullSafe(m["doc_id"]) & F.col(source).cast("string").eqNullSafe(m["source"]) & (n_words(text_or_empty(text)) == m["size"])
+    copies = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((m["taken"] - 1) / m["size"])), lambda c: F.struct(
+        m["size"].alias("size"), F.least(m["size"], m["taken"] - c * m["size"]).alias("words")))
+    rows = docs.join(taken, same).withColumn(mark, F.explode(copies))
     first_words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1),
-                                       F.col("_words").cast("int")), "")
-    changed = {text: F.when(F.col("_words") == F.col("_size"), F.col(text)).otherwise(first_words)}
+                                       m["words"].cast("int")), "")
+    changed = {text: F.when(m["words"] == m["size"], F.col(text)).otherwise(first_words)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length(first_words)).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(m["words"] == m["size"], F.col("n_chars")).otherwise(F.length(first_words)).cast(docs.schema["n_chars"].dataType)
     return rows.withColumns(changed).select(*docs.columns)

@@ -2,8 +2,8 @@
 
 Fast similarity sketching fills `BINS` coordinates from one set: round i throws every element into one bin with value i + hash, so a
 large set is done after one round; rounds BINS .. 2 BINS - 1 throw all elements into bin i - BINS and so fill what is left. Equal
-coordinates estimate the Jaccard similarity with concentration bounds. Bands of ROWS coordinates make candidates: at similarity
-0.85 a pair misses all bands with a chance of 6e-9.
+coordinates estimate the Jaccard similarity with concentration bounds. Bands of six coordinates (five below 0.85) make candidates: a
+pair at the threshold of 0.85 or 0.8 misses all bands with a chance of 6e-9.
 
 Equal sets are one class. Every bucket compares its members with its smallest first (a star, not all pairs). A bucket whose members
 are one component by then can add nothing. In the others, members of different components are compared in blocks of bounded size by
@@ -23,8 +23,7 @@ from pyspark.sql import types as T
 
 from .text import ODD, WordHashes, as_bytes, mix64, windows, written
 
-BINS, ROWS = 240, 6
-BANDS = BINS // ROWS
+BINS = 240
 SHINGLE = 3
 SLACK = 0.15  # six standard deviations of an estimate from BINS coordinates at 0.85
 BLOCK = 1000
@@ -70,16 +69,18 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n long, digest binary, signs binary")
 
 
-def _band_keys(classes: DataFrame) -> DataFrame:
+def _band_keys(classes: DataFrame, rows_in_band: int) -> DataFrame:
     """(key, rep) for every class and band."""
+    bands = BINS // rows_in_band
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
-            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(rows, BANDS, ROWS).astype(np.uint64)
-            keys = np.tile(np.arange(BANDS, dtype=np.uint64), (rows, 1))
-            for r in range(ROWS):
+            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(rows, bands, rows_in_band).astype(np.uint64)
+            keys = np.tile(np.arange(bands, dtype=np.uint64), (rows, 1))
+            for r in range(rows_in_band):
                 keys = keys * ODD + signs[:, :, r]
-            yield pa.RecordBatch.from_arrays([pa.array(mix64(keys).view(np.int64).ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(rows), BANDS)))],
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(keys).view(np.int64).ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(rows), bands)))],
                                              ["key", "rep"])
     return classes.select("rep", "signs").mapInArrow(run, f"key long, rep {classes.schema['rep'].dataType.simpleString()}")
 
@@ -181,7 +182,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = written(_sketches(docs, doc_id, text, size), "sketches")
     classes = written(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
                       .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs")), "classes")
-    keys = written(_band_keys(classes), "bands")
+    keys = written(_band_keys(classes, 6 if percent >= 85 else 5), "bands")
     shared = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").drop("last")
     members = written(keys.join(shared, "key"), "buckets")
     facts = classes.select("rep", "n", "signs")

@@ -26,6 +26,14 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(text, SPACES, -1), lambda w: w != "")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """`body(x)` with x bound to `value`, evaluated once however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import as_bytes, hashed_share, held_out, text_or_empty, words_column, written
+from .text import as_bytes, fresh, hashed_share, held_out, text_or_empty, words_column, written
 
 # Fixed word lists per symbol.
 FIXED = {
@@ -210,7 +210,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, doc_id: str =
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], text: str = "text", column: str = "score") -> DataFrame:
-    """All columns of `docs` and the probability of a toxic text; null is the empty text, which has no clause."""
+    """All columns of `docs` and the probability of a toxic text, in the place of a column of that name.
+
+    A null text is the empty one, which has no clause. Repeated rows are scored alike; no rows give no rows.
+    """
     stems, weights = model
     w = np.array(weights)
     clash = [c for c in docs.columns if c.lower() == column.lower()]
@@ -228,5 +231,5 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], text: st
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, bound: int = 12_000) -> DataFrame:
     """The rows whose score stays under the threshold, with all their columns."""
-    scored = score(docs, train(docs, labels, bound), column="_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).select(*docs.columns)
+    mark = fresh(docs, "_toxicity")
+    return score(docs, train(docs, labels, bound), column=mark).where(F.col(mark) < threshold).drop(mark)
