@@ -7,27 +7,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import exact, mixing
+from lanewise.llm import exact, mixing, near, packing, toxicity
+from lanewise.llm.queries import tokenizer_path
 from lanewise.llm.text import written
+from lanewise.session import share_code
 
 ORACLE_SQL = None  # trained scores and seeded draws have no SQL form; tests hold run() against a brute-force version
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.7."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One row of each group of equal texts."""
     return exact.drop_exact(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return near.drop_near(docs, size=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target weights: a row per copy taken."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mix_sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 4,096."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", reject_toxic), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents."""
+    share_code(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
