@@ -143,7 +143,8 @@ def weekday_hour(df: DataFrame) -> DataFrame:
 
 
 def weekday_hour_grid(df: DataFrame, hours: Sequence[int]) -> DataFrame:
-    return df.groupBy("purchase_weekday").pivot("purchase_hour", list(hours)).agg(n_rows()).na.fill(0)
+    """Distinct orders per weekday and hour."""
+    return df.groupBy("purchase_weekday").pivot("purchase_hour", list(hours)).agg(F.count_distinct("order_id")).na.fill(0)
 
 
 def route_late_summary(df: DataFrame) -> DataFrame:

@@ -379,12 +379,15 @@ def _(t):
                                      .join(joins.orders_with_customers(t.orders, t.customers), "order_id"))
 
 
-@query("weekday_hour_heatmap", """SELECT isodow(approved_at)::BIGINT AS purchase_weekday, count(*) FILTER (WHERE hour(approved_at) = 0) AS "0",
-    count(*) FILTER (WHERE hour(approved_at) = 1) AS "1", count(*) FILTER (WHERE hour(approved_at) = 2) AS "2", count(*) FILTER (WHERE hour(approved_at) = 3) AS "3" FROM f_approved GROUP BY 1""")
+HOURS = range(24)
+
+
+@query("weekday_hour_heatmap", "SELECT isodow(approved_at)::BIGINT AS purchase_weekday, " + ", ".join(
+    f'count(DISTINCT order_id) FILTER (WHERE hour(approved_at) = {h}) AS "{h}"' for h in HOURS) + " FROM f_approved GROUP BY 1")
 def _(t):
     from ..functions.scalars import iso_weekday
-    df = t.orders.where("approved_at IS NOT NULL").select(iso_weekday("approved_at").alias("purchase_weekday"), F.hour("approved_at").alias("purchase_hour"))
-    return cubes.weekday_hour_grid(df, [0, 1, 2, 3])
+    df = t.orders.where("approved_at IS NOT NULL").select("order_id", iso_weekday("approved_at").alias("purchase_weekday"), F.hour("approved_at").alias("purchase_hour"))
+    return cubes.weekday_hour_grid(df, list(HOURS))
 
 
 @query("route_late_summary", """SELECT route_type, count(*) AS delivered, round(avg(late), 6) AS late_rate,

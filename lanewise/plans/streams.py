@@ -18,14 +18,14 @@ class Streamed(Base):
 @query("stream_daily_counts", "SELECT approved_at::DATE AS day, count(*) AS orders FROM r_orders WHERE approved_at IS NOT NULL GROUP BY 1")
 def _(t):
     orders = Streamed(t.spark, t.path).orders.where("approved_at IS NOT NULL")
-    return streams.upsert_windows(streams.daily_counts(orders, "approved_at"), "daily-counts", ["day"])
+    return streams.daily_counts(orders, "approved_at")
 
 
 @query("stream_monitor", """SELECT (d - o)::DATE AS first_day, count(*) AS records, round(avg(score), 6) AS mean_score, count(*) FILTER (WHERE score > 1 OR score < 0) AS out_of_range
     FROM (SELECT *, ts::DATE AS d FROM r_log), range(0, 7) r(o) GROUP BY 1""".replace("(d - o)", "(d - o::INTEGER)"))
 def _(t):
     log = Streamed(t.spark, t.path).prediction_log
-    return streams.upsert_windows(streams.sliding_monitor(log, "ts", "score", 0.0, 1.0), "monitor", ["first_day"])
+    return streams.sliding_monitor(log, "ts", "score", 0.0, 1.0)
 
 
 MATURE = f"""WITH mx AS (SELECT greatest(max(approved_at), max(delivered_at) FILTER (WHERE approved_at IS NOT NULL)) - INTERVAL 1 DAY AS w FROM r_orders)
@@ -42,4 +42,4 @@ def _(t):
                                     F.when(F.col("delivered_at").isNotNull(), F.struct(F.lit("delivered").alias("kind"), F.col("delivered_at").alias("event_ts")))))
     events = orders.select("order_id", F.col("estimated_at").cast("date").alias("deadline"), F.explode(marks).alias("e")).select(
         "order_id", F.col("e.event_ts").cast("timestamp").alias("event_ts"), "e.kind", "deadline")
-    return streams.append_rows(streams.label_maturity(events), "label-maturity")
+    return streams.label_maturity(events)

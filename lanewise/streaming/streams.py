@@ -1,116 +1,85 @@
 """Structured Streaming forms of the daily batch work.
 
-Every stream is incremental over files, runs with ``availableNow`` and keeps its
-progress in the shared folder, so a restarted query continues where it stopped.
+Files arrive in any order, so no result here may depend on a watermark: every micro-batch is reduced to mergeable partial values
+(counts, sums, first and last dates) and written under its epoch, and the reader merges the epochs. Nothing is dropped as late, no
+state is held between batches, and a replayed batch overwrites its own epoch. With the same `out` and `progress` folders a later
+run goes on where the earlier one stopped.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import shared_path
 
+PROGRESS_LAG_DAYS = 1  # a day counts as over when an event of the next but one has been seen
 
-def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """File stream over one table; the schema is stated up front from the table itself."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
+def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """File stream over one table, a file or a folder of part files; the schema is the table's own."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    first = table.select("_metadata.file_name").first()
+    if first and first[0] == f"{name}.parquet":  # a file stream reads folders: pick the one file out of its folder
+        return reader.option("pathGlobFilter", first[0]).parquet(folder)
+    return reader.parquet(path)
 
-def upsert_windows(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Runs an updating aggregate to the end and returns the newest value per key.
 
-    Each micro-batch overwrites its own folder, so a replayed batch changes nothing.
+def collect_partials(stream: DataFrame, name: str, reduce: Callable[[DataFrame], DataFrame], out: str | None = None,
+                     progress: str | None = None) -> DataFrame:
+    """Runs the stream to the end of its present files and returns the partial rows of all epochs so far.
+
+    Give `out` and `progress`, in a folder all executors share, to continue an earlier run; fresh ones are made otherwise.
     """
     spark = stream.sparkSession
-    out, progress = shared_path(spark, f"{name}-out"), shared_path(spark, f"{name}-progress")
+    out, progress = out or shared_path(spark, f"{name}-out"), progress or shared_path(spark, f"{name}-progress")
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", progress) \
-        .trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(out)
-    rest = [c for c in rows.columns if c not in (*keys, "epoch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_v")).select(*keys, "_v.*")
-
+        reduce(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-def append_rows(stream: DataFrame, name: str) -> DataFrame:
-    spark = stream.sparkSession
-    out, progress = shared_path(spark, f"{name}-out"), shared_path(spark, f"{name}-progress")
-    stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", progress) \
-        .trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("epoch")
 
 
-def daily_counts(stream: DataFrame, ts: str, lateness: str = "1 day") -> DataFrame:
+def daily_counts(stream: DataFrame, ts: str, name: str = "daily-counts", **folders) -> DataFrame:
     """Events per calendar day, the input of the trailing load."""
-    counted = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness) \
-        .groupBy(F.window(ts, "1 day")).agg(F.count(F.lit(1)).alias("orders"))
-    return counted.select(F.col("window.start").cast("date").alias("day"), "orders")
+    parts = collect_partials(stream, name, lambda b: b.groupBy(F.col(ts).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("orders")), **folders)
+    return parts.groupBy("day").agg(F.sum("orders").alias("orders"))
 
 
-def sliding_monitor(stream: DataFrame, ts: str, score: str, low: float, high: float, size: str = "7 days", step: str = "1 day") -> DataFrame:
-    """Mean score and out-of-range records per sliding window."""
+def sliding_monitor(stream: DataFrame, ts: str, score: str, low: float, high: float, days: int = 7, name: str = "monitor", **folders) -> DataFrame:
+    """Mean score and out-of-range records per window of `days` days that starts on each day."""
     odd = (F.col(score) < low) | (F.col(score) > high)
-    agg = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, "1 day").groupBy(F.window(ts, size, step)).agg(
-        F.count(F.lit(1)).alias("records"), F.avg(score).alias("mean_score"), F.count_if(odd).alias("out_of_range"))
-    return agg.select(F.col("window.start").cast("date").alias("first_day"), "records", "mean_score", "out_of_range")
-
-
-MATURED = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("label", T.IntegerType()),
-                        T.StructField("label_status", T.StringType()), T.StructField("decided_on", T.DateType())])
-PENDING = T.StructType([T.StructField("approved", T.DateType()), T.StructField("deadline", T.DateType()), T.StructField("delivered", T.DateType())])
+    parts = collect_partials(stream, name, lambda b: b.groupBy(F.col(ts).cast("date").alias("d")).agg(
+        F.count(F.lit(1)).alias("records"), F.sum(score).alias("total"), F.count(score).alias("scored"), F.count_if(odd).alias("out_of_range")), **folders)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda k: F.date_sub("d", k))
+    return parts.withColumn("first_day", F.explode(starts)).groupBy("first_day").agg(
+        F.sum("records").alias("records"), (F.sum("total") / F.sum("scored")).alias("mean_score"), F.sum("out_of_range").alias("out_of_range"))
 
 
-def label_maturity(events: DataFrame, lookback: int = 45) -> DataFrame:
-    """Emits each order's label once: at delivery, or when the day after its cutoff arrives.
+def label_maturity(events: DataFrame, lookback: int = 45, name: str = "label-maturity", **folders) -> DataFrame:
+    """Each order's label once it is decided: at delivery, or when the day after its cutoff is over.
 
-    ``events`` has (order_id, event_ts, kind, deadline) with kind 'approved' or 'delivered'. State is
-    three dates per open order and leaves with the label.
+    `events` has (order_id, event_ts, kind, deadline) with kind 'approved' or 'delivered'. A batch leaves one row of dates per order
+    it touches; orders without an approval so far stay out.
     """
-    step = pd.Timedelta(days=1)
-
-    def verdict(order_id, approved, deadline, delivered, cutoff):
-        """One output row from what is known at the cutoff."""
-        in_time = delivered is not None and delivered <= cutoff
-        if deadline is None or (delivered is not None and delivered < approved):
-            label, status = None, "invalid_or_missing_dates"
-        elif in_time:
-            label = int(delivered > deadline)
-            status = "late_delivered" if label else "on_time_delivered"
-        else:
-            label = 1 if deadline <= cutoff else None
-            status = "late_undelivered" if label else "unresolved"
-        return pd.DataFrame({"order_id": [order_id], "label": pd.array([label], dtype="Int32"), "label_status": [status],
-                             "decided_on": [max(delivered, approved) if in_time else cutoff]})
-
-    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        approved, deadline, delivered = state.get if state.exists else (None, None, None)
-        if not state.hasTimedOut:
-            for pdf in batches:
-                for kind, ts, due in zip(pdf["kind"], pdf["event_ts"], pdf["deadline"]):
-                    if kind == "approved":
-                        approved, deadline = ts.date(), due
-                    else:
-                        delivered = ts.date()
-        # A delivery whose approval never shows up is dropped after the same wait.
-        cutoff = ((pd.Timestamp(approved if approved is not None else delivered)) + lookback * step).date()
-        due_ms = int((pd.Timestamp(cutoff) + step).timestamp() * 1000)
-        settled = approved is not None and delivered is not None and delivered <= cutoff
-        if settled or state.hasTimedOut or due_ms <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            if approved is not None:
-                yield verdict(key[0], approved, deadline, delivered, cutoff)
-            return
-        state.update((approved, deadline, delivered))
-        state.setTimeoutTimestamp(due_ms)
-
-    return events.withWatermark("event_ts", "1 day").groupBy("order_id").applyInPandasWithState(
-        decide, MATURED, PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+    def when(kind: str):
+        return F.min(F.when(F.col("kind") == kind, F.col("event_ts").cast("date"))).alias(kind)
+    parts = collect_partials(events, name, lambda b: b.groupBy("order_id").agg(
+        when("approved"), when("delivered"), F.max(F.when(F.col("kind") == "approved", F.col("deadline"))).alias("deadline"), F.max("event_ts").alias("seen")), **folders)
+    seen = parts.agg(F.max("seen")).first()[0]
+    orders = parts.groupBy("order_id").agg(F.min("approved").alias("approved"), F.min("delivered").alias("delivered"), F.max("deadline").alias("deadline")) \
+        .where("approved IS NOT NULL").withColumn("cutoff", F.date_add("approved", lookback))
+    in_time = F.coalesce(F.col("delivered") <= F.col("cutoff"), F.lit(False))
+    over = F.date_add("cutoff", 1).cast("timestamp") < F.lit(seen) - F.expr(f"INTERVAL {PROGRESS_LAG_DAYS} DAY")
+    broken = F.col("deadline").isNull() | F.coalesce(F.col("delivered") < F.col("approved"), F.lit(False))
+    late = F.when(in_time, F.col("delivered") > F.col("deadline")).when(F.col("deadline") <= F.col("cutoff"), F.lit(True))
+    status = F.when(broken, "invalid_or_missing_dates").when(in_time & late, "late_delivered").when(in_time, "on_time_delivered") \
+        .when(late, "late_undelivered").otherwise("unresolved")
+    return orders.where(in_time | over).select("order_id", F.when(~broken, late.cast("int")).alias("label"), status.alias("label_status"),
+                                               F.when(in_time, F.greatest("delivered", "approved")).otherwise(F.col("cutoff")).alias("decided_on"))

@@ -15,3 +15,11 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+def link_tables(folder, source, without):
+    """A folder with links to all tables of `source` but those named."""
+    for f in os.listdir(source):
+        if f.removesuffix(".parquet") not in without:
+            os.symlink(os.path.join(source, f), os.path.join(folder, f))
+    return str(folder)
