@@ -1,6 +1,9 @@
 """Missing-value rules that differ from plain SQL comparisons."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +42,16 @@ def ratio(a, b) -> Column:
 
 def percent(a, b) -> Column:
     return ratio(F.lit(100.0) * col(a), b)
+
+
+def finite(c) -> Column:
+    """The number, missing when it is NaN or infinite."""
+    x = col(c).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), col(c))
+
+
+def join_groups(left, right, keys, how: str = "inner"):
+    """Joins two tables of one row per group on null-safe keys; without keys, their single rows."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(and_, (left[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys), F.lit(True))
+    return left.join(renamed, same, how).drop(*(f"_key_{k}" for k in keys))

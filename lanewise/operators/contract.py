@@ -2,12 +2,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import holds
 from .ordering import prefix_sums
 
 # Calendar bounds, count columns and the magnitude ceiling of the contract.
@@ -18,46 +17,54 @@ COUNT_COLS = ["order_item_count", "order_seller_count", "order_product_category_
 MAGNITUDE_LIMIT = 1e12
 
 
-def _column_rules(name: str) -> list[tuple[str, Column]]:
-    x = F.col(name)
-    whole = x == F.floor(x)
-    rules = [(f"{name}: not finite", F.isnan(x) | (F.abs(x) == float("inf"))),
-             (f"{name}: magnitude", (F.abs(x) > MAGNITUDE_LIMIT) & (F.abs(x) < float("inf")))]
-    if name in CALENDAR_BOUNDS:
-        lo, hi = CALENDAR_BOUNDS[name]
-        rules.append((f"{name}: calendar bound", ~x.between(lo, hi) | ~whole))
-    elif name.startswith("is_"):
-        rules.append((f"{name}: flag", ~x.isin(0, 1)))
-    elif name in COUNT_COLS:
-        rules.append((f"{name}: count", (x < 1) | ~whole))
-    elif name == "orders_approved_prev_7d":
-        rules.append((f"{name}: count", (x < 0) | ~whole))
-    elif name == "promised_lead_days":
-        rules.append((f"{name}: whole number", ~whole))
-    else:
-        rules.append((f"{name}: negative", x < 0))
-    return rules
+WHOLE = "{c} <> floor({c})"
+# Kind of column -> what breaks its rule, as SQL over the column; the first kind whose test accepts a name is its kind.
+KINDS = {
+    "calendar bound": (CALENDAR_BOUNDS.__contains__, "{c} < {lo} OR {c} > {hi} OR " + WHOLE),
+    "flag": (lambda c: c.startswith("is_"), "{c} NOT IN (0, 1)"),
+    "count": (lambda c: c in COUNT_COLS, "{c} < 1 OR " + WHOLE),
+    "count from zero": (lambda c: c == "orders_approved_prev_7d", "{c} < 0 OR " + WHOLE),
+    "whole number": (lambda c: c == "promised_lead_days", WHOLE),
+    "negative": (lambda c: True, "{c} < 0"),
+}
+# Derived flags: both columns, and the value of the flag by the calendar.
+DERIVED = {
+    "is_weekend_approval": ("order_approved_day_of_week", "{c} >= 6"),
+    "is_december_peak": ("order_approved_month", "{c} = 12"),
+}
+LAST_DAY = "day(last_day(make_date(2020, CAST(order_approved_month AS INT), 1)))"  # a leap year
+
+
+def _number_rules(name: str) -> dict[str, str]:
+    kind, (_, broken) = next((k, v) for k, v in KINDS.items() if v[0](name))
+    low, high = CALENDAR_BOUNDS.get(name, (None, None))
+    return {f"{name}: not finite": f"isnan({name}) OR abs({name}) = double('inf')",
+            f"{name}: magnitude": f"abs({name}) > {MAGNITUDE_LIMIT} AND abs({name}) < double('inf')",
+            f"{name}: {kind.removesuffix(' from zero')}": broken.format(c=name, lo=low, hi=high)}
+
+
+def require_features(given: Sequence[str], known: Sequence[str]) -> None:
+    """Refuses inputs the contract does not name."""
+    unknown = sorted(set(given) - set(known))
+    if unknown:
+        raise ValueError(f"unknown features: {unknown}")
 
 
 def validate(df: DataFrame, numeric: Sequence[str], categories: Mapping[str, Sequence[str]]) -> DataFrame:
     """Adds ``violations``: every broken rule of the row (missing numbers are allowed)."""
-    missing = [c for c in [*numeric, *categories] if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing required columns: {missing}")
-    rules = [r for c in numeric for r in _column_rules(c)]
-    rules.append(("all numeric missing", reduce(and_, [F.col(c).isNull() for c in numeric])))
-    if {"order_approved_month", "order_approved_day_of_month"} <= set(numeric):
-        m = F.col("order_approved_month").cast("int")
-        longest = F.when(m == 2, 29).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-        rules.append(("day not in month", F.col("order_approved_day_of_month") > longest))
-    for source, flag, expected in (("order_approved_day_of_week", "is_weekend_approval", lambda x: x >= 6),
-                                   ("order_approved_month", "is_december_peak", lambda x: x == 12)):
-        if {source, flag} <= set(numeric):
-            rules.append((f"{flag}: inconsistent", F.col(flag) != expected(F.col(source)).cast("int")))
-    for c, levels in categories.items():
-        rules.append((f"{c}: category", F.col(c).isNull() | ~F.col(c).isin(list(levels))))
-    return df.withColumn("violations", F.array_compact(F.array(*[
-        F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules])))
+    absent = {*numeric, *categories}.difference(df.columns)
+    if absent:
+        raise ValueError(f"missing required columns: {sorted(absent)}")
+    broken = {rule: F.expr(sql) for c in numeric for rule, sql in _number_rules(c).items()}
+    broken["all numeric missing"] = F.coalesce(*(F.col(c).cast("double") for c in numeric)).isNull()
+    if {"order_approved_month", "order_approved_day_of_month"}.issubset(numeric):
+        broken["day not in month"] = F.expr(f"CASE WHEN CAST(order_approved_month AS INT) IN ({', '.join(map(str, range(1, 13)))}) THEN order_approved_day_of_month > {LAST_DAY} "
+                                            "ELSE order_approved_day_of_month > 31 END")
+    for flag, (source, true_when) in DERIVED.items():
+        if {flag, source}.issubset(numeric):
+            broken[f"{flag}: inconsistent"] = F.expr(f"{flag} <> CAST({true_when.format(c=source)} AS INT)")
+    broken |= {f"{c}: category": ~F.coalesce(F.col(c).isin(list(levels)), F.lit(False)) for c, levels in categories.items()}
+    return df.withColumn("violations", F.array_compact(F.array(*(F.when(holds(b), F.lit(rule)) for rule, b in broken.items()))))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -90,7 +90,10 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def map_lookup(df: DataFrame, lookup: DataFrame, key: str, value: str) -> DataFrame:
-    return df.join(lookup.select(key, value).dropDuplicates([key]), key, "left")
+    """Adds the value of the key; a key with two values is an error, not a choice."""
+    one = lookup.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(value).alias(value)) \
+        .select(key, F.when(F.col("_n") == 1, F.col(value)).otherwise(F.raise_error(F.lit(f"lookup repeats a {key}"))).alias(value))
+    return df.join(one, key, "left")
 
 
 def param_rows(rows: Sequence[dict]) -> Column:

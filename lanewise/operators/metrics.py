@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import n_rows, percent, ratio
+from ..functions.nulls import finite, join_groups, n_rows, percent, ratio
 from ..functions.times import col
 from .ordering import exact_quantiles, global_rank, prefix_sums, qcut_code, quantile_edges
 
@@ -19,7 +19,7 @@ from .ordering import exact_quantiles, global_rank, prefix_sums, qcut_code, quan
 def score_curve(df: DataFrame, by: Sequence[str] = (), score: str = "p", label: str = "label") -> DataFrame:
     """Per distinct score, highest first: n rows, k known, pos late, each with cum_ and all_ totals."""
     y = F.col(label).cast("bigint")
-    counts = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
+    counts = df.where(finite(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
         n_rows("n"), F.count(y).alias("k"), F.coalesce(F.sum(y), F.lit(0)).alias("pos"))
     return prefix_sums(counts, by, [F.desc("score")], {c: F.col(c) for c in ("n", "k", "pos")})
 
@@ -59,10 +59,10 @@ def top_late(df: DataFrame, curve: DataFrame, by: Sequence[str], fraction: float
     cut = curve.withColumn("top_count", top).where((F.col("cum_n") >= F.col("top_count")) & (F.col("cum_n") - F.col("n") < F.col("top_count"))) \
         .select(*by, F.col("score").alias(score), "top_count", (F.col("cum_pos") - F.col("pos")).alias("_above"),
                 (F.col("top_count") - F.col("cum_n") + F.col("n")).alias("_need"))
-    tied = df.select(*by, score, id_col, label).join(cut.select(*by, score, "_need"), [*by, score])
+    tied = join_groups(df.select(*by, score, id_col, label), cut.select(*by, score, "_need"), [*by, score])
     inside = global_rank(tied, [F.asc(id_col)], by).where(F.col("rank") <= F.col("_need"))
     extra = inside.groupBy(*by, score).agg(F.coalesce(F.sum(F.col(label).cast("bigint")), F.lit(0)).alias("_extra"))
-    return cut.join(extra, [*by, score], "left").select(*by, "top_count", (F.col("_above") + F.coalesce("_extra", F.lit(0))).alias("top_late"))
+    return join_groups(cut, extra, [*by, score], "left").select(*by, "top_count", (F.col("_above") + F.coalesce("_extra", F.lit(0))).alias("top_late"))
 
 
 def classification_metrics(df: DataFrame, by: Sequence[str] = (), fraction: float = 0.1, score: str = "p",
@@ -71,7 +71,7 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (), fraction: floa
     by = list(by)
     curve = score_curve(df, by, score, label)
     base, top = ranking_scores(curve, by), top_late(df, curve, by, fraction, score, label, id_col)
-    both = base.join(top, by) if by else base.withColumn("_1", F.lit(1)).join(top.withColumn("_1", F.lit(1)), "_1").drop("_1")
+    both = join_groups(base, top, by)
     prec, rec = ratio("top_late", "top_count"), ratio("top_late", "n_late")
     return (both.withColumn("precision_top10", prec).withColumn("recall_top10", rec)
             .withColumn("f1_top10", F.when(F.col("n_late") > 0, _f1(prec, rec)).otherwise(F.lit(0.0)))
@@ -79,13 +79,13 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (), fraction: floa
 
 
 def regression_metrics(df: DataFrame, by: Sequence[str] = (), actual: str = "target", predicted: str = "days") -> DataFrame:
-    known = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()) \
+    known = df.where(finite(actual).isNotNull() & finite(predicted).isNotNull()) \
         .withColumn("_e", F.col(predicted) - F.col(actual)).withColumn("_a", F.abs("_e"))
     sq = F.col("_e") * F.col("_e")
     sums = known.groupBy(*by).agg(n_rows("n"), F.avg("_a").alias("mae"), F.sqrt(F.avg(sq)).alias("rmse"),
                                   (1 - ratio(F.sum(sq), F.count("_e") * F.var_pop(actual))).alias("r2"), F.avg("_e").alias("bias"))
     mid = exact_quantiles(known, by, ["_a"], {"median_ae": 0.5}).select(*by, "median_ae")
-    return sums.join(mid, list(by)) if by else sums.withColumn("_1", F.lit(1)).join(mid.withColumn("_1", F.lit(1)), "_1").drop("_1")
+    return join_groups(sums, mid, list(by))
 
 
 def regression_split_metrics(df: DataFrame, by: Sequence[str] = (), actual: str = "target", predicted: str = "days",
@@ -93,7 +93,7 @@ def regression_split_metrics(df: DataFrame, by: Sequence[str] = (), actual: str
     """Adds errors of late and on-time rows, the derived late flag, and unknown counts."""
     base = regression_metrics(df, by, actual, predicted)
     e = F.col(predicted) - F.col(actual)
-    ok = F.col(actual).isNotNull() & F.col(predicted).isNotNull()
+    ok = finite(actual).isNotNull() & finite(predicted).isNotNull()
     is_late = (F.col(late) == 1) if late else (F.col(actual) > 0)
     usable = ok & (F.col(late).isNotNull() if late else F.lit(True))
     yes, no, flag = usable & is_late, usable & ~is_late, usable & (F.col(predicted) > 0)
@@ -104,13 +104,13 @@ def regression_split_metrics(df: DataFrame, by: Sequence[str] = (), actual: str
         F.count_if(F.col(actual).isNull()).alias("n_unknown"))
     p, r = F.coalesce(ratio("_tp", "_f"), F.lit(0.0)), F.coalesce(ratio("_tp", "n_actual_late"), F.lit(0.0))
     extra = extra.withColumn("late_flag_precision", p).withColumn("late_flag_recall", r).withColumn("late_flag_f1", _f1(p, r)).drop("_tp", "_f")
-    return base.join(extra, list(by)) if by else base.withColumn("_1", F.lit(1)).join(extra.withColumn("_1", F.lit(1)), "_1").drop("_1")
+    return join_groups(base, extra, list(by))
 
 
 def risk_deciles(df: DataFrame, by: Sequence[str] = (), score: str = "p", label: str = "label", id_col: str = "order_id") -> DataFrame:
     """Ten near-equal groups by (score desc, id); capture, lift and cumulative capture."""
     by = list(by)
-    ranked = global_rank(df.where(F.col(score).isNotNull()), [F.desc(score), F.asc(id_col)], by)
+    ranked = global_rank(df.where(finite(score).isNotNull()), [F.desc(score), F.asc(id_col)], by)
     tenth = ranked.withColumn("decile", (F.floor(10 * (F.col("rank") - 1) / F.col("n")) + 1).cast("int"))
     groups = tenth.groupBy(*by, "decile").agg(n_rows("scored_orders"), F.count(label).alias("known_orders"),
                                               F.coalesce(F.sum(F.col(label).cast("bigint")), F.lit(0)).alias("late_orders"))
@@ -124,7 +124,7 @@ def risk_deciles(df: DataFrame, by: Sequence[str] = (), score: str = "p", label:
 
 def quantile_deciles(df: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
     """Quantile-edge groups (equal edges merged), riskiest first, with running rate and coverage."""
-    known = df.where(F.col(score).isNotNull())
+    known = df.where(finite(score).isNotNull())
     edges = quantile_edges(known, score, 10)
     groups = max(len(edges) - 1, 1)
     agg = known.groupBy((F.lit(groups) - qcut_code(score, edges)).alias("decile")).agg(

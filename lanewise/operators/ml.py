@@ -129,6 +129,10 @@ def gbt(task: str, **params):
     return (GBTClassifier if task == "classification" else GBTRegressor)(seed=SEED, **params)
 
 
+# What the solver says of a singular information matrix.
+SINGULAR = ("SingularMatrix", "singular", "No Std. Error", "No t-statistic", "No p-value")
+
+
 def logit_inference(design_rows: DataFrame, cols: Sequence[str], y: str, se_limit: float = 10.0) -> tuple[list[dict], dict]:
     """Unpenalised logit with standard errors; terms with a huge SE are reported as quasi-separated."""
     names = [f"x{i}" for i in range(len(cols))]
@@ -140,7 +144,10 @@ def logit_inference(design_rows: DataFrame, cols: Sequence[str], y: str, se_limi
     try:
         model = run(0.0)
         se, p = model.summary.coefficientStandardErrors, model.summary.pValues
-    except Exception:  # singular information matrix: negligible ridge, no standard errors available
+    except Exception as error:
+        if not any(sign in str(error) for sign in SINGULAR):
+            raise
+        # Singular information matrix: negligible ridge, no standard errors available.
         model, fallback = run(1e-6), "ridge 1e-6"
         se = p = [float("nan")] * (len(cols) + 1)
     coef = [*model.coefficients, model.intercept]
@@ -229,11 +236,11 @@ def random_grid(space: Mapping[str, Sequence], n: int, seed: int = SEED) -> list
 
 
 def neighbour_grid(space: Mapping[str, Sequence], best: Mapping[str, Any], keys: Sequence[str], width: int = 1, **fixed) -> list[dict]:
-    near = {}
-    for k, v in best.items():
-        at = space[k].index(v) if k in keys else None
-        near[k] = [v] if at is None else space[k][max(0, at - width): at + width + 1]
-    return grid({**near, **fixed})
+    """All points of the space at most ``width`` steps from the best along ``keys`` and equal to it elsewhere."""
+    def steps(point: dict) -> bool:
+        return all(abs(space[k].index(point[k]) - space[k].index(best[k])) <= width if k in keys else point[k] == best[k] for k in best)
+    around = {k: space[k] if k in keys else [best[k]] for k in best}
+    return [{**point, **extra} for point in grid(around) if steps(point) for extra in grid(fixed)]
 
 
 def search(spec_of: Callable[[dict], Spec], candidates: Sequence[dict], folds: DataFrame, n_folds: int) -> list[dict]:
@@ -250,9 +257,11 @@ def search(spec_of: Callable[[dict], Spec], candidates: Sequence[dict], folds: D
 
 def pick_best(results: Sequence[dict], tol: float = 1e-4) -> dict:
     """Best mean score; within ``tol`` the shallower tree, larger leaves, fewer trees."""
-    top = max(r["mean_score"] for r in results)
-    near = [r for r in results if r["mean_score"] >= top - tol]
-    return min(near, key=lambda r: (r["maxDepth"], -r["minInstancesPerNode"], r.get("numTrees", 0)))
+    simple_first = sorted(results, key=lambda r: r.get("numTrees", 0))
+    simple_first.sort(key=lambda r: r["minInstancesPerNode"], reverse=True)
+    simple_first.sort(key=lambda r: r["maxDepth"])
+    enough = -tol + max(r["mean_score"] for r in results)
+    return next(r for r in simple_first if r["mean_score"] >= enough)
 
 
 # ---- interpretation ----

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import n_rows, ratio
+from ..functions.nulls import finite, n_rows, ratio
 from ..functions.times import day
 from .ordering import global_rank
 
@@ -33,7 +33,7 @@ def worklist(orders: DataFrame, scores: DataFrame, min_days: int, score: str = "
         F.when(promise.isNull(), F.lit("missing_promised_delivery_date")),
         F.when(F.datediff(promise, run_day) <= min_days, F.lit("insufficient_time_remaining"))))
     base = orders.where("approved_at IS NOT NULL").select("order_id", run_day.alias("run_day"), promise.alias("promised_day"), known.alias("_r")) \
-        .join(scores.select("order_id", score), "order_id", "left")
+        .join(scores.select("order_id", finite(score).alias(score)), "order_id", "left")
     reasons = F.when((F.size("_r") == 0) & F.col(score).isNull(), F.array(F.lit("invalid_model_inputs"))).otherwise(F.col("_r"))
     rows = base.withColumn("reasons", reasons).drop("_r")
     ranked = global_rank(rows.where(F.size("reasons") == 0), [F.desc(score), F.asc("order_id")], ["run_day"]) \

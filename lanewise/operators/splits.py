@@ -24,18 +24,34 @@ def approval_days(df: DataFrame) -> list[dt.date]:
 
 
 def chronological_split(df: DataFrame, test_days: int = 30, gap_days: int = 0) -> DataFrame:
-    """Adds ``split``: the newest days are 'test', days before the gap 'train', the gap is missing."""
-    if test_days < 1 or gap_days < 0:
-        raise ValueError("test_days must be positive and gap_days non-negative")
-    first, last = df.agg(F.min(day("approved_at")), F.max(day("approved_at"))).first()
-    if last is None:
-        raise ValueError("no rows to split")
-    start = last - dt.timedelta(days=test_days - 1)
-    if first >= start - dt.timedelta(days=gap_days):
-        raise ValueError("empty train split: widen the window or shorten the gap")
+    """Adds ``split``: the newest days are 'test', days before the gap 'train', the gap is missing.
+
+    Refused when a row has no approval day or either part would hold no day.
+    """
     d = day("approved_at")
-    return df.withColumn("split", F.when(d >= F.lit(start), "test")
-                         .when(d < F.lit(start - dt.timedelta(days=gap_days)), "train"))
+    first, last, undated = df.agg(F.min(d), F.max(d), F.count_if(d.isNull())).first()
+    if undated:
+        raise ValueError(f"{undated} rows without an approval day")
+    test = _span(last, test_days - 1) if last else None
+    before = test and test[0] - dt.timedelta(days=gap_days)
+    _check_plan([{"train": (first, before), "gap": gap_days, "valid": test}] if last else [])
+    return df.withColumn("split", F.when(d >= F.lit(test[0]), "test").when(d < F.lit(before), "train"))
+
+
+def _span(last: dt.date, back: int) -> tuple[dt.date, dt.date]:
+    return last - dt.timedelta(days=back), last
+
+
+def _check_plan(parts: Sequence[dict]) -> None:
+    """A usable plan: at least one part, days to train on before the gap, validation days in order, and the gap kept."""
+    problems = [
+        "no approval days" if not parts else "",
+        *("empty validation block" for p in parts if p["valid"][0] > p["valid"][1]),
+        *("negative gap" for p in parts if p["gap"] < 0),
+        *("no training day before the gap" for p in parts if p["train"][0] >= p["train"][1]),
+        *("validation blocks overlap" for a, b in zip(parts, parts[1:]) if a["valid"][1] >= b["valid"][0])]
+    if any(problems):
+        raise ValueError("unusable split: " + "; ".join(sorted(set(filter(None, problems)))))
 
 
 def available_training_rows(train: DataFrame, validation_start, audit: Audit, known_col: str,
@@ -52,41 +68,36 @@ def fold_plan(days: Sequence[dt.date], n_splits: int = 5, gap_days: int = 0, min
     Blocks are fixed calendar lengths anchored at the newest day (``validation_days``),
     or near-equal runs of distinct days after an initial span.
     """
-    if n_splits < 2 or gap_days < 0 or (validation_days is not None and validation_days < 1):
-        raise ValueError("need at least two folds, a non-negative gap and positive validation_days")
-    if not days:
-        raise ValueError("no approval days")
+    if validation_days is not None and min_train_days is not None:
+        raise ValueError("fixed-length blocks leave no choice of the initial span")
     one = dt.timedelta(days=1)
-    if validation_days is not None:
-        if min_train_days is not None:
-            raise ValueError("validation_days and min_train_days exclude each other")
-        begin = days[-1] - one * (n_splits * validation_days - 1)
-        if (begin - days[0]).days <= gap_days:
-            raise ValueError("not enough history before the first validation block")
-        blocks = [(begin + one * (i * validation_days), begin + one * ((i + 1) * validation_days - 1))
-                  for i in range(n_splits)]
+    if not days or n_splits < 2:
+        blocks = []
+    elif validation_days is not None:
+        ends = [days[-1] - one * (validation_days * k) for k in reversed(range(n_splits))]
+        blocks = [_span(end, validation_days - 1) for end in ends]
     else:
-        if min_train_days is None:
-            pool, parts, skip = list(days), n_splits + 1, 1
-        elif min_train_days < 1:
-            raise ValueError("min_train_days must be positive")
-        else:
-            pool = [d for d in days if d >= days[0] + one * (min_train_days + gap_days)]
-            parts, skip = n_splits, 0
-        if len(pool) < parts:
-            raise ValueError("too few days for the requested folds")
-        size, extra = divmod(len(pool), parts)
-        cuts = [i * size + min(i, extra) for i in range(parts + 1)]
-        blocks = [(pool[a], pool[b - 1]) for a, b in zip(cuts, cuts[1:])][skip:]
-    plan = []
-    for i, (lo, hi) in enumerate(blocks, 1):
-        before = lo - one * gap_days
-        if not any(d < before for d in days) or not any(lo <= d <= hi for d in days):
-            raise ValueError("empty fold: lengthen the initial training span or use fewer folds")
-        plan.append({"fold": i, "valid_start": lo, "valid_end": hi, "train_before": before})
+        initial = 0 if min_train_days is None else max(min_train_days, 1) + gap_days
+        pool = [d for d in days if (d - days[0]).days >= initial]
+        parts = n_splits + (min_train_days is None)
+        runs = [pool[a:b] for a, b in _near_equal(len(pool), parts)][parts - n_splits:]
+        blocks = [(run[0], run[-1]) for run in runs if run]
+        if len(blocks) < n_splits:
+            raise ValueError("unusable split: fewer days than folds")
+    plan = [{"fold": i, "valid_start": lo, "valid_end": hi, "train_before": lo - one * gap_days} for i, (lo, hi) in enumerate(blocks, 1)]
+    _check_plan([{"train": (days[0], p["train_before"]), "gap": gap_days, "valid": (p["valid_start"], p["valid_end"])} for p in plan])
+    if any(not any(p["valid_start"] <= d <= p["valid_end"] for d in days) for p in plan):
+        raise ValueError("unusable split: a validation block without approvals")
     return plan
 
 
+def _near_equal(n: int, parts: int) -> list[tuple[int, int]]:
+    """Bounds of ``parts`` runs of ``n`` items, the longer ones first."""
+    long, size = n % parts, n // parts
+    at = [k * size + min(k, long) for k in range(parts + 1)]
+    return list(zip(at, at[1:]))
+
+
 def assign_folds(df: DataFrame, plan: Sequence[dict]) -> DataFrame:
     """Long fold table: every row once per fold it trains or validates in."""
     d = day("approved_at")

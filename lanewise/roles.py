@@ -46,11 +46,11 @@ class Roles:
             "floor(l_extendedprice * l_tax * 100 + 0.5D) / 100D AS freight_value", "l_shipdate AS shipping_limit")
 
     def _located(self, table: str, key: str, nation: str, prefix: str, extra=()) -> DataFrame:
-        place = (self.raw("nation").join(F.broadcast(self.raw("region")),
+        place = (self.raw("nation").join(self.raw("region"),
                                          F.col("n_regionkey") == F.col("r_regionkey"), "left")
                  .select("n_nationkey", F.col("n_name").alias(f"{prefix}_city"),
                          F.col("r_name").alias(f"{prefix}_state")))
-        return (self.raw(table).join(F.broadcast(place), F.col(nation) == F.col("n_nationkey"), "left")
+        return (self.raw(table).join(place, F.col(nation) == F.col("n_nationkey"), "left")
                 .select(F.col(key).alias(f"{prefix}_id"), F.col(nation).alias(f"{prefix}_zip"),
                         f"{prefix}_city", f"{prefix}_state", *extra))
 
