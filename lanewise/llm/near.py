@@ -6,8 +6,9 @@ coordinates estimate the Jaccard similarity with concentration bounds. Bands of
 pair at the threshold of 0.85 or 0.8 misses all bands with a chance of 6e-9.
 
 Equal sets are one class. Every bucket compares its members with its smallest first (a star, not all pairs). A bucket whose members
-are one component by then can add nothing. In the others, members of different components are compared in blocks of bounded size by
-their sketches, and what is near the threshold is verified on the full sets, so no link between components is lost.
+are one component by then can add nothing. In the others, members of different components are compared in blocks of bounded size:
+sketches find those near the threshold, products of their full sets find the links, and a forest of links leaves the task, never
+the pairs. So no link between components is lost.
 """
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ from .text import ODD, WordHashes, as_bytes, mix64, windows, written
 BINS = 240
 SHINGLE = 3
 SLACK = 0.15  # six standard deviations of an estimate from BINS coordinates at 0.85
-BLOCK = 1000
+BLOCK = 2000
 BROADCAST_IDS = 1_000_000
 HASHES = WordHashes()
 
@@ -80,7 +81,8 @@ def _band_keys(classes: DataFrame, rows_in_band: int) -> DataFrame:
             keys = np.tile(np.arange(bands, dtype=np.uint64), (rows, 1))
             for r in range(rows_in_band):
                 keys = keys * ODD + signs[:, :, r]
-            yield pa.RecordBatch.from_arrays([pa.array(mix64(keys).view(np.int64).ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(rows), bands)))],
+            keys = (mix64(keys) & ~np.uint64(63)) | np.arange(bands, dtype=np.uint64)  # the band is the key's low bits
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(rows), bands)))],
                                              ["key", "rep"])
     return classes.select("rep", "signs").mapInArrow(run, f"key long, rep {classes.schema['rep'].dataType.simpleString()}")
 
@@ -106,17 +108,20 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full sets reach the similarity."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    some = _of_ids(docs.select(doc_id, text), ids, doc_id).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+def _sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(id, items): the full set of every document in `ids`."""
+    some = _of_ids(docs.select(doc_id, text), written(ids, "ids"), doc_id).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(v.as_py(), size).tobytes() for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "items"])
-    sets = written(some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, items binary")
+    return written(some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, items binary")
                    .groupBy("id").agg(F.first("items").alias("items")), "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose full sets reach the similarity."""
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "items": "y"}), "b")
     union = F.length("x") / 8 + F.length("y") / 8 - F.col("common")
     return both.withColumn("common", _common("x", "y")).where(100 * F.col("common") >= percent * union).select("a", "b")
@@ -147,30 +152,74 @@ def components(edges: DataFrame) -> DataFrame:
     return (labels if labels is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("root"))).withColumnsRenamed({"v": "vertex", "root": "component"})
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components of one bucket whose sketches come near the threshold.
-
-    members: key, rep, component, n, signs. Large buckets are dealt out as pairs of blocks of about BLOCK members.
-    """
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (key, rep, ...) of buckets as groups (key, i, j): large buckets are dealt out as pairs of blocks of about BLOCK."""
     counts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _in_doubt(members: DataFrame, percent: int, bands: int) -> DataFrame:
+    """(key, i, j, block, rep): members that come near the threshold with one of another component, by their sketches.
+
+    A pair counts in the first band it shares, and across blocks only. Sizes that rule the similarity out are exact; the sketches
+    leave out what lies SLACK below the threshold. At most one row per member and group comes out, however many pairs there are.
+    """
     rep = members.schema["rep"].dataType.simpleString()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep", ignore_index=True)
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         signs = np.frombuffer(b"".join(frame["signs"]), "<u2").reshape(len(frame), BINS)
-        n, comp, reps = frame["n"].to_numpy(), frame["component"].to_numpy(), frame["rep"].to_numpy()
-        a, b = [], []
+        n, comp, block = frame["n"].to_numpy(), frame["component"].to_numpy(), frame["block"].to_numpy()
+        band, doubt = int(key[0]) & 63, np.zeros(len(frame), bool)
         for k in range(len(frame) - 1):
-            rest = np.flatnonzero((comp[k + 1:] != comp[k]) & (100 * np.minimum(n[k + 1:], n[k]) >= percent * np.maximum(n[k + 1:], n[k]))) + k + 1
+            rest = comp[k + 1:] != comp[k]
+            rest &= 100 * np.minimum(n[k + 1:], n[k]) >= percent * np.maximum(n[k + 1:], n[k])
+            if key[1] != key[2]:
+                rest &= block[k + 1:] != block[k]
+            rest = np.flatnonzero(rest) + k + 1
             if len(rest):
-                near = rest[(signs[rest] == signs[k]).mean(axis=1) >= percent / 100 - SLACK]
-                a += [reps[k]] * len(near)
-                b += list(reps[near])
-        return pd.DataFrame({"a": a, "b": b}).astype(frame["rep"].dtype)
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, f"a {rep}, b {rep}").distinct()
+                equal = signs[rest] == signs[k]
+                near = equal.mean(axis=1) >= percent / 100 - SLACK
+                near &= ~equal.reshape(len(rest), bands, -1)[:, :band].all(axis=2).any(axis=1)
+                doubt[rest[near]] = True
+                doubt[k] |= near.any()
+        return frame.loc[doubt, ["key", "i", "j", "block", "rep"]]
+    return _dealt(members).groupBy("key", "i", "j").applyInPandas(run, f"key long, i int, j int, block int, rep {rep}")
+
+
+def _links_in_groups(doubt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect the members of each group as all its links do (a forest), from products of the full sets."""
+    rep = doubt.schema["rep"].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, "<u8") for x in frame["items"]]
+        n, reps = np.array([len(x) for x in sets]), frame["rep"].to_numpy()
+        who, (_, what, often) = np.repeat(np.arange(len(sets)), n), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(often > 1) - 1  # only items of two members can be common
+        keep = often[what] > 1
+        who, what = who[keep], shared[what[keep]]
+        common, width = np.zeros((len(sets), len(sets)), np.float32), 4096
+        order = np.argsort(what, kind="stable")
+        who, what = who[order], what[order]
+        for low in range(0, int(what[-1]) + 1 if len(what) else 0, width):
+            a, b = np.searchsorted(what, (low, low + width))
+            part = np.zeros((len(sets), width), np.float32)
+            part[who[a:b], what[a:b] - low] = 1
+            common += part @ part.T
+        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        new, out = np.ones(len(sets), bool), []
+        for start in range(len(sets)):
+            todo = [start] if new[start] else []
+            new[start] = False
+            while todo:
+                at = todo.pop()
+                found = np.flatnonzero(linked[at] & new)
+                new[found] = False
+                out += [(reps[at], reps[x]) for x in found]
+                todo += found.tolist()
+        return pd.DataFrame(out, columns=["a", "b"]).astype(frame["rep"].dtype)
+    return doubt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("key", "i", "j").applyInPandas(run, f"a {rep}, b {rep}")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 85) -> DataFrame:
@@ -182,7 +231,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = written(_sketches(docs, doc_id, text, size), "sketches")
     classes = written(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
                       .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs")), "classes")
-    keys = written(_band_keys(classes, 6 if percent >= 85 else 5), "bands")
+    band_rows = 6 if percent >= 85 else 5
+    keys = written(_band_keys(classes, band_rows), "bands")
     shared = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").drop("last")
     members = written(keys.join(shared, "key"), "buckets")
     facts = classes.select("rep", "n", "signs")
@@ -190,17 +240,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = star.join(facts.withColumnsRenamed({"rep": "a", "n": "na", "signs": "sa"}), "a") \
         .join(facts.withColumnsRenamed({"rep": "b", "n": "nb", "signs": "sb"}), "b").where(_close(F.col("na"), F.col("nb"), percent))
     star = written(star.withColumn("like", _agreement("sa", "sb")).where(F.col("like") >= percent / 100 - SLACK).select("a", "b"), "star")
-    edges = written(_linked(star, docs, doc_id, text, size, percent), "links")
+    sets = _sets(star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), docs, doc_id, text, size)
+    edges = written(_linked(star, sets, percent), "links")
     parts = components(edges)
 
     labelled = members.select("key", "rep").join(parts.withColumnRenamed("vertex", "rep"), "rep", "left") \
         .withColumn("component", F.coalesce("component", "rep"))
     labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    cross = written(_cross_pairs(labelled.join(mixed, "key").join(facts, "rep"), percent)
-                    .join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "cross")
-    if cross.head(1):
-        parts = components(edges.unionByName(_linked(cross, docs, doc_id, text, size, percent)))
+    doubt = written(_in_doubt(labelled.join(mixed, "key").join(facts, "rep"), percent, BINS // band_rows), "doubt")
+    if doubt.head(1):
+        more = doubt.select(F.col("rep").alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
+        sets = sets.unionByName(_sets(more, docs, doc_id, text, size))
+        parts = components(written(edges.unionByName(_links_in_groups(doubt, sets, percent)), "links"))
 
     ids = classes.select("digest", "rep").join(parts.withColumnRenamed("vertex", "rep"), "rep", "left") \
         .select("digest", F.coalesce("component", "rep").alias("component_id"))
