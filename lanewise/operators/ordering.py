@@ -13,16 +13,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import col
-from ..session import shared_folder, shuffle_partitions
+from ..session import shared_path, shuffle_partitions
 
 BLOCK = "_block"
+BLOCK_ROWS, SMALL_ROWS = 2_000_000, 200
 
 
 def ordered_blocks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Checkpointed copy of ``df`` with a block number that grows with ``order``."""
-    shared_folder(df.sparkSession)
-    n = shuffle_partitions(df.sparkSession)
-    return df.repartitionByRange(n, *order).withColumn(BLOCK, F.spark_partition_id()).checkpoint()
+    """Checkpointed copy of ``df`` with a block number that grows with ``order``.
+
+    The rows are written once, so the sampling of the ranges does not compute them again, and counted: a block holds about
+    BLOCK_ROWS rows at most, whatever the volume, and small inputs are not cut finer than SMALL_ROWS.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "ordered")
+    df.write.parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    n = rows.count()
+    blocks = max(1, -(-n // BLOCK_ROWS), min(shuffle_partitions(spark), -(-n // SMALL_ROWS)))
+    return rows.repartitionByRange(blocks, *order).withColumn(BLOCK, F.spark_partition_id()).checkpoint()
 
 
 def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column],

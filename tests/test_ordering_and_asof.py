@@ -92,3 +92,12 @@ def test_missing_group_key_is_kept(spark):
     assert ordering.global_rank(df, [F.asc("s")], ["k"]).count() == 3
     got = {r["k"]: r["m"] for r in ordering.exact_quantiles(df, ["k"], ["s"], {"m": 0.5}).collect()}
     assert got == {None: 3.0, "a": 5.0}
+
+
+def test_blocks_stay_bounded_as_rows_grow(spark, monkeypatch):
+    from lanewise.operators import ordering
+    monkeypatch.setattr(ordering, "BLOCK_ROWS", 1000)
+    for rows in (500, 5_000, 50_000):
+        blocks = ordering.ordered_blocks(spark.range(rows), [F.desc("id")])
+        sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+        assert sum(sizes) == rows and max(sizes) <= 1.5 * 1000
