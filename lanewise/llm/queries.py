@@ -109,7 +109,7 @@ m AS (SELECT w.doc_id, CAST(length(w.w) AS BIGINT) AS n_words,
              coalesce(rep.n, 0) AS n_repeat_words, CAST(length(lines) AS BIGINT) AS n_lines,
              CAST(length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS BIGINT) AS n_upper FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 f AS (SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
-             + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+             + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END + CASE WHEN n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
              + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
              + CASE WHEN 100 * n_upper > 30 * word_chars THEN 32 ELSE 0 END AS BIGINT) AS failures FROM m)
 SELECT *, failures & 3 <> 0 AS base_failed, failures = 0 AS kept FROM f"""

@@ -20,7 +20,7 @@ RULES = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbols": "100 * n_symbols > 10 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines",
     "mean_word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
     "capitals": "100 * n_upper > 30 * word_chars",
 }
