@@ -142,6 +142,12 @@ def weekday_hour(df: DataFrame) -> DataFrame:
         .withColumn("weekday", recode("purchase_weekday", WEEKDAYS))
 
 
+def most_common(df: DataFrame, column: str, n: int) -> list:
+    """The ``n`` values with most rows, ties by value."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).count()
+    return [r[0] for r in counts.orderBy(F.desc("count"), column).limit(n).collect()]
+
+
 def weekday_hour_grid(df: DataFrame, hours: Sequence[int]) -> DataFrame:
     """Distinct orders per weekday and hour."""
     return df.groupBy("purchase_weekday").pivot("purchase_hour", list(hours)).agg(F.count_distinct("order_id")).na.fill(0)

@@ -328,12 +328,14 @@ def _(t):
     return cubes.top_category_trend(items, cubes.top_categories(items, 3))
 
 
-@query("route_share_by_state", """WITH c AS (SELECT CASE WHEN customer_state IN ('ASIA', 'EUROPE', 'AFRICA') THEN customer_state ELSE 'Others' END AS state, route_type, count(*) AS n
+@query("route_share_by_state", """WITH top AS (SELECT customer_state FROM ot WHERE route_type IS NOT NULL AND customer_state IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3),
+    c AS (SELECT CASE WHEN customer_state IN (SELECT customer_state FROM top) THEN customer_state ELSE 'Others' END AS state, route_type, count(*) AS n
     FROM ot WHERE route_type IS NOT NULL GROUP BY 1, 2), s AS (SELECT state, route_type, 100.0 * n / sum(n) OVER (PARTITION BY state)::DOUBLE AS pct FROM c)
     SELECT state, round(max(pct) FILTER (WHERE route_type = '1. All interstate'), 6) AS "1. All interstate",
     round(max(pct) FILTER (WHERE route_type = '2. All same-state'), 6) AS "2. All same-state", round(max(pct) FILTER (WHERE route_type = '3. Mixed'), 6) AS "3. Mixed" FROM s GROUP BY 1""")
 def _(t):
-    return cubes.route_share_by_state(t.order_table, ["ASIA", "EUROPE", "AFRICA"], ["1. All interstate", "2. All same-state", "3. Mixed"])
+    top = cubes.most_common(t.order_table.where("route_type IS NOT NULL"), "customer_state", 3)
+    return cubes.route_share_by_state(t.order_table, top, ["1. All interstate", "2. All same-state", "3. Mixed"])
 
 
 @query("review_score_distribution", "SELECT round(review_score)::BIGINT AS score, count(*) AS orders FROM ot WHERE review_score IS NOT NULL GROUP BY 1")

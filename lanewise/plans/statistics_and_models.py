@@ -22,9 +22,15 @@ FEW = ["promised_lead_days", "seller_dist_km_mean", "payment_value_sum", "order_
 _WRITTEN: dict[tuple, str] = {}
 
 
+def _input_state(t) -> str:
+    """Newest change and number of the files of the order tables; from file metadata alone."""
+    tables = [t.raw(name).select("_metadata.file_path", "_metadata.file_modification_time") for name in ("orders", "lineitem")]
+    return str(union_all(tables).agg(F.max("file_modification_time"), F.count_distinct("file_path")).first())
+
+
 def written(t, name: str, build) -> DataFrame:
-    """A table written once per session to the shared folder and read by every later fit."""
-    key = (t.spark.sparkContext.applicationId, t.path, name)
+    """A table written once per session and state of its input files, and read by every later fit."""
+    key = (t.spark.sparkContext.applicationId, t.path, _input_state(t), name)
     if key not in _WRITTEN:
         path = shared_path(t.spark, name)
         build().write.option("compression", "zstd").parquet(path)

@@ -217,11 +217,11 @@ def _(t):
     return features.geo_bbox(t.geolocation).groupBy("zip").agg(F.count(F.lit(1)).alias("readings"))
 
 
-@query("state_other_bucket", """SELECT CASE WHEN customer_state IN ('ASIA', 'AMERICA') THEN customer_state ELSE 'Others' END AS state,
-    count(*) AS orders FROM f_approved GROUP BY 1""")
+@query("state_other_bucket", """WITH top AS (SELECT customer_state FROM f_approved WHERE customer_state IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2)
+    SELECT CASE WHEN customer_state IN (SELECT customer_state FROM top) THEN customer_state ELSE 'Others' END AS state, count(*) AS orders FROM f_approved GROUP BY 1""")
 def _(t):
-    return joins.orders_with_customers(t.orders, t.customers).where("approved_at IS NOT NULL").groupBy(
-        S.keep_top("customer_state", ["ASIA", "AMERICA"]).alias("state")).agg(F.count(F.lit(1)).alias("orders"))
+    orders = joins.orders_with_customers(t.orders, t.customers).where("approved_at IS NOT NULL")
+    return orders.groupBy(S.keep_top("customer_state", cubes.most_common(orders, "customer_state", 2)).alias("state")).agg(F.count(F.lit(1)).alias("orders"))
 
 
 @query("route_label", r"""SELECT order_id, primary_seller_state || ' → ' || customer_state AS route,

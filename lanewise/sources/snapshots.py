@@ -10,7 +10,10 @@ from ..functions.times import day
 
 
 def daily_snapshots(features: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per order with its approval-time features nested; no outcome column is carried."""
+    """One row per order with its approval-time features nested.
+
+    ``delivered_at`` is carried for the exclusion of orders already delivered on the run day; labels are not.
+    """
     return features.select(day("approved_at").alias("approval_day"), "order_id", "approved_at",
                            F.col("estimated_at").alias("promised_at"), "delivered_at",
                            F.struct(*columns).alias("features"))
