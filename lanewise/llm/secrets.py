@@ -56,15 +56,21 @@ def base_spans(text: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, bound: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(token, random) from a bounded hash sample of documents: values of the fixed patterns, and letter-only words of 8+."""
+    """(token, random) from a bounded hash sample of documents: values of the fixed patterns; letter-only words of 8+, alone and
+    with the next one as identifiers are joined (by an underscore, or by a capital)."""
     some = hashed_share(docs.select(doc_id, text), bound, doc_id).select(text_or_empty(text).alias("t"))
 
     def values(pattern: str, group: int, least: int) -> Column:
         return F.filter(F.regexp_extract_all("t", F.lit(pattern), group), lambda v: F.length(v) >= least)
     secret = F.concat(*(values(p, g, n) for p, n, g in PATTERNS.values()))
     plain = F.filter(words_column(F.col("t")), lambda w: w.rlike(r"^[A-Za-z]{8,}[.,;:!?]*$"))
+
+    def joined(words: Column) -> Column:
+        bare = F.transform(words, lambda w: F.regexp_replace(w, "[^A-Za-z]", ""))
+        return let(bare, lambda b: F.flatten(F.transform(b, lambda w, i: F.array(
+            w, F.concat(F.lower(w), F.lit("_"), F.lower(F.coalesce(F.get(b, i + 1), w))), F.concat(F.lower(w), F.initcap(F.coalesce(F.get(b, i + 1), w)))))))
     return some.select(F.explode(secret).alias("token"), F.lit(True).alias("random")).unionByName(
-        some.select(F.explode(plain).alias("token"), F.lit(False).alias("random")))
+        some.select(F.explode(let(plain, joined)).alias("token"), F.lit(False).alias("random")))
 
 
 def _cell(before: Column, after: Column) -> Column:

@@ -90,7 +90,8 @@ def test_secret_base_spans(spark, docs):
 
 def test_secret_models_tell_random_from_ordinary(spark, docs):
     model = secrets.train(secrets.labelled_samples(docs))
-    tokens = {"kJ8sL2mQ9xZ4vB7nR1tY": True, "ZXhhbXBsZVNlY3JldEtleQ==": True, "thereandthathereandon": False, "THEREANDTHATHEREON": False}
+    tokens = {"kJ8sL2mQ9xZ4vB7nR1tY": True, "ZXhhbXBsZVNlY3JldEtleQ==": True, "thereandthathereandon": False, "THEREANDTHATHEREON": False,
+              "thereand_there_that": False, "thereandThatHere": False}
     rows = spark.createDataFrame(list(tokens), "string").select("value", secrets.log_ratio(F.col("value"), model).alias("r"))
     assert {r.value: r.r > 1.0 for r in rows.collect()} == tokens
     assert secrets.train(secrets.labelled_samples(docs.limit(0))) == [0.0] * secrets.SIDE ** 2
