@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import hashed_share, held_out, small_groups
+from .text import hashed_share, held_out, small_batches, small_groups
 
 # Fixed script ranges (first and last code point).
 SCRIPTS = {
@@ -141,6 +141,7 @@ def train(docs: DataFrame, bound: int = 8_000, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")) \
         .where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out("doc_id"))
     rows = hashed_share(rows, bound)
+    small_batches(docs)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -178,6 +179,7 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
     0. Without a model every row is `und`. Repeated rows are labelled alike; no rows give no rows.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).cast("string").alias("text"))
+    small_batches(docs)
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ODD, WordHashes, as_bytes, mix64, windows, written
+from .text import ODD, WordHashes, as_bytes, hold, mix64, small_batches, windows, written
 
 BINS = 240
 SHINGLE = 3
@@ -58,6 +58,7 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(HASHES)
         for batch in batches:
             n, digest, signs = [], [], []
             for value in batch.column(1):
@@ -113,6 +114,7 @@ def _sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int) ->
     some = _of_ids(docs.select(doc_id, text), written(ids, "ids"), doc_id).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(HASHES)
         for batch in batches:
             sets = [shingles(v.as_py(), size).tobytes() for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "items"])
@@ -228,6 +230,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows link when 100 * intersection >= percent * union of their sets. Null and empty texts, and null ids, link with nothing and are
     kept. An id stands for its row: rows that repeat an id share its component. No rows give no rows.
     """
+    small_batches(docs)
     rows = written(_sketches(docs, doc_id, text, size), "sketches")
     classes = written(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
                       .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs")), "classes")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import as_bytes, small_groups, written
+from .text import as_bytes, hold, small_batches, small_groups, written
 
 SIZE = 4096
 END_ID = 2
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer)
+        ids_of = hold(word_ids(tokenizer))
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             values = batch.column(1).to_pylist()
@@ -169,6 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     sequence are cut. No rows give no rows.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     cut_up = written(pieces(docs, tokenizer, doc_id, text, keep_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
     fills = spark.createDataFrame(slots(pack_histogram(histogram)) or [(0, 0, 0, 1, 0, 0)], "length long, low long, high long, each long, first long, place long")

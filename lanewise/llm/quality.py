@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import as_bytes, hashed_share, held_out, written
+from .text import as_bytes, hashed_share, held_out, hold, small_batches, written
 
 VOCABULARY, FORMS, WIDTH, NONZERO = 4096, 64, 96, 6
 SAID_AGAIN, TERMS = VOCABULARY + FORMS, VOCABULARY + FORMS + 1
@@ -41,7 +41,7 @@ def form(word: str) -> int:
 class Terms(dict):
     """word -> (vocabulary term, form term), remembered up to a bound."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) >= self.LIMIT:
@@ -148,13 +148,14 @@ def probability(x: np.ndarray, net: dict[str, np.ndarray]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """(word vectors, network) from labelled rows outside the held-out third; at most about `bound` of them, chosen by hash."""
+    small_batches(docs)
     marked = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["_id"])
     rows = written(hashed_share(marked.where(~held_out("_id")), bound, "_id"), "marked")
     rows = written(docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), "_id"), "labelled")
     vectors = word_vectors(context_counts(rows.select("text")))
 
     def pool(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Terms()
+        known = hold(Terms())
         for frame in frames:
             yield pd.DataFrame({"id": frame["_id"], "y": frame["quality"], "x": pd.Series([pooled(t, vectors, known).astype(float).tolist() for t in frame["text"]], dtype=object)})
     got = rows.mapInPandas(pool, f"id {rows.schema['_id'].dataType.simpleString()}, y int, x array<double>").toPandas().sort_values("id")
@@ -165,10 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, doc_id: str =
 def score(docs: DataFrame, model: tuple[np.ndarray, dict[str, np.ndarray]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, held_out, score, predicted. A null text is the empty one; repeated rows are scored alike; no rows give no rows."""
     vectors, net = model
+    small_batches(docs)
     source = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Terms()
+        known = hold(Terms())
         for batch in batches:
             x = np.array([pooled(v.as_py(), vectors, known) for v in batch.column(2)], np.float64).reshape(batch.num_rows, 2 * WIDTH + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(probability(x, net), pa.float64())], ["doc_id", "held_out", "score"])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from .text import WordHashes, as_bytes, windows
+from .text import WordHashes, as_bytes, hold, small_batches, windows
 
 WINDOW, BLOCK = 13, 7
 CHUNK_BYTES, BUCKET_WORDS = 8 << 20, 2_000_000
@@ -62,6 +62,7 @@ def _probes(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunk_words(frame: pd.DataFrame) -> list[np.ndarray]:
+    hold(HASHES)
     return [HASHES.of(as_bytes(t).split()) for t in frame["text"]]
 
 
@@ -91,6 +92,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     from the other. A null id comes after all others. No rows give no rows.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    small_batches(docs)
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), max(8, -(-total // 6 // BUCKET_WORDS))
     # One exchange of the texts by chunk serves the three passes below, which therefore stay in one plan.

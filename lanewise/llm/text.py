@@ -26,6 +26,18 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(text, SPACES, -1), lambda w: w != "")
 
 
+# Session setting -> (Spark's default, what long texts need).
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
+def small_batches(df: DataFrame) -> None:
+    """Texts are long: Arrow batches of at most 1,000 rows and 4 MB keep Python workers small. Only Spark's defaults are changed."""
+    conf = df.sparkSession.conf
+    for key, (default, ours) in BATCHES.items():
+        if conf.get(key, None) == default:
+            conf.set(key, ours)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, with underscores added until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}
@@ -54,7 +66,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash per word (bytes), remembered up to a bound."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -66,6 +78,17 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_HELD: list[dict] = []
+
+
+def hold(table: dict) -> dict:
+    """`table` as the one word table of this Python process: that of an operator that ran here before is emptied."""
+    if _HELD and _HELD[0] is not table:
+        _HELD[0].clear()
+    _HELD[:] = [table]
+    return table
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """One hash for every run of `size` consecutive words; empty when there are fewer."""
     n = len(hashes) - size + 1

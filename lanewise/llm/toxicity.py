@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import as_bytes, fresh, hashed_share, held_out, text_or_empty, words_column, written
+from .text import as_bytes, fresh, hashed_share, held_out, hold, small_batches, text_or_empty, words_column, written
 
 # Fixed word lists per symbol.
 FIXED = {
@@ -78,7 +78,7 @@ def grammar() -> tuple[Transducer, Transducer]:
 class Lexicon(dict):
     """word -> (symbol, weight, ends a clause), remembered up to a bound; `stems` has the learned insults."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self, stems: dict[str, float]):
         super().__init__()
@@ -195,13 +195,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], list[float]]:
     """(stems, logistic weights) from labelled rows outside the held-out third; at most about `bound` of them, chosen by hash."""
+    small_batches(docs)
     marked = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["_id"])
     rows = written(hashed_share(marked.where(~held_out("_id")), bound, "_id"), "marked")
     rows = written(docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), "_id"), "labelled")
     stems = learn_stems(rows)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(stems)
+        lexicon = hold(Lexicon(stems))
         for frame in frames:
             yield pd.DataFrame({"toxic": frame["toxic"], "x": pd.Series([features(t, lexicon).tolist() for t in frame["text"]], dtype=object)})
     got = rows.select("toxic", "text").mapInPandas(measure, "toxic int, x array<double>").toPandas()
@@ -215,13 +216,14 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], text: st
     A null text is the empty one, which has no clause. Repeated rows are scored alike; no rows give no rows.
     """
     stems, weights = model
+    small_batches(docs)
     w = np.array(weights)
     clash = [c for c in docs.columns if c.lower() == column.lower()]
     source = docs.drop(*clash)
     at = [f.name for f in source.schema].index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(stems)
+        lexicon = hold(Lexicon(stems))
         for batch in batches:
             x = np.array([features(v.as_py(), lexicon) for v in batch.column(at)]).reshape(batch.num_rows, CONTEXTS + 3)
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
