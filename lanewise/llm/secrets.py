@@ -118,19 +118,31 @@ def markov_spans(text: Column, model: list[float], threshold: float) -> Column:
             span = F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), (start + s["n"]).alias("end")))
             return F.struct((start + s["n"]).alias("at"), F.when(s["hit"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
         return F.aggregate(steps, empty, step, lambda acc: acc["out"])
-    # Tokens with no digit, no sign and no change of case after a small letter are plain words; the models need not see them.
-    quick = text.rlike(r"(?=[A-Za-z0-9+/_-]{16})[A-Za-z+/_-]*([0-9+/_]|[a-z][A-Z])")
-    return F.when(quick, let(F.regexp_extract_all(text, F.lit(TOKEN), 0), with_tokens)).otherwise(F.from_json(F.lit("[]"), NO_SPANS))
+    return F.when(text.rlike(TOKEN), let(F.regexp_extract_all(text, F.lit(TOKEN), 0), with_tokens)).otherwise(F.from_json(F.lit("[]"), NO_SPANS))
+
+
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with every character of a base span as a space, so places stay and no token reaches into a span."""
+    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        end = F.greatest(acc["at"], s["end"])
+        parts = F.array(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
+                        F.repeat(F.lit(" "), end - F.greatest(acc["at"], s["start"])))
+        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast("array<string>")), parts).alias("out"))
+    whole = F.aggregate(base, empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, whole).otherwise(text)
 
 
 def scan(docs: DataFrame, model: list[float], doc_id: str = "doc_id", text: str = "text", threshold: float = 1.0) -> DataFrame:
-    """One row per input row: id, base spans, spans added by the models (none that meets a base span).
+    """One row per input row: id, base spans, spans added by the models (tokens of 16+ characters, and such parts of tokens as lie
+    outside the base spans; each is scored by itself).
 
     Null is the empty text and has no spans. Repeated rows are scanned like any other; no rows give no rows.
     """
     def found(t: Column) -> Column:
-        return let(base_spans(t), lambda base: F.struct(base.alias("base"), F.filter(
-            markov_spans(t, model, threshold), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))).alias("added")))
+        return let(base_spans(t), lambda base: F.struct(base.alias("base"), let(
+            _blanked(t, base), lambda rest: markov_spans(rest, model, threshold)).alias("added")))
     return docs.select(F.col(doc_id).alias("doc_id"), let(text_or_empty(text), found).alias("f")).select("doc_id", "f.base", "f.added")
 
 

@@ -97,6 +97,16 @@ def test_secret_models_tell_random_from_ordinary(spark, docs):
     assert secrets.train(secrets.labelled_samples(docs.limit(0))) == [0.0] * secrets.SIDE ** 2
 
 
+def test_secret_tokens_of_one_case_are_scored_by_themselves(spark, docs):
+    model = secrets.train(secrets.labelled_samples(docs))
+    key = "AKIA" + "QX7" * 6
+    found = {"xqjzkvwpbmtrghdf": ["xqjzkvwpbmtrghdf"], "x XQJZKVWPBMTRGHDFQZXK y": ["XQJZKVWPBMTRGHDFQZXK"], "é xqjz-kvwp-bmtr-ghdf": ["xqjz-kvwp-bmtr-ghdf"],
+             "xqjzkvwpbmtrghdf thereandThatHere1": ["xqjzkvwpbmtrghdf"], "thereandthathereandon": [],
+             f"é xqjzkvwpbmtrghdf-{key}-xqjzkvwpbmtrghdf {key}": ["xqjzkvwpbmtrghdf-", "-xqjzkvwpbmtrghdf"]}
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string"), model).collect()
+    assert {t: [t[s.start:s.end] for s in next(r.added for r in rows if r.doc_id == i)] for i, t in enumerate(found)} == found
+
+
 def test_secret_odd(odd):
     rows = secrets.secrets(odd).collect()
     assert len(rows) == len(ODD) and all(r.n_assign == 0 for r in rows)
