@@ -4,7 +4,7 @@ A window of 13 words at any place of a document holds a whole block of 7 words t
 non-overlapping 7-word blocks of every document, and every rolling 7-word run probes it. Hits of a document are extended to the runs
 of 13-word windows they can lie in; those windows alone are compared, by their own hashes and the smallest id that has them.
 
-Documents are dealt to chunks by id. A chunk sends each distinct hash once, as sorted packed numbers per bucket, however often a
+Documents are dealt to chunks by id, those without one by text. A chunk sends each distinct hash once, as sorted packed numbers per bucket, however often a
 passage repeats inside it; answers come back per chunk and are matched with its documents again. Chunk and bucket counts follow
 the number of words, so each stays at a size that one task can hold.
 """
@@ -24,6 +24,7 @@ from .text import WordHashes, as_bytes, hold, small_batches, windows
 WINDOW, BLOCK = 13, 7
 CHUNK_BYTES, BUCKET_WORDS = 8 << 20, 2_000_000
 HASHES = WordHashes()
+LAST = np.iinfo(np.int64).max
 KEEP48 = np.uint64((1 << 48) - 1)
 
 
@@ -89,14 +90,16 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Every word is removed that lies in a 13-word window whose words also start in a document with a smaller id, judged on the input.
     Null is the empty text. Texts under 13 words lose nothing. Rows that repeat an id are one document to the rule: neither removes
-    from the other. A null id comes after all others. No rows give no rows.
+    from the other. A null id counts as the largest long, so it comes after all others. No rows give no rows.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # A long column with nulls reaches pandas as floats, so ids are made complete before that.
+    key = F.col(doc_id).cast("long")
+    source = docs.select(F.coalesce(key, F.lit(int(LAST))).alias("doc_id"), key.isNull().alias("no_id"), F.col(text).cast("string").alias("text"))
     small_batches(docs)
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), max(8, -(-total // 6 // BUCKET_WORDS))
     # One exchange of the texts by chunk serves the three passes below, which therefore stay in one plan.
-    dealt = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")) \
+    dealt = source.withColumn("chunk", F.pmod(F.when(F.col("no_id"), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(chunks)).cast("int")) \
         .repartition(shuffle_partitions(docs.sparkSession), "chunk").groupBy("chunk")
 
     def probe(frame: pd.DataFrame) -> pd.DataFrame:
@@ -124,8 +127,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         if not len(frame):
             return pd.DataFrame(columns=["bucket", "chunk", "hashes", "least", "last"])
         frame = _in_order(frame)
-        last = np.iinfo(np.int64).max
-        ids = frame["doc_id"].fillna(last).astype("int64").to_numpy()
+        ids = frame["doc_id"].to_numpy()
         h, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, _, found in _candidates(_chunk_words(frame), _hits_of(right)):
             h.append(found)
@@ -163,20 +165,20 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         owner = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in right["owner"])])
         order = np.argsort(keys)
         keys, owner = keys[order], owner[order]
-        last, rows = np.iinfo(np.int64).max, []
-        for key, value in zip(frame["doc_id"], frame["text"]):
+        rows = []
+        for key, no_id, value in zip(frame["doc_id"], frame["no_id"], frame["text"]):
             words = as_bytes(value).split()
             gone = np.zeros(len(words) + 1, np.int64)
             if len(words) >= WINDOW and len(keys):
                 h = windows(HASHES.of(words), WINDOW)
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                starts = np.flatnonzero((keys[at] == h) & (owner[at] < (last if pd.isna(key) else int(key))))
+                starts = np.flatnonzero((keys[at] == h) & (owner[at] < key))
                 np.add.at(gone, starts, 1)
                 np.add.at(gone, starts + WINDOW, -1)
             covered = np.cumsum(gone)[:len(words)] > 0
             kept = b" ".join(w for w, c in zip(words, covered) if not c) if covered.any() else b" ".join(words)
-            rows.append((key, len(words), int(covered.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None))
-        return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            rows.append((None if no_id else key, len(words), int(covered.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None))
+        return pd.DataFrame(rows, columns=columns).assign(doc_id=pd.array([r[0] for r in rows], "Int64"))
 
     out = dealt.cogroup(answers.groupBy("chunk")).applyInPandas(
         remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -180,6 +180,17 @@ def test_passages_odd(odd):
     assert substrings.repeated_passages(odd.limit(0)).collect() == []
 
 
+def test_passages_of_null_and_large_ids(spark):
+    """Null ids come last and are one document, even in a chunk with other ids; ids above 2^53 keep their digits."""
+    shared = " ".join(f"s{i}" for i in range(20))
+    big = (1 << 53) + 1
+    rows = [(None, f"n1 {shared}"), (big, f"b {shared}"), (big + 1, f"c {shared}"), (None, "p " + " ".join(f"t{i}" for i in range(15))),
+            (None, "q " + " ".join(f"t{i}" for i in range(15)))]
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.kept_text.split()[0], r.n_removed) for r in got), key=lambda r: r[1]) == [
+        (big, "b", 0), (big + 1, "c", 20), (None, "n1", 20), (None, "p", 0), (None, "q", 0)]
+
+
 # 4 language
 
 def test_language_held_out(spark):
