@@ -219,9 +219,10 @@ def out_of_fold(spec: Spec, folds: DataFrame, rows: DataFrame, n_folds: int) ->
 # ---- searches ----
 
 # Searched values, simplest first (tree depth is limited to 30 here).
-TREE_SPACE = {"maxDepth": [2, 3, 4, 5, 6, 8, 10, 12, 16, 30], "minInstancesPerNode": [1, 5, 10, 20, 50, 100, 200, 500]}
+TREE_SPACE = {"maxDepth": [2, 3, 4, 5, 6, 8, 10, 12, 16, 30], "minInstancesPerNode": [1, 5, 10, 20, 50, 100, 200, 500], "impurity": ["gini", "entropy"]}
 FOREST_SPACE = {"maxDepth": [6, 8, 10, 12, 16, 20, 30], "minInstancesPerNode": [1, 2, 5, 10, 20, 50, 100, 200],
-                "featureSubsetStrategy": ["log2", "sqrt", "0.2", "0.3", "0.5", "0.7", "1.0"], "subsamplingRate": [1.0, 0.5, 0.7, 0.9]}
+                "featureSubsetStrategy": ["log2", "sqrt", "0.2", "0.3", "0.5", "0.7", "1.0"], "subsamplingRate": [1.0, 0.5, 0.7, 0.9],
+                "impurity": ["gini", "entropy"], "weight": [None, "balanced"]}
 
 
 def grid(space: Mapping[str, Sequence]) -> list[dict]:
@@ -292,10 +293,14 @@ def permutation_importance(f: Fitted, df: DataFrame, features: Sequence[str], re
     cls = f.spec.task == "classification"
     keep = ["order_id", "y"]
     from .audits import union_all
+    shared_folder(df.sparkSession)
     runs = [f.score(df, keep).withColumn("run", F.lit("base"))]
-    for c in features:
-        runs += [f.score(shuffled(df, c, 1000 * r + i), keep).withColumn("run", F.lit(f"{c}|{r}"))
-                 for i, r in enumerate(range(repeats))]
+    for i, r in enumerate(range(repeats)):
+        # One permutation of the rows serves every feature of the repeat.
+        both = shuffled(df.withColumn("_v", F.struct(*features)), "_v", 1000 * r + i).checkpoint()
+        each = both.withColumn("_f", F.explode(F.array(*[F.lit(c) for c in features])))
+        made = each.withColumns({c: F.when(F.col("_f") == c, F.col("_v")[c]).otherwise(F.col(c)) for c in features})
+        runs.append(f.score(made.withColumn("run", F.concat("_f", F.lit(f"|{r}"))), [*keep, "run"]))
     scored = union_all(runs)
     if cls:
         curve = metrics.score_curve(scored.withColumn("label", F.col("y").cast("int")), ["run"])

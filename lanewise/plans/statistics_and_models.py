@@ -1,6 +1,7 @@
 """Design, linear statistics, selection, pyspark.ml models and interpretation."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,11 @@ from .oracle import TYPES, label, target
 NUM = features.SELECTED_NUMERIC
 CAT = ["customer_state", "route_type"]
 LOGS = ["payment_value_sum", "order_frieght_value_sum", "order_product_weight_g_sum"]
-# Few inputs for the queries that fit many models.
-FEW = ["promised_lead_days", "seller_dist_km_mean", "payment_value_sum", "order_item_count"]
+# Parameters of the reference's models and searches.
+TREE = {"maxDepth": 12, "minInstancesPerNode": 20, "impurity": "gini"}
+FOREST = {"numTrees": 500, "maxDepth": 12, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt", "subsamplingRate": 0.5, "impurity": "gini"}
+BOOST = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1}
+STAGE_A, STAGE_A_TREES, STAGE_B_TREES, REPEATS = 60, 200, (300, 500), 5
 _WRITTEN: dict[tuple, str] = {}
 
 
@@ -89,12 +93,12 @@ def linear_spec(name="R1", num=NUM, cat=CAT):
     return ml.Spec(name, "regression", ml.linear, num, cat, scale=True, options={"log_cols": [c for c in LOGS if c in num], "cyclic": True, "merge_mixed_route": True})
 
 
-def tree_spec(task, name="tree", num=NUM, cat=CAT, **p):
-    return ml.Spec(name, task, lambda: ml.tree(task, **p), num, cat)
+def tree_spec(task, name="tree", num=NUM, cat=CAT, weight=None, **p):
+    return ml.Spec(name, task, lambda: ml.tree(task, **p), num, cat, weight=weight)
 
 
-def forest_spec(task, name="forest", num=NUM, cat=CAT, **p):
-    return ml.Spec(name, task, lambda: ml.forest(task, **{"numTrees": 20, "maxDepth": 6, **p}), num, cat)
+def forest_spec(task, name="forest", num=NUM, cat=CAT, weight=None, **p):
+    return ml.Spec(name, task, lambda: ml.forest(task, **{**FOREST, **p}), num, cat, weight=weight)
 
 
 # ---- preprocessing and catalogues ----
@@ -363,16 +367,18 @@ def _(t):
     return rows_df(t, rows, "criterion string, step int, added_unit string, k int, aic double, bic double")
 
 
-def _lasso(t):
-    """Penalty chosen by mean fold RMSE, then the units with a non-zero coefficient."""
-    from pyspark.ml.regression import LinearRegression
-    grid = [0.01, 0.05, 0.2, 0.5]
-    specs = [ml.Spec(str(g), "regression", (lambda g=g: LinearRegression(regParam=g, elasticNetParam=1.0, standardization=False)), NUM, CAT, True, linear_spec().options) for g in grid]
-    scores = ml.cv_metrics(specs, folds(t, "regression"), 5).groupBy("model").agg(F.avg("rmse").alias("m")).collect()
-    best = min(scores, key=lambda r: (r["m"], -float(r["model"])))["model"]
-    fitted = ml.fit(next(s for s in specs if s.name == best), train_rows(t, "regression"))
-    values = dict(zip(fitted.design.columns, fitted.model.coefficients))
-    return float(best), [(u, max((abs(float(values[c])) for c in cols), default=0.0)) for u, cols in fitted.design.units.items()]
+def _lasso(t, penalties=100):
+    """Penalty chosen by mean fold error over the whole path, then the units with a non-zero coefficient."""
+    d, x = _design(t, "regression")
+    whole = stats.gram(x, [*d.columns, "y"])
+    grid = stats.lasso_penalties(whole, d.columns, "y", penalties)
+    errors = []
+    for train, valid, units in _fold_grams(t, NUM + CAT):
+        names = [c for cols in units.values() for c in cols]
+        errors.append([stats.lasso_error(train, valid, names, "y", b) for b in stats.lasso_path(train, names, "y", grid)])
+    best = int(np.argmin(np.mean(errors, axis=0)))
+    values = dict(zip(d.columns, stats.lasso_path(whole, d.columns, "y", grid[:best + 1])[-1]))
+    return float(grid[best]), [(u, max((abs(float(values[c])) for c in cols), default=0.0)) for u, cols in d.units.items()]
 
 
 @query("lasso_selection")
@@ -417,20 +423,19 @@ def _(t):
 
 @query("cv_metrics")
 def _(t):
-    return ml.cv_metrics([logit_spec("C1", FEW), tree_spec("classification", "C4", FEW, maxDepth=4)], folds(t), 5)
+    return ml.cv_metrics([logit_spec("C1", NUM), tree_spec("classification", "C4", NUM, **TREE)], folds(t), 5)
 
 
 @query("cv_metrics_regression")
 def _(t):
-    return ml.cv_metrics([linear_spec("R1", FEW)], folds(t, "regression"), 5)
+    return ml.cv_metrics([linear_spec("R1", NUM)], folds(t, "regression"), 5)
 
 
-SEARCH = "maxDepth int, minInstancesPerNode int, mean_score double, sd_score double"
+SEARCH = "maxDepth int, minInstancesPerNode int, impurity string, mean_score double, sd_score double"
 
 
-def _tree_search(t):
-    small = [{"maxDepth": d, "minInstancesPerNode": m} for d in (2, 4, 6) for m in (20, 100)]
-    return ml.search(lambda c: tree_spec("classification", num=FEW, **c), small, folds(t), 5)
+def _tree_search(t, space=ml.TREE_SPACE):
+    return ml.search(lambda c: tree_spec("classification", **c), ml.grid(space), folds(t), 5)
 
 
 @query("decision_tree_grid")
@@ -443,25 +448,29 @@ def _(t):
 @query("random_forest_search")
 def _(t):
     """Random stage, then the neighbouring grid of its best candidate."""
+    return rows_df(t, _forest_search(t), "stage string, maxDepth int, minInstancesPerNode int, featureSubsetStrategy string, subsamplingRate double, impurity string, "
+                   "weight string, numTrees int, mean_score double, sd_score double, best boolean")
+
+
+def _forest_search(t, space=ml.FOREST_SPACE, tries=STAGE_A, first_trees=STAGE_A_TREES, second_trees=STAGE_B_TREES):
     fs = folds(t)
-    spec = lambda c: forest_spec("classification", num=FEW, **{"numTrees": 10, **c})
-    first = ml.search(spec, [c for c in ml.random_grid({**ml.FOREST_SPACE, "maxDepth": [6, 8]}, 2)], fs, 5)
+    spec = lambda c: forest_spec("classification", **c)
+    first = ml.search(spec, [{**c, "numTrees": first_trees} for c in ml.random_grid(space, tries)], fs, 5)
     best = ml.pick_best(first)
-    core = {k: best[k] for k in ml.FOREST_SPACE}
-    second = ml.search(spec, ml.neighbour_grid({**ml.FOREST_SPACE, "maxDepth": [6, 8]}, core, ["minInstancesPerNode"], numTrees=[10]), fs, 5)
+    core = {k: best[k] for k in space}
+    second = ml.search(spec, ml.neighbour_grid(space, core, ["maxDepth", "minInstancesPerNode", "featureSubsetStrategy"], numTrees=list(second_trees)), fs, 5)
     chosen = ml.pick_best(second)
-    rows = [{"stage": "A", **r, "numTrees": 10, "best": False} for r in first] + [{"stage": "B", **r, "best": r is chosen} for r in second]
-    return rows_df(t, rows, "stage string, maxDepth int, minInstancesPerNode int, featureSubsetStrategy string, subsamplingRate double, numTrees int, mean_score double, sd_score double, best boolean")
+    return [{"stage": "A", **r, "best": False} for r in first] + [{"stage": "B", **r, "best": r is chosen} for r in second]
 
 
 @query("hyperparameter_sensitivity")
 def _(t):
-    return metrics.hyperparameter_sensitivity(rows_df(t, _tree_search(t), SEARCH), ["maxDepth", "minInstancesPerNode"])
+    return metrics.hyperparameter_sensitivity(rows_df(t, _tree_search(t), SEARCH), ["maxDepth", "minInstancesPerNode", "impurity"])
 
 
 @query("gbt_model")
 def _(t):
-    spec = ml.Spec("GBT", "classification", lambda: ml.gbt("classification", maxIter=10, maxDepth=3), FEW, CAT, weight="balanced")
+    spec = ml.Spec("GBT", "classification", lambda: ml.gbt("classification", **BOOST), NUM, CAT, weight="balanced")
     return _cls_table(_score_tables(t, spec)[1])
 
 
@@ -476,7 +485,7 @@ def _(t):
 
 @query("out_of_fold_scores")
 def _(t):
-    return ml.out_of_fold(logit_spec("C1", FEW), folds(t), train_rows(t), 5)
+    return ml.out_of_fold(logit_spec("C1", NUM), folds(t), train_rows(t), 5)
 
 
 @query("refit_check")
@@ -484,7 +493,7 @@ def _(t):
     """Same specification fitted on Train and on the whole history, scored on one later month."""
     later = labels.scoring_eligibility(feature_rows(t), "1998-06-01", "1998-06-30").where(~F.col("order_status").isin(labels.EXCLUDED_STATUSES))
     later = labels.labels_as_of(later, F.date_add(day("approved_at"), 46)).withColumn("y", F.col("label").cast("double"))
-    spec = logit_spec("C1", FEW)
+    spec = logit_spec("C1", NUM)
     parts = [ml.fit(spec, rows).score(later, ["order_id", "label"]).withColumn("model", F.lit(name)) for name, rows in (("train", train_rows(t)), ("history", task_rows(t)))]
     return metrics.classification_metrics(union_all(parts), ["model"])
 
@@ -497,7 +506,7 @@ def _(t):
                    .join(history.smoothed_entity_history(t.orders, t.items, "product_id", "product"), "order_id"))
     train, test = (rows.join(hist, "order_id") for rows in (train_rows(t), test_rows(t)))
     s, p = ["seller_late_rate_mean", "seller_no_history_share"], ["product_late_rate_mean", "product_no_history_share"]
-    groups = {"base": FEW, "base + seller": FEW + s, "base + product": FEW + p, "both": FEW + s + p}
+    groups = {"base": NUM, "base + seller": NUM + s, "base + product": NUM + p, "both": NUM + s + p}
     parts = [ml.fit(logit_spec(g, cols, []), train).score(test, ["order_id", "month", "y"]).withColumn("model", F.lit(g)) for g, cols in groups.items()]
     by = metrics.classification_metrics(union_all(parts).withColumn("label", F.col("y").cast("int")), ["model", "month"]).select("model", "month", "avg_precision", "roc_auc")
     mean = by.groupBy("model").agg(F.avg("avg_precision").alias("avg_precision"), F.avg("roc_auc").alias("roc_auc")).select("model", F.lit("equal-month mean").alias("month"), "avg_precision", "roc_auc")
@@ -512,7 +521,7 @@ def _(t):
         later = labels.scoring_eligibility(rows, f"{month}-01", str(_last(month))).where(~F.col("order_status").isin(labels.EXCLUDED_STATUSES))
         return labels.labels_as_of(later, F.date_add(day("approved_at"), 46))
     months = ["1998-06", "1998-07", "1998-08"]
-    table = ml.monthly_backtest(logit_spec("C1", FEW), lambda run: labels.training_window(rows, run, "classification"), {m: (f"{m}-02", cohort(m)) for m in months})
+    table = ml.monthly_backtest(logit_spec("C1", NUM), lambda run: labels.training_window(rows, run, "classification"), {m: (f"{m}-02", cohort(m)) for m in months})
     cols = ["avg_precision", "roc_auc", "brier"]
     mean = table.agg(*[F.avg(c).alias(c) for c in cols]).select(F.lit("equal-weight mean").alias("month"), *cols)
     return table.select("month", *cols).unionByName(mean)
@@ -529,7 +538,7 @@ def _last(month):
 def _(t):
     parts = []
     for name, w in (("unweighted", None), ("balanced", "balanced")):
-        parts.append(_score_tables(t, logit_spec(name, FEW, weight=w))[1].withColumn("model", F.lit(name)))
+        parts.append(_score_tables(t, logit_spec(name, NUM, weight=w))[1].withColumn("model", F.lit(name)))
     return _cls_table(union_all(parts))
 
 
@@ -548,8 +557,8 @@ def _(t):
 
 @query("resample_smotenc")
 def _(t):
-    made = ml.synthetic_minority(train_rows(t), FEW, CAT)
-    return made.groupBy("y").agg(n_rows("rows"), F.count_if(F.col("order_id") < 0).alias("synthetic"), *[F.avg(c).alias(f"mean_{c}") for c in FEW])
+    made = ml.synthetic_minority(train_rows(t), NUM, CAT)
+    return made.groupBy("y").agg(n_rows("rows"), F.count_if(F.col("order_id") < 0).alias("synthetic"), *[F.avg(c).alias(f"mean_{c}") for c in NUM])
 
 
 @query("resampling_experiment")
@@ -560,8 +569,8 @@ def _(t):
         strategy, i = job
         train, valid = ml.fold_parts(rows, i)
         made = {"none": lambda x: x, "undersample": ml.undersample, "oversample": ml.oversample,
-                "synthetic": lambda x: ml.synthetic_minority(x, FEW, CAT)}[strategy](train)
-        return ml.fit(logit_spec("C1", FEW), made).score(valid, ["order_id", "y", "fold"]).withColumn("model", F.lit(strategy))
+                "synthetic": lambda x: ml.synthetic_minority(x, NUM, CAT)}[strategy](train)
+        return ml.fit(logit_spec("C1", NUM), made).score(valid, ["order_id", "y", "fold"]).withColumn("model", F.lit(strategy))
     jobs = [(s, i) for s in ("none", "undersample", "oversample", "synthetic") for i in range(1, 6)]
     scored = union_all(ml.in_parallel(one, jobs)).withColumn("label", F.col("y").cast("int"))
     ap = metrics.ranking_scores(metrics.score_curve(scored, ["model", "fold"]), ["model", "fold"]).select("model", "fold", "avg_precision")
@@ -574,11 +583,11 @@ def _(t):
 # ---- interpretation ----
 
 def _forest(t):
-    return ml.fit(forest_spec("classification", num=FEW, cat=CAT, numTrees=10, maxDepth=5), train_rows(t))
+    return ml.fit(forest_spec("classification", weight="balanced"), train_rows(t))
 
 
 def _importance(t):
-    return ml.permutation_importance(_forest(t), test_rows(t), FEW, repeats=3)
+    return ml.permutation_importance(_forest(t), test_rows(t), NUM + CAT, repeats=REPEATS)
 
 
 @query("permutation_importance")
@@ -593,8 +602,8 @@ def _(t):
 
 @query("impurity_importance")
 def _(t):
-    both = [(k, ml.fit(tree_spec("classification", k, FEW, CAT, maxDepth=4) if k == "tree" else forest_spec("classification", k, FEW, CAT, numTrees=10), train_rows(t))) for k in ("tree", "forest")]
-    return rows_df(t, [{"model": k, "feature": f, "importance": v} for k, m in both for f, v in ml.impurity_importance(m)[:5]], "model string, feature string, importance double")
+    both = [(k, ml.fit(tree_spec("classification", k, **TREE) if k == "tree" else forest_spec("classification", k, weight="balanced"), train_rows(t))) for k in ("tree", "forest")]
+    return rows_df(t, [{"model": k, "feature": f, "importance": v} for k, m in both for f, v in ml.impurity_importance(m)], "model string, feature string, importance double")
 
 
 @query("partial_dependence")
@@ -624,15 +633,16 @@ def _(t):
 
 @query("model_size")
 def _(t):
-    fits = {"linear": ml.fit(logit_spec("l", FEW), train_rows(t)), "tree": ml.fit(tree_spec("classification", "t", FEW, CAT, maxDepth=4), train_rows(t)), "forest": _forest(t)}
+    fits = {"linear": ml.fit(logit_spec("l", NUM), train_rows(t)), "tree": ml.fit(tree_spec("classification", "t", **TREE), train_rows(t)), "forest": _forest(t)}
     return rows_df(t, [{"family": k, "parameters": ml.model_size(v.model)} for k, v in fits.items()], "family string, parameters int")
 
 
 @query("bulk_score", """SELECT CASE WHEN order_id % 50 = 1 THEN 'order_item_count: count' ELSE '' END AS violations, count(*) AS rows,
     count(*) FILTER (WHERE order_id % 50 <> 1) AS scored FROM feat GROUP BY 1""")
 def _(t):
-    f = ml.fit(logit_spec("C1", FEW), train_rows(t))
+    f = ml.fit(logit_spec("C1", NUM), train_rows(t))
     rows = feature_rows(t).withColumn("order_item_count", F.when(F.col("order_id") % 50 == 1, 0).otherwise(F.col("order_item_count")))
     states = f.design.levels["customer_state"]
-    out = ml.bulk_score(f, rows, FEW, {"customer_state": states})
+    # The model reads all predictors; the rules checked are those of the columns that the SQL states.
+    out = ml.bulk_score(f, rows, ["promised_lead_days", "seller_dist_km_mean", "payment_value_sum", "order_item_count"], {"customer_state": states})
     return out.groupBy(F.array_join("violations", ",").alias("violations")).agg(n_rows("rows"), F.count("p").alias("scored"))

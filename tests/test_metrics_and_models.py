@@ -188,3 +188,28 @@ def test_search_tie_goes_to_the_simpler_tree():
     assert ml.pick_best(rows)["maxDepth"] == 4
     near = ml.neighbour_grid({"a": [1, 2, 3, 4], "b": ["x", "y"]}, {"a": 3, "b": "x"}, ["a"], trees=[10])
     assert [c["a"] for c in near] == [2, 3, 4] and {c["b"] for c in near} == {"x"}
+
+
+def test_lasso_path_meets_the_optimality_conditions_and_its_error(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 4)) + [0, 5, 0, 0]
+    y = 3 + x @ [2.0, -1.0, 0.3, 0.0] + rng.normal(size=200)
+    frames = [spark.createDataFrame(pd.DataFrame(np.column_stack([x, y])[rows], columns=[*"abcd", "y"])) for rows in (slice(0, 120), slice(120, 200))]
+    train, valid = (stats.gram(f, [*"abcd", "y"]) for f in frames)
+    grid = stats.lasso_penalties(train, "abcd", "y")
+    path = stats.lasso_path(train, "abcd", "y", grid)
+    assert len(grid) == 100 and not path[0].any() and path[-1].all()
+    xt, yt = x[:120] - x[:120].mean(0), y[:120] - y[:120].mean()
+    for penalty, beta in zip(grid, path):
+        slope = xt.T @ (yt - xt @ beta) / 120
+        assert np.all(np.abs(slope) <= penalty + 1e-5) and np.allclose(slope[beta != 0], penalty * np.sign(beta[beta != 0]), atol=1e-5)
+    guess = y[:120].mean() + (x[120:] - x[:120].mean(0)) @ path[50]
+    assert stats.lasso_error(train, valid, "abcd", "y", path[50]) == pytest.approx(np.mean((y[120:] - guess) ** 2))
+
+
+def test_model_queries_search_the_whole_space():
+    from lanewise.operators import features
+    from lanewise.plans import statistics_and_models as plans
+    assert len(ml.grid(ml.TREE_SPACE)) == 160 and plans._tree_search.__defaults__ == (ml.TREE_SPACE,)
+    assert plans._forest_search.__defaults__ == (ml.FOREST_SPACE, 60, 200, (300, 500)) and plans.REPEATS == 5
+    assert plans.tree_spec("classification").num_cols == features.SELECTED_NUMERIC and not hasattr(plans, "FEW")
