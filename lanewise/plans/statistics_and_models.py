@@ -515,18 +515,24 @@ def _(t):
 
 @query("monthly_backtest")
 def _(t):
-    """Refit at the start of each month, score that month, plus equal-weight averages."""
+    """Refit at the start of each month whose training window lies in the data, score that month, plus equal-weight averages."""
     rows = feature_rows(t)
     def cohort(month):
         later = labels.scoring_eligibility(rows, f"{month}-01", str(_last(month))).where(~F.col("order_status").isin(labels.EXCLUDED_STATUSES))
         return labels.labels_as_of(later, F.date_add(day("approved_at"), 46))
-    months = ["1998-06", "1998-07", "1998-08"]
-    table = ml.monthly_backtest(logit_spec("C1", NUM), lambda run: labels.training_window(rows, run, "classification"), {m: (f"{m}-02", cohort(m)) for m in months})
+    table = ml.monthly_backtest(logit_spec("C1", NUM), lambda run: labels.training_window(rows, run, "classification"),
+                                {m: (f"{m}-02", cohort(m)) for m in backtest_months(rows)})
     cols = ["avg_precision", "roc_auc", "brier"]
     mean = table.agg(*[F.avg(c).alias(c) for c in cols]).select(F.lit("equal-weight mean").alias("month"), *cols)
     return table.select("month", *cols).unionByName(mean)
 
 
+def backtest_months(rows) -> list[str]:
+    """Months with approvals whose whole training window lies after the first approval; bounded by the calendar."""
+    found = rows.where("approved_at IS NOT NULL").groupBy(month_label("approved_at").alias("month")).agg(F.min(day("approved_at")).alias("first")).orderBy("month").collect()
+    return [r["month"] for r in found if labels.required_dates(f"{r['month']}-02", 45, 365)[0] >= found[0]["first"]]
+
+
 def _last(month):
     import calendar
     import datetime as dt

@@ -213,3 +213,10 @@ def test_model_queries_search_the_whole_space():
     assert len(ml.grid(ml.TREE_SPACE)) == 160 and plans._tree_search.__defaults__ == (ml.TREE_SPACE,)
     assert plans._forest_search.__defaults__ == (ml.FOREST_SPACE, 60, 200, (300, 500)) and plans.REPEATS == 5
     assert plans.tree_spec("classification").num_cols == features.SELECTED_NUMERIC and not hasattr(plans, "FEW")
+
+
+def test_backtest_months_come_from_the_data(spark):
+    from lanewise.plans.statistics_and_models import backtest_months
+    rows = spark.sql("SELECT explode(sequence(timestamp'2001-01-15', timestamp'2002-06-20', interval 10 days)) AS approved_at UNION ALL SELECT NULL")
+    assert backtest_months(rows) == ["2002-03", "2002-04", "2002-05", "2002-06"]
+    assert backtest_months(rows.limit(0)) == []
