@@ -220,3 +220,15 @@ def test_backtest_months_come_from_the_data(spark):
     rows = spark.sql("SELECT explode(sequence(timestamp'2001-01-15', timestamp'2002-06-20', interval 10 days)) AS approved_at UNION ALL SELECT NULL")
     assert backtest_months(rows) == ["2002-03", "2002-04", "2002-05", "2002-06"]
     assert backtest_months(rows.limit(0)) == []
+
+
+def test_permutations_shared_by_features_give_the_same_importance(spark):
+    df = spark.range(400).selectExpr("id AS order_id", "CAST(pmod(xxhash64(id), 100) AS DOUBLE) AS a", "CAST(pmod(xxhash64(id, 1), 100) AS DOUBLE) AS b",
+                                     "CASE WHEN id % 3 = 0 THEN 'x' ELSE 'y' END AS c").selectExpr("*", "CAST(a + b / 4 > 70 AS DOUBLE) AS y")
+    model = ml.fit(ml.Spec("m", "classification", lambda: ml.tree("classification", maxDepth=4), ["a", "b"], ["c"]), df)
+    got = {r["feature"]: r for r in ml.permutation_importance(model, df, ["a", "b", "c"], repeats=2).collect()}
+
+    def ap(rows):
+        return metrics.classification_metrics(model.score(rows, ["order_id", "y"]).selectExpr("*", "CAST(y AS INT) AS label", "1 AS part"), ["part"]).first()["avg_precision"]
+    assert got["a"]["rank"] == 1 and len(got) == 3
+    assert got["b"]["importance_mean"] == pytest.approx(ap(df) - np.mean([ap(ml.shuffled(df, "b", s)) for s in (0, 1001)]))
