@@ -61,7 +61,8 @@ class Fitted:
     def score_vectors(self, vectors: DataFrame, keep: Sequence[str]) -> DataFrame:
         out = self.model.transform(vectors)
         if self.spec.task == "classification":
-            return out.select(*keep, vector_to_array("probability")[1].alias("p"))
+            p = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+            return out.select(*keep, p.alias("p"))
         if "promised_lead_days" in keep:
             return out.select(*keep, clip_to_waiting_period("prediction", "promised_lead_days", 45).alias("days"))
         return out.select(*keep, F.col("prediction").alias("days"))
@@ -115,14 +116,19 @@ def linear() -> LinearRegression:
     return LinearRegression(regParam=0.0, standardization=False)
 
 
+def _twin(task: str, classifier, regressor, params: Mapping[str, Any]):
+    """A regressor on the 0/1 label for gini: the same splits (the variance is half of gini), and leaves keep their own rates, where the
+    classifier merges neighbours that vote alike. Entropy has no such twin and keeps the classifier with its merged leaves."""
+    entropy = task == "classification" and params.get("impurity") == "entropy"
+    return classifier(seed=SEED, **params) if entropy else regressor(seed=SEED, **{k: v for k, v in params.items() if k != "impurity"})
+
+
 def tree(task: str, **params):
-    cls = DecisionTreeClassifier if task == "classification" else DecisionTreeRegressor
-    return cls(seed=SEED, **{k: v for k, v in params.items() if k != "impurity" or task == "classification"})
+    return _twin(task, DecisionTreeClassifier, DecisionTreeRegressor, params)
 
 
 def forest(task: str, **params):
-    cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
-    return cls(seed=SEED, **{k: v for k, v in params.items() if k != "impurity" or task == "classification"})
+    return _twin(task, RandomForestClassifier, RandomForestRegressor, params)
 
 
 def gbt(task: str, **params):

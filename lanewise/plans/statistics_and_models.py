@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import n_rows
 from ..functions.times import day, month_label
-from ..operators import cubes, design, features, labels, metrics, ml, ordering, splits, stats
+from ..operators import cubes, design, features, labels, logit, metrics, ml, ordering, splits, stats, trees
 from ..operators.audits import union_all
 from ..roles import PAYMENT_TYPES
 from ..session import shared_path
@@ -396,6 +396,96 @@ def _(t):
     return rows_df(t, rows, "unit string, cv_stepwise boolean, bic boolean, aic boolean, lasso boolean, cv_step_entered int, n_methods int")
 
 
+# ---- selection for the late label ----
+
+def _logit_rows(t):
+    """(encoded rows, columns, unit columns): all training rows as fold 0 and each fold with its own design. A level that a fold's
+    training rows lack is a column of zeros there."""
+    whole = fit_linear_design(train_rows(t))
+    rows = folds(t)
+
+    def one(i):
+        train, valid = ml.fold_parts(rows, i)
+        return i, fit_linear_design(train), train, valid
+    parts = ml.in_parallel(one, range(1, 6))
+    units = {u: list(dict.fromkeys(c for d in (whole, *(p[1] for p in parts)) for c in d.units[u])) for u in whole.units}
+    columns = [c for cols in units.values() for c in cols]
+
+    def encoded(d, df, fold, role):
+        x = d.encode(df, keep=["y"])
+        return logit.design_rows(x.withColumns({c: F.lit(0.0) for c in columns if c not in d.columns}), columns, fold, role)
+    tables = [encoded(whole, train_rows(t), 0, "train")]
+    for i, d, train, valid in parts:
+        tables += [encoded(d, train, i, "train"), encoded(d, valid, i, "valid")]
+    return written(t, "logit-rows", lambda: union_all(tables)), columns, units
+
+
+def fit_linear_design(rows):
+    return design.fit_design(rows, NUM, CAT, log_cols=LOGS, cyclic=True, merge_mixed_route=True)
+
+
+def _logit_ic(t, criteria=("aic", "bic")):
+    rows, columns, units = _logit_rows(t)
+    return logit.forward_ic(rows, columns, units, criteria)
+
+
+def _logit_cv(t):
+    rows, columns, units = _logit_rows(t)
+    return logit.forward_cv(rows, columns, units, range(1, 6))
+
+
+def _logit_l1(t):
+    rows, columns, units = _logit_rows(t)
+    table, model = logit.l1_path(rows, columns, range(1, 6))
+    largest = dict(zip(columns, np.abs(model.beta[1:])))
+    return table, [(u, max((float(largest[c]) for c in cols), default=0.0)) for u, cols in units.items()]
+
+
+@query("forward_ic_stepwise_late")
+def _(t):
+    """AIC and BIC paths of the logit on the late label."""
+    paths, _log = _logit_ic(t)
+    rows = [{"criterion": c, **r} for c, path in paths.items() for r in path]
+    return rows_df(t, rows, "criterion string, step int, added_unit string, k int, aic double, bic double, method string")
+
+
+@query("stepwise_retry_log")
+def _(t):
+    """Candidates of the logit paths with a singular information matrix, or left out as their fit did not converge."""
+    return rows_df(t, _logit_ic(t)[1], "step int, unit string, method string, reason string")
+
+
+@query("forward_cv_stepwise_late")
+def _(t):
+    """Path of the logit by mean fold average precision."""
+    path = _logit_cv(t)
+    chosen, best = stats.one_se_rule(path, higher_is_better=True)
+    return rows_df(t, [{**r, "in_one_se_model": 1 <= r["step"] <= chosen, "best_step": r["step"] == best} for r in path],
+                   "step int, added_unit string, n_units int, n_encoded_columns int, cv_mean double, cv_se double, in_one_se_model boolean, best_step boolean")
+
+
+@query("l1_penalty_path")
+def _(t):
+    return rows_df(t, _logit_l1(t)[0], "inverse_penalty double, mean_ap double, best boolean")
+
+
+@query("l1_selection_late")
+def _(t):
+    table, units = _logit_l1(t)
+    penalty = next(r["inverse_penalty"] for r in table if r["best"])
+    return rows_df(t, [{"unit": u, "inverse_penalty": penalty, "largest_coef": v, "selected": v > 0} for u, v in units],
+                   "unit string, inverse_penalty double, largest_coef double, selected boolean")
+
+
+@query("selection_overlap_late")
+def _(t):
+    path = _logit_cv(t)
+    step, _ = stats.one_se_rule(path, higher_is_better=True)
+    picked = {c: [r["added_unit"] for r in p if r["step"]] for c, p in _logit_ic(t)[0].items()}
+    rows = stats.selection_overlap(NUM + CAT, path, step, **picked, lasso=[u for u, v in _logit_l1(t)[1] if v > 0])
+    return rows_df(t, rows, "unit string, cv_stepwise boolean, bic boolean, aic boolean, lasso boolean, cv_step_entered int, n_methods int")
+
+
 # ---- models ----
 
 def _score_tables(t, spec):
@@ -431,18 +521,24 @@ def _(t):
     return ml.cv_metrics([linear_spec("R1", NUM)], folds(t, "regression"), 5)
 
 
-SEARCH = "maxDepth int, minInstancesPerNode int, impurity string, mean_score double, sd_score double"
+SEARCH = "maxDepth int, minInstancesPerNode int, impurity string, mean_score double, sd_score double, n_leaves int, best boolean"
 
 
-def _tree_search(t, space=ml.TREE_SPACE):
-    return ml.search(lambda c: tree_spec("classification", **c), ml.grid(space), folds(t), 5)
+def _tree_grid(t, task):
+    """All candidates of the tree search, written once and read by every query that needs them."""
+    space = {**ml.TREE_SPACE, "impurity": ml.TREE_SPACE["impurity"] if task == "classification" else ["variance"]}
+    found = lambda: trees.grid_search(lambda **p: tree_spec(task, **p), space, train_rows(t, task), folds(t, task), 5, task)
+    return written(t, f"tree-grid-{task}", lambda: rows_df(t, found(), SEARCH))
 
 
 @query("decision_tree_grid")
 def _(t):
-    found = _tree_search(t)
-    best = ml.pick_best(found)
-    return rows_df(t, [{**r, "best": r is best} for r in found], SEARCH + ", best boolean")
+    return _tree_grid(t, "classification")
+
+
+@query("decision_tree_grid_regression")
+def _(t):
+    return _tree_grid(t, "regression")
 
 
 @query("random_forest_search")
@@ -465,7 +561,7 @@ def _forest_search(t, space=ml.FOREST_SPACE, tries=STAGE_A, first_trees=STAGE_A_
 
 @query("hyperparameter_sensitivity")
 def _(t):
-    return metrics.hyperparameter_sensitivity(rows_df(t, _tree_search(t), SEARCH), ["maxDepth", "minInstancesPerNode", "impurity"])
+    return metrics.hyperparameter_sensitivity(_tree_grid(t, "classification"), ["maxDepth", "minInstancesPerNode", "impurity"])
 
 
 @query("gbt_model")

@@ -210,7 +210,7 @@ def test_lasso_path_meets_the_optimality_conditions_and_its_error(spark):
 def test_model_queries_search_the_whole_space():
     from lanewise.operators import features
     from lanewise.plans import statistics_and_models as plans
-    assert len(ml.grid(ml.TREE_SPACE)) == 160 and plans._tree_search.__defaults__ == (ml.TREE_SPACE,)
+    assert len(ml.grid(ml.TREE_SPACE)) == 160
     assert plans._forest_search.__defaults__ == (ml.FOREST_SPACE, 60, 200, (300, 500)) and plans.REPEATS == 5
     assert plans.tree_spec("classification").num_cols == features.SELECTED_NUMERIC and not hasattr(plans, "FEW")
 
