@@ -54,8 +54,13 @@ def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
+def _digest(items: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(items.tobytes())
+
+
 def _sketches(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """doc_id, text_hash, n, digest and signs of every row, in its order."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(HASHES)
@@ -64,11 +69,11 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
             for value in batch.column(1):
                 items = shingles(value.as_py(), size)
                 n.append(len(items))
-                digest.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
+                digest.append(_digest(items) if len(items) else None)
                 signs.append(mix64(sketch(items)).astype("<u2").tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signs, pa.binary())],
-                                             ["doc_id", "n", "digest", "signs"])
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n long, digest binary, signs binary")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                                              pa.array(signs, pa.binary())], ["doc_id", "text_hash", "n", "digest", "signs"])
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash long, n long, digest binary, signs binary")
 
 
 def _band_keys(classes: DataFrame, rows_in_band: int) -> DataFrame:
@@ -109,17 +114,20 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(id, items): the full set of every document in `ids`."""
-    some = _of_ids(docs.select(doc_id, text), written(ids, "ids"), doc_id).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+def _sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(id, items): the full set of every class in `reps` (column id). Texts are read by the id of the class's first row and told apart,
+    where an id repeats, by the digest of their sets."""
+    wanted = written(reps.join(classes.select(F.col("rep").alias("id"), "rep_id", "digest"), "id"), "wanted")
+    some = _of_ids(docs.select(doc_id, text), wanted.select(F.col("rep_id").alias("id")).distinct(), doc_id).select(F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(HASHES)
         for batch in batches:
-            sets = [shingles(v.as_py(), size).tobytes() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "items"])
-    return written(some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, items binary")
-                   .groupBy("id").agg(F.first("items").alias("items")), "sets")
+            sets = [shingles(v.as_py(), size) for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                                             ["digest", "items"])
+    found = some.mapInArrow(run, "digest binary, items binary").join(wanted.select("id", "digest"), "digest")
+    return written(found.groupBy("id").agg(F.first("items").alias("items")), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,13 +235,20 @@ def _links_in_groups(doubt: DataFrame, sets: DataFrame, percent: int) -> DataFra
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 85) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
-    Rows link when 100 * intersection >= percent * union of their sets. Null and empty texts, and null ids, link with nothing and are
-    kept. An id stands for its row: rows that repeat an id share its component. No rows give no rows.
+    Rows link when 100 * intersection >= percent * union of their sets. Null and empty texts link with nothing and are kept; so are rows
+    without an id, whose component is null. Rows that repeat an id are compared row by row; of near copies under one id all have
+    that id, so all are kept. No rows give no rows.
     """
+    return _near_rows(docs, doc_id, text, size, percent).drop("text_hash")
+
+
+def _near_rows(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """`near_duplicates` with the hash of each row's text. A class is known by the number of its first row in the written sketches."""
     small_batches(docs)
-    rows = written(_sketches(docs, doc_id, text, size), "sketches")
+    rows = written(_sketches(docs, doc_id, text, size).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = written(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
-                      .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs")), "classes")
+                      .agg(F.min(F.struct("doc_id", "row")).alias("best"), F.first("n").alias("n"), F.first("signs").alias("signs"))
+                      .select("digest", F.col("best.row").alias("rep"), F.col("best.doc_id").alias("rep_id"), "n", "signs"), "classes")
     band_rows = 6 if percent >= 85 else 5
     keys = written(_band_keys(classes, band_rows), "bands")
     shared = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").drop("last")
@@ -243,7 +258,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = star.join(facts.withColumnsRenamed({"rep": "a", "n": "na", "signs": "sa"}), "a") \
         .join(facts.withColumnsRenamed({"rep": "b", "n": "nb", "signs": "sb"}), "b").where(_close(F.col("na"), F.col("nb"), percent))
     star = written(star.withColumn("like", _agreement("sa", "sb")).where(F.col("like") >= percent / 100 - SLACK).select("a", "b"), "star")
-    sets = _sets(star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), docs, doc_id, text, size)
+    sets = _sets(star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), classes, docs, doc_id, text, size)
     edges = written(_linked(star, sets, percent), "links")
     parts = components(edges)
 
@@ -254,17 +269,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doubt = written(_in_doubt(labelled.join(mixed, "key").join(facts, "rep"), percent, BINS // band_rows), "doubt")
     if doubt.head(1):
         more = doubt.select(F.col("rep").alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
-        sets = sets.unionByName(_sets(more, docs, doc_id, text, size))
+        sets = sets.unionByName(_sets(more, classes, docs, doc_id, text, size))
         parts = components(written(edges.unionByName(_links_in_groups(doubt, sets, percent)), "links"))
 
-    ids = classes.select("digest", "rep").join(parts.withColumnRenamed("vertex", "rep"), "rep", "left") \
-        .select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(ids, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    placed = classes.select("digest", "rep", "rep_id").join(parts.withColumnRenamed("vertex", "rep"), "rep", "left") \
+        .withColumn("component", F.coalesce("component", "rep"))
+    smallest = placed.groupBy("component").agg(F.min("rep_id").alias("component_id"))
+    ids = placed.join(smallest, "component").select("digest", "component_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return rows.join(ids, "digest", "left").withColumn("component_id", own).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 85) -> DataFrame:
-    """The rows of the one document of each component that stays, with all their columns; a null id stays."""
-    gone = written(near_duplicates(docs, doc_id, text, size, percent).where("NOT kept").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    """The rows that `near_duplicates` keeps, with all their columns; rows are known by id and text, so a repeated id loses no other text."""
+    gone = written(_near_rows(docs, doc_id, text, size, percent).where("NOT kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct(), "gone")
     gone = gone if gone.count() > BROADCAST_IDS else F.broadcast(gone)
-    return docs.join(gone, docs[doc_id] == gone["id"], "left_anti")
+    return docs.join(gone, (docs[doc_id] == gone["id"]) & (F.xxhash64(docs[text].cast("string")) == gone["hash"]), "left_anti")

@@ -298,6 +298,17 @@ def test_near_odd(odd):
     assert near.near_duplicates(odd.limit(0)).collect() == [] and near.drop_near(odd.limit(0)).collect() == []
 
 
+def test_near_with_repeated_and_missing_ids(spark):
+    """A row goes only for its own text: an id that repeats loses no other text, and rows without an id stay."""
+    one, two, far = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (2, one), (2, two), (None, one), (None, one), (3, two), (3, far), (4, far + " end"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near.near_duplicates(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (2, 2, True), (None, None, True), (3, 2, False), (3, 3, True), (4, 3, False), (5, 5, True)}
+    left = sorted(map(tuple, near.drop_near(df).collect()), key=str)
+    assert left == sorted([(1, one), (2, two), (None, one), (None, one), (3, far), (5, None)], key=str)
+
+
 # 6 toxicity
 
 def test_toxicity_held_out(spark):
