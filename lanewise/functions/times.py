@@ -5,6 +5,8 @@ floored elapsed days, and fractional elapsed days.
 """
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,12 @@ def elapsed_hours(later, earlier) -> Column:
     return (micros(later) - micros(earlier)) / F.lit(3_600_000_000.0)
 
 
+def newest_days(before: dt.date, gap: int, length: int) -> tuple[dt.date, dt.date]:
+    """First and last of the ``length`` days that end ``gap`` days before a date."""
+    last = before - dt.timedelta(days=gap)
+    return last - dt.timedelta(days=length - 1), last
+
+
 def month_label(c) -> Column:
     return F.date_format(day(c), "yyyy-MM")
 

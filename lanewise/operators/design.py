@@ -54,12 +54,17 @@ class Design:
         o = self.options
         return expanded_terms(self.num_cols, o.get("log_cols", ()), o.get("cyclic", False))
 
-    @property
-    def units(self) -> dict[str, list[str]]:
-        """raw feature -> its encoded columns."""
+    def units_without_levels(self) -> dict[str, list[str]]:
+        """raw numeric feature -> its terms."""
         out: dict[str, list[str]] = {}
         for term, (raw, _) in self.terms.items():
             out.setdefault(raw, []).append(term)
+        return out
+
+    @property
+    def units(self) -> dict[str, list[str]]:
+        """raw feature -> its encoded columns."""
+        out = self.units_without_levels()
         for c in self.cat_cols:
             out[c] = [f"{c}_{v}" for v in self.levels[c] if v != self.references[c]]
         return out

@@ -26,6 +26,12 @@ PLACE_COUNT_COLS = ["seller_zip_code_prefix_count", "seller_city_count", "seller
 EXTRA_COLS = ["promised_lead_days", "approval_lag_hours", "order_product_volume_cm3_sum",
               "order_product_photos_mean", "freight_to_price_ratio", "payment_installments_max",
               "is_weekend_approval", "is_black_friday_period", "is_december_peak", "orders_approved_prev_7d"]
+# Kind of each number; all others are measures that cannot be negative.
+NUMBER_KINDS = {**dict.fromkeys(CALENDAR_COLS, "calendar bound"),
+                **dict.fromkeys(["is_weekend_approval", "is_black_friday_period", "is_december_peak"], "flag"),
+                **dict.fromkeys(["order_item_count", "order_seller_count", "order_product_category_count", "seller_state_count",
+                                 "payment_installments_max"], "count"),
+                "orders_approved_prev_7d": "count from zero", "promised_lead_days": "whole number"}
 CATEGORICAL_COLS = ["customer_state", "route_type", "payment_combination"]
 LEAKAGE_COLS = ["carrier_at", "delivered_at", "durn_to_carrier_days", "durn_to_customer_days", "order_status"]
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import exact_quantiles
+
 INTERCEPT = "(intercept only)"
 MOST_CELLS = 2_000_000     # numbers of one pass's gradients and Hessians; more models take more passes
 BINS = 64                  # bins per unit of the linear score in which validation rows are ordered
@@ -44,46 +46,115 @@ class Model:
         return float(np.log(n)) * (self.k + 1) - 2 * self.loglik
 
 
+@dataclass
+class Prep:
+    """What a fold's training rows say of each column: value for missing ones, shift and scale."""
+    fill: np.ndarray
+    mean: np.ndarray
+    scale: np.ndarray
+
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        """(1, prepared columns) of raw rows, in which NaN is missing."""
+        z = (np.where(np.isnan(x), self.fill, x) - self.mean) / self.scale
+        return np.column_stack([np.ones(len(x)), z])
+
+    @staticmethod
+    def none(p: int) -> Prep:
+        return Prep(np.zeros(p), np.zeros(p), np.ones(p))
+
+
+@dataclass
+class Rows:
+    """Raw rows, each stored once: train_lo, train_hi (first and last fold that trains on the row; none where lo > hi), valid (the fold that it
+    validates, or null), y, x0 .. x{p-1}; and the preparation of each fold."""
+    df: DataFrame
+    p: int
+    preps: Mapping[int, Prep]
+
+    def prep(self, fold: int) -> Prep:
+        return self.preps.get(fold) or Prep.none(self.p)
+
+
+def raw_rows(df: DataFrame, columns: Sequence[str], train_lo: Column, train_hi: Column, valid: Column, y: Column, keep: Sequence[Column] = ()) -> DataFrame:
+    """Rows as this module reads them; `columns` hold numbers, null for missing."""
+    return df.select(train_lo.cast("int").alias("train_lo"), train_hi.cast("int").alias("train_hi"), valid.cast("int").alias("valid"),
+                     y.cast("double").alias("y"), *keep, *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+
+
+def prepare(df: DataFrame, p: int, folds: Sequence[int], scaled: bool = True) -> Rows:
+    """Exact median of each column among a fold's training rows (0 if it has none) and, with `scaled`, mean and deviation after filling in;
+    one job for the medians of all folds and one for their moments."""
+    names = [f"x{i}" for i in range(p)]
+    member = df.where("train_lo <= train_hi").withColumn("fold", F.explode(F.sequence("train_lo", "train_hi")))
+    fills = {f: np.zeros(p) for f in folds}
+    for r in exact_quantiles(member.select("fold", *names), ["fold"], names, {"mid": 0.5}).collect():
+        if r["fold"] in fills:
+            fills[r["fold"]][int(r["variable"][1:])] = r["mid"]
+    rows = Rows(df, p, {f: Prep(fills[f], np.zeros(p), np.ones(p)) for f in folds})
+    if scaled:
+        sums = dict(zip(folds, _moments(rows, folds)))
+        for f, (n, total, squares) in sums.items():
+            mean = total / max(n, 1)
+            sd = np.sqrt(np.clip(squares / max(n, 1) - mean * mean, 0, None))
+            rows.preps[f].mean, rows.preps[f].scale = mean, np.where(sd > 1e-9 * np.maximum(1.0, np.abs(mean)), sd, 1.0)
+    return rows
+
+
 def _matrix(batch: pa.RecordBatch, p: int) -> np.ndarray:
-    return np.column_stack([np.ones(batch.num_rows), *(batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(p))])
+    """Raw columns with NaN for null."""
+    return np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(p)]) if p else np.zeros((batch.num_rows, 0))
+
+
+def _summed(rows: Rows, folds: Sequence[int], size: int, add) -> np.ndarray:
+    """Sum over tasks of a vector of `size` numbers; `add(acc, fold, z, y)` is called for each batch and each fold with its training rows."""
+    p, preps, wanted = rows.p, {f: rows.prep(f) for f in folds}, sorted(set(folds))
 
+    def partial(batches):
+        acc = np.zeros(size)
+        for batch in batches:
+            lo, hi, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("train_lo", "train_hi", "y"))
+            x = _matrix(batch, p)
+            for f in wanted:
+                mine = (lo <= f) & (f <= hi)
+                if mine.any():
+                    add(acc, f, preps[f].apply(x[mine]), y[mine].astype(float))
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(size, dtype=np.int32)), "v": pa.array(acc)})
+
+    cells = rows.df.where("train_lo <= train_hi").mapInArrow(partial, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[cells["cell"].to_numpy()] = cells["v"].to_numpy()
+    return out
 
-def design_rows(df: DataFrame, columns: Sequence[str], fold: Column | int = 0, role: Column | str = "train") -> DataFrame:
-    """Encoded rows as this module reads them: fold, role, y, x0 .. x{p-1}."""
-    at = [c if isinstance(c, Column) else F.lit(c) for c in (fold, role)]
-    return df.select(at[0].cast("int").alias("fold"), at[1].alias("role"), F.col("y").cast("double").alias("y"),
-                     *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
 
+def _moments(rows: Rows, folds: Sequence[int]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(rows, sums, sums of squares) of the filled columns per fold."""
+    width = 2 * rows.p + 1
+    at = {f: i * width for i, f in enumerate(folds)}
 
-def _width(rows: DataFrame) -> int:
-    return sum(c[:1] == "x" and c[1:].isdigit() for c in rows.columns)
+    def add(acc, f, z, y):
+        acc[at[f]:at[f] + width] += np.concatenate([[len(z)], z[:, 1:].sum(axis=0), (z[:, 1:] ** 2).sum(axis=0)])
+    flat = _summed(rows, folds, width * len(folds), add)
+    return [(flat[a], flat[a + 1:a + 1 + rows.p], flat[a + 1 + rows.p:a + width]) for a in at.values()]
 
 
-def derivatives(rows: DataFrame, models: Sequence[Model], betas: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+def derivatives(rows: Rows, models: Sequence[Model], betas: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """(log-likelihood, gradient, Hessian of minus the log-likelihood) of each model at its beta over the training rows of its fold."""
-    p = _width(rows)
-    wanted = [(m.fold, np.array([0, *(c + 1 for c in m.cols)]), b) for m, b in zip(models, betas)]
     sizes = [1 + len(b) + len(b) * (len(b) + 1) // 2 for b in betas]
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-
-    def partial(batches):
-        acc = np.zeros(starts[-1])
-        for batch in batches:
-            z_all, y_all, fold = _matrix(batch, p), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
-            of = {f: (z_all[fold == f], y_all[fold == f]) for f in np.unique(fold)}
-            for (f, cols, beta), a, b in zip(wanted, starts, starts[1:]):
-                if f not in of:
-                    continue
-                z, y = of[f][0][:, cols], of[f][1]
-                eta = z @ beta
-                mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
-                hessian = (z * (mu * (1 - mu))[:, None]).T @ z
-                acc[a:b] += np.concatenate([[float(y @ eta - np.logaddexp(0, eta).sum())], z.T @ (y - mu), hessian[np.triu_indices(len(beta))]])
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(len(acc), dtype=np.int32)), "v": pa.array(acc)})
-
-    cells = rows.where("role = 'train'").mapInArrow(partial, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
-    flat = np.zeros(starts[-1])
-    flat[cells["cell"].to_numpy()] = cells["v"].to_numpy()
+    of: dict[int, list] = {}
+    for m, beta, a in zip(models, betas, starts):
+        of.setdefault(m.fold, []).append((np.array([0, *(c + 1 for c in m.cols)]), beta, a))
+
+    def add(acc, f, z_all, y):
+        for cols, beta, a in of[f]:
+            z = z_all[:, cols]
+            eta = z @ beta
+            mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
+            hessian = (z * (mu * (1 - mu))[:, None]).T @ z
+            part = np.concatenate([[float(y @ eta - np.logaddexp(0, eta).sum())], z.T @ (y - mu), hessian[np.triu_indices(len(beta))]])
+            acc[a:a + len(part)] += part
+
+    flat = _summed(rows, list(of), int(starts[-1]), add)
     out = []
     for beta, a, b in zip(betas, starts, starts[1:]):
         k = len(beta)
@@ -102,24 +173,30 @@ def _newton(beta, gradient, hessian) -> tuple[np.ndarray, float, bool]:
     return beta + step, float(gradient @ step) / 2, bool(kept.all())
 
 
-def _proximal(beta, gradient, hessian, penalty, sweeps: int = 2_000) -> tuple[np.ndarray, float]:
-    """Minimum of the quadratic model plus the L1 penalty by coordinate descent, and its expected gain."""
-    new, pull = beta.copy(), gradient + hessian @ beta
-    for _ in range(sweeps):
-        before = new.copy()
-        for j in range(len(new)):
-            if hessian[j, j] <= 1e-12:
-                continue
+def _proximal(beta, gradient, hessian, penalty, sweeps: int = 40) -> tuple[np.ndarray, float]:
+    """Minimum of the quadratic model plus the L1 penalty, and its expected gain: coordinate descent finds the terms and their signs, and a
+    solved system that meets the optimality conditions ends it. Unfinished, it is a step downhill that the next pass goes on from."""
+    new, pull, slack = beta.copy(), gradient + hessian @ beta, 1e-9 * max(penalty, 1e-300)
+    moving = np.flatnonzero(np.diag(hessian) > 1e-12)
+    for sweep in range(sweeps):
+        for j in moving:
             rho = pull[j] - hessian[j] @ new + hessian[j, j] * new[j]
             new[j] = (rho if j == 0 else np.sign(rho) * max(abs(rho) - penalty, 0.0)) / hessian[j, j]
-        if np.max(np.abs(new - before)) <= 1e-10 * max(1.0, np.max(np.abs(new))):
-            break
+        if sweep % 10 == 9:
+            on = moving[(new[moving] != 0) | (moving == 0)]
+            signs = np.where(on == 0, 0.0, np.sign(new[on]))
+            exact = np.zeros(len(new))
+            exact[on] = np.linalg.lstsq(hessian[np.ix_(on, on)], pull[on] - penalty * signs, rcond=None)[0]
+            left = pull - hessian @ exact
+            if np.all(exact[on] * signs >= 0) and np.all(np.abs(left[1:]) <= penalty + slack) and np.all(np.abs(left[on] - penalty * signs) <= max(slack, 1e-9)):
+                new = exact
+                break
     d = new - beta
     gain = float(gradient @ d - d @ hessian @ d / 2 + penalty * (np.abs(beta[1:]).sum() - np.abs(new[1:]).sum()))
     return new, gain
 
 
-def fit_many(rows: DataFrame, models: Sequence[Model], max_iter: int = 60, tol: float = 1e-11) -> list[Model]:
+def fit_many(rows: Rows, models: Sequence[Model], max_iter: int = 40, tol: float = 1e-10) -> list[Model]:
     """Fits all models together, each from its own beta; steps that raise the loss are halved.
 
     A model has converged when the next step promises less than `tol` of its loss. One that has not after `max_iter` passes, or whose steps
@@ -156,6 +233,8 @@ def fit_many(rows: DataFrame, models: Sequence[Model], max_iter: int = 60, tol:
             m.method = "newton" if full else "pseudo-inverse"
             if gain <= tol * max(1.0, abs(loss)):
                 m.converged = True
+                m.beta, m.loss = new, loss - gain  # the last step is too small to need another look
+                m.loglik = float(m.penalty * np.abs(new[1:]).sum() - m.loss)
             else:
                 trial[id(m)] = new
                 moving.append(m)
@@ -177,32 +256,36 @@ def _portions(models: Sequence[Model]) -> list[list[Model]]:
     return out
 
 
-def scores(rows: DataFrame, models: Sequence[Model]) -> DataFrame:
-    """(model, eta, y) of every validation row and every model of its fold; models are numbered in order."""
-    p = _width(rows)
-    wanted = [(i, m.fold, np.array([0, *(c + 1 for c in m.cols)]), m.beta) for i, m in enumerate(models)]
+def scores(rows: Rows, models: Sequence[Model], keep: Sequence[str] = ("y",)) -> DataFrame:
+    """model, eta and the `keep` columns of every validation row, for every model of its fold; models are numbered in order."""
+    p, of = rows.p, {}
+    for i, m in enumerate(models):
+        of.setdefault(m.fold, []).append((i, np.array([0, *(c + 1 for c in m.cols)]), m.beta))
+    preps = {f: rows.prep(f) for f in of}
+    kinds = ", ".join(f"{c} {rows.df.schema[c].dataType.simpleString()}" for c in keep)
 
     def apply(batches):
         for batch in batches:
-            z_all, y_all, fold = _matrix(batch, p), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
-            for i, f, cols, beta in wanted:
-                mine = fold == f
-                if mine.any():
-                    yield pa.RecordBatch.from_pydict({"model": pa.array(np.full(int(mine.sum()), i, np.int32)),
-                                                      "eta": pa.array(z_all[mine][:, cols] @ beta), "y": pa.array(y_all[mine])})
+            valid, x = batch.column("valid").to_numpy(zero_copy_only=False), _matrix(batch, p)
+            for f in of:
+                mine = np.flatnonzero(valid == f)
+                if len(mine):
+                    z, kept = preps[f].apply(x[mine]), [batch.column(c).take(pa.array(mine)) for c in keep]
+                    for i, cols, beta in of[f]:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), i, np.int32)), pa.array(z[:, cols] @ beta), *kept], ["model", "eta", *keep])
 
-    return rows.where("role = 'valid'").mapInArrow(apply, "model int, eta double, y double")
+    return rows.df.where("valid IS NOT NULL").mapInArrow(apply, f"model int, eta double, {kinds}")
 
 
-def average_precision(scored: DataFrame) -> dict[int, float]:
+def average_precision(scored: DataFrame, bins: int = BINS) -> dict[int, float]:
     """Average precision per model over distinct scores, highest first; models without a positive row are missing.
 
-    Rows shrink to counts per score. Scores are ordered inside fixed bins of the score, and only one total per bin is summed up over a
+    Rows shrink to counts per score. Scores are ordered inside `bins` bins per unit of the score, and only one total per bin is summed up over a
     model, so no task orders all rows of a model.
     """
     # Sums of the same products may differ in their last digits between equal rows: scores equal to 12 digits tie.
     counts = scored.groupBy("model", F.round("eta", 12).alias("eta")).agg(F.count("*").alias("n"), F.sum("y").alias("pos")) \
-        .withColumn("bin", F.floor(F.least(F.greatest(F.col("eta"), F.lit(-700.0)), F.lit(700.0)) * BINS))
+        .withColumn("bin", F.floor(F.least(F.greatest(F.col("eta"), F.lit(-700.0)), F.lit(700.0)) * bins))
     inside = Window.partitionBy("model", "bin").orderBy(F.desc("eta"))
     above = Window.partitionBy("model").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = counts.groupBy("model", "bin").agg(F.sum("n").alias("bin_n"), F.sum("pos").alias("bin_pos"))
@@ -226,9 +309,9 @@ def _extend(base: Model, extra: tuple[int, ...]) -> Model:
     return Model(base.cols + extra, base.fold, 0.0, start)
 
 
-def forward_ic(rows: DataFrame, columns: Sequence[str], units: Mapping[str, Sequence[str]],
+def forward_ic(rows: Rows, whole: int, columns: Sequence[str], units: Mapping[str, Sequence[str]],
                criteria: Sequence[str] = ("aic", "bic")) -> tuple[dict[str, list[dict]], list[dict]]:
-    """Greedy paths by AIC and BIC, and the log of candidates that were solved another way or skipped.
+    """Greedy paths by AIC and BIC on the fold `whole`, and the log of candidates that were solved another way or skipped.
 
     A unit brings all its encoded columns. Paths stop when no addition lowers their criterion; first of equals wins. Both paths walk
     together and share the models that both want.
@@ -236,11 +319,11 @@ def forward_ic(rows: DataFrame, columns: Sequence[str], units: Mapping[str, Sequ
     if set(criteria) - {"aic", "bic"}:
         raise ValueError("criterion must be 'aic' or 'bic'")
     place = _places(columns, units)
-    n = float(rows.where("role = 'train' AND fold = 0").count())
-    base = fit_many(rows, [Model(())])[0]
+    n = float(rows.df.where((F.col("train_lo") <= whole) & (F.col("train_hi") >= whole)).count())
+    base = fit_many(rows, [Model((), whole)])[0]
 
     def entry(step, unit, m):
-        return {"step": step, "added_unit": unit, "k": m.k, "aic": m.aic(n), "bic": m.bic(n), "method": m.method}
+        return {"step": step, "added_unit": unit, "k": m.k, "aic": float(m.aic(n)), "bic": float(m.bic(n)), "method": m.method}
 
     paths = {c: [entry(0, INTERCEPT, base)] for c in criteria}
     chosen = {c: ((), base) for c in criteria}
@@ -273,13 +356,13 @@ def forward_ic(rows: DataFrame, columns: Sequence[str], units: Mapping[str, Sequ
     return paths, log
 
 
-def fold_average_precision(rows: DataFrame, models: Sequence[Model], folds: Sequence[int]) -> np.ndarray:
-    """(models / folds) x folds average precisions; models come fold by fold within each candidate."""
+def fold_average_precision(rows: Rows, models: Sequence[Model], folds: Sequence[int]) -> np.ndarray:
+    """(models / folds) x folds average precisions, 0 in a fold without positive rows; models come fold by fold within each candidate."""
     found = average_precision(scores(rows, models))
-    return np.array([found.get(i, np.nan) for i in range(len(models))]).reshape(-1, len(folds))
+    return np.array([found.get(i, 0.0) for i in range(len(models))]).reshape(-1, len(folds))
 
 
-def forward_cv(rows: DataFrame, columns: Sequence[str], units: Mapping[str, Sequence[str]], folds: Sequence[int],
+def forward_cv(rows: Rows, columns: Sequence[str], units: Mapping[str, Sequence[str]], folds: Sequence[int],
                early_stop: int | None = None) -> list[dict]:
     """Greedy path by mean fold average precision: all candidates and folds of a step are fitted together and ranked together."""
     place = _places(columns, units)
@@ -294,7 +377,7 @@ def forward_cv(rows: DataFrame, columns: Sequence[str], units: Mapping[str, Sequ
     while left:
         tries = fit_many(rows, [_extend(b, place[u]) for u in left for b in base])
         table = fold_average_precision(rows, tries, folds)
-        at = int(np.argmax(np.nan_to_num(table.mean(axis=1), nan=-np.inf)))
+        at = int(np.argmax(table.mean(axis=1)))
         base = tries[at * len(folds):(at + 1) * len(folds)]
         path.append(row(len(path), left.pop(at), len(path), base[0], table[at]))
         stale = 0 if path[-1]["cv_mean"] > best else stale + 1
@@ -304,12 +387,11 @@ def forward_cv(rows: DataFrame, columns: Sequence[str], units: Mapping[str, Sequ
     return path
 
 
-def l1_path(rows: DataFrame, columns: Sequence[str], folds: Sequence[int], grid: Sequence[float] = INVERSE_PENALTIES) -> tuple[list[dict], Model]:
-    """(inverse penalty, mean fold average precision) rows, strongest penalty first, and the model of the best one on fold 0, all training
-    rows. All penalties and folds are fitted in the same passes."""
+def l1_path(rows: Rows, whole: int, columns: Sequence[str], folds: Sequence[int], grid: Sequence[float] = INVERSE_PENALTIES) -> tuple[list[dict], Model]:
+    """(inverse penalty, mean fold average precision) rows, strongest penalty first, and the model of the best one on the fold `whole`. All penalties and folds are fitted in the same passes."""
     every = tuple(range(len(columns)))
     models = fit_many(rows, [Model(every, f, 1.0 / c) for c in grid for f in folds])
     means = fold_average_precision(rows, models, folds).mean(axis=1)
-    best = int(np.argmax(np.nan_to_num(means, nan=-np.inf)))
+    best = int(np.argmax(means))
     table = [{"inverse_penalty": float(c), "mean_ap": float(v), "best": i == best} for i, (c, v) in enumerate(zip(grid, means))]
-    return table, fit_many(rows, [Model(every, 0, 1.0 / grid[best])])[0]
+    return table, fit_many(rows, [Model(every, whole, 1.0 / grid[best])])[0]

@@ -5,6 +5,7 @@ independent fits from a small thread pool.
 """
 from __future__ import annotations
 
+import datetime as dt
 import itertools
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
 from ..functions.scalars import clip_to_waiting_period
-from ..session import shared_folder
-from . import metrics
+from ..functions.times import day, month_label
+from ..session import shared_folder, shared_path
+from . import labels, logit, metrics
 from .design import Design, fit_design
 from .ordering import global_rank, hash_order, ordered_blocks
 
@@ -250,25 +252,78 @@ def neighbour_grid(space: Mapping[str, Sequence], best: Mapping[str, Any], keys:
     return [{**point, **extra} for point in grid(around) if steps(point) for extra in grid(fixed)]
 
 
-def search(spec_of: Callable[[dict], Spec], candidates: Sequence[dict], folds: DataFrame, n_folds: int) -> list[dict]:
-    """Mean fold score of each candidate (AP, or minus RMSE)."""
-    specs = [spec_of(c) for c in candidates]
-    for i, s in enumerate(specs):
-        s.name = f"c{i}"
-    column = "avg_precision" if specs[0].task == "classification" else "rmse"
-    sign = 1 if column == "avg_precision" else -1
-    by = cv_metrics(specs, folds, n_folds).groupBy("model").agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s")).collect()
-    found = {r["model"]: r for r in by}
-    return [{**c, "mean_score": sign * found[f"c{i}"]["m"], "sd_score": found[f"c{i}"]["s"]} for i, c in enumerate(candidates) if found[f"c{i}"]["m"] is not None]
+CANDIDATE = "candidate string, fold int, score double"
 
 
-def pick_best(results: Sequence[dict], tol: float = 1e-4) -> dict:
-    """Best mean score; within ``tol`` the shallower tree, larger leaves, fewer trees."""
-    simple_first = sorted(results, key=lambda r: r.get("numTrees", 0))
-    simple_first.sort(key=lambda r: r["minInstancesPerNode"], reverse=True)
-    simple_first.sort(key=lambda r: r["maxDepth"])
-    enough = -tol + max(r["mean_score"] for r in results)
-    return next(r for r in simple_first if r["mean_score"] >= enough)
+def fold_scores_of(specs: Sequence[Spec], train: DataFrame, valid: DataFrame) -> list[float]:
+    """Score of each fitted spec on the validation rows (average precision, or minus the root mean squared error); all models are applied in one
+    pass, and their scores ranked or summed in one job."""
+    def one(spec):
+        return spec.estimator().setFeaturesCol("features").setLabelCol("y")
+
+    def fit_one(spec):
+        return fit_vectors(spec, None, train).model if spec.weight else one(spec).fit(train)
+    models, scored = in_parallel(fit_one, specs), valid
+    for i, (spec, model) in enumerate(zip(specs, models)):
+        p = vector_to_array("probability")[1] if hasattr(model, "numClasses") else F.col("prediction")
+        if spec.task == "regression":
+            p = clip_to_waiting_period("prediction", "promised_lead_days", 45)
+        scored = model.transform(scored).withColumn(f"s{i}", p).drop("prediction", "probability", "rawPrediction")
+    long = scored.select("y", F.posexplode(F.array(*[f"s{i}" for i in range(len(specs))])).alias("model", "s"))
+    if specs[0].task == "classification":
+        found = logit.average_precision(long.withColumn("eta", F.col("s")), bins=4096)
+        return [found.get(i, 0.0) for i in range(len(specs))]
+    errors = dict(long.groupBy("model").agg(F.sqrt(F.avg(F.pow(F.col("s") - F.col("y"), 2)))).collect())
+    return [-errors[i] for i in range(len(specs))]
+
+
+def search(spec_of: Callable[[dict], Spec], candidates: Sequence[dict], folds: DataFrame, n_folds: int, path: str | None = None, at_once: int = 12) -> DataFrame:
+    """candidate, fold, score: every candidate on every fold, from a table at `path` that grows by `at_once` candidates at a time.
+
+    A search that was broken off goes on with the candidates that the table lacks. Each fold is encoded once for all of them.
+    """
+    import json
+    spark = folds.sparkSession
+    path = path or shared_path(spark, "search")
+    names = [json.dumps(c, sort_keys=True) for c in candidates]
+    done: set[tuple[str, int]] = set()
+    if _exists(spark, path):
+        done = {(r["candidate"], r["fold"]) for r in spark.read.schema(CANDIDATE).parquet(path).select("candidate", "fold").collect()}
+    specs = {n: spec_of(c) for n, c in zip(names, candidates)}
+    for fold in range(1, n_folds + 1):
+        todo = [n for n in names if (n, fold) not in done]
+        if not todo:
+            continue
+        train, valid = fold_parts(folds, fold)
+        d = build_design(specs[todo[0]], train)
+        rows, held = vectorise(d, train, ["y"]).persist(), vectorise(d, valid, ["y", "promised_lead_days"]).persist()
+        for start in range(0, len(todo), at_once):
+            some = todo[start:start + at_once]
+            found = fold_scores_of([specs[n] for n in some], rows, held)
+            spark.createDataFrame([(n, fold, float(v)) for n, v in zip(some, found)], CANDIDATE).coalesce(1).write.mode("append").parquet(path)
+        rows.unpersist()
+        held.unpersist()
+    wanted = spark.createDataFrame([(n,) for n in names], "candidate string")
+    return spark.read.schema(CANDIDATE).parquet(path).join(wanted, "candidate")
+
+
+def _exists(spark, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def candidate_table(found: DataFrame, schema: str) -> DataFrame:
+    """One row per candidate with its parameters (`schema`), mean_score and sd_score."""
+    by = found.groupBy("candidate").agg(F.avg("score").alias("mean_score"), F.stddev_samp("score").alias("sd_score"))
+    return by.select(F.from_json("candidate", schema).alias("c"), "mean_score", "sd_score").select("c.*", "mean_score", "sd_score")
+
+
+def mark_best(table: DataFrame, simplest: Sequence[Column], tol: float = 1e-4) -> DataFrame:
+    """Adds ``best``: of the candidates within ``tol`` of the best mean, the first by `simplest`. One row per candidate."""
+    everyone = Window.partitionBy()
+    near = table.withColumn("_near", F.col("mean_score") >= F.max("mean_score").over(everyone) - tol)
+    first = F.row_number().over(everyone.orderBy(F.desc("_near"), *simplest, F.desc("mean_score")))
+    return near.withColumn("best", first == 1).drop("_near")
 
 
 # ---- interpretation ----
@@ -388,19 +443,40 @@ def synthetic_minority(df: DataFrame, numeric: Sequence[str], categorical: Seque
     return df.select("order_id", y, *[F.col(c).cast("double").alias(c) for c in numeric], *categorical).unionByName(new)
 
 
-def bulk_score(f: Fitted, df: DataFrame, numeric: Sequence[str], categories: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Scores of valid rows plus rejected rows with their reasons and no score."""
+def bulk_score(f: Fitted, df: DataFrame, numeric: Sequence[str], categories: Mapping[str, Sequence[str]], others: Sequence[str] | None = None) -> DataFrame:
+    """Scores of valid rows plus rejected rows with their reasons and no score. With ``others``, unknown columns are refused."""
     from .contract import split_valid, validate
-    good, bad = split_valid(validate(df, numeric, categories))
+    good, bad = split_valid(validate(df, numeric, categories, others))
     target = "p" if f.spec.task == "classification" else "days"
     ok = f.score(good, ["order_id"]).withColumn("violations", F.array().cast("array<string>"))
     return ok.unionByName(bad.select("order_id", F.lit(None).cast("double").alias(target), "violations"))
 
 
-def monthly_backtest(spec: Spec, rows_as_of: Callable[[str], DataFrame], cohorts: Mapping[str, tuple[str, DataFrame]]) -> DataFrame:
-    """Refit at each month's run date, score that month; ``cohorts``: month -> (run date, rows to score)."""
-    from .audits import union_all
-    def one(item):
-        month, (run_date, rows) = item
-        return fit(spec, rows_as_of(run_date)).score(rows, ["order_id", "label"]).withColumn("month", F.lit(month))
-    return metrics.classification_metrics(union_all(in_parallel(one, list(cohorts.items()))), ["month"])
+def monthly_refits(encode: Callable[[DataFrame], tuple[DataFrame, Mapping[str, Sequence[str]]]], rows: DataFrame, months: Sequence[str],
+                   lookback: int = 45, window_days: int = 365) -> DataFrame:
+    """model (place of the month), order_id, label and p of every month's eligible orders, scored by the logit fitted on the second day of the month.
+
+    A refit trains on the window's orders whose label was known by then. Labels never change once known, and windows move forward, so the refits
+    that use an order are consecutive: rows are stored once with the first and the last of them, and all refits run in the same passes.
+    `encode` gives the rows with numeric columns (null for missing) and the columns of each unit.
+    """
+    runs = F.array(*[F.lit(dt.date.fromisoformat(f"{m}-02")) for m in months])
+    approved = day("approved_at")
+    known = F.greatest(F.least(day("delivered_at"), day("estimated_at")), F.date_add(approved, lookback))  # the last day before the first refit
+    own = ["label_status", "delivered_by_run"]
+    later = labels.labels_as_of(rows, F.date_add(approved, lookback + 1)).withColumnRenamed("label", "later").drop(*own)
+    ended = labels.labels_as_of(later, F.date_add(known, 1)).drop(*own)
+    trains = ~F.col("order_status").isin(labels.EXCLUDED_STATUSES) & F.col("label").isNotNull()
+    open_then = F.col("delivered_at").isNull() | (day("delivered_at") > approved)
+    scored = open_then & ~F.col("order_status").isin(labels.EXCLUDED_STATUSES)
+    wide, units = encode(ended.withColumns({
+        "_lo": F.when(trains, F.size(F.filter(runs, lambda r: r <= known))).otherwise(1),
+        "_hi": F.when(trains, F.size(F.filter(runs, lambda r: r <= F.date_add(approved, lookback + window_days))) - 1).otherwise(0),
+        "_valid": F.when(scored, F.array_position(F.transform(runs, lambda r: F.date_format(r, "yyyy-MM")), month_label("approved_at")) - 1)}))
+    columns = [c for cols in units.values() for c in cols]
+    held = logit.raw_rows(wide, columns, F.col("_lo"), F.col("_hi"), F.when(F.col("_valid") >= 0, F.col("_valid")), F.col("label"), [F.col("order_id"), F.col("later")])
+    shared_folder(rows.sparkSession)
+    ready = logit.prepare(held.checkpoint(), len(columns), range(len(months)))
+    models = logit.fit_many(ready, [logit.Model(tuple(range(len(columns))), f) for f in range(len(months))])
+    out = logit.scores(ready, models, keep=["order_id", "later"])
+    return out.select("model", "order_id", F.col("later").alias("label"), (1 / (1 + F.exp(-F.col("eta")))).alias("p"))

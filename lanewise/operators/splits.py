@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import day
+from ..functions.times import day, newest_days
 from .joins import param_rows
 from .ordering import global_rank, hash_order
 
@@ -32,16 +32,12 @@ def chronological_split(df: DataFrame, test_days: int = 30, gap_days: int = 0) -
     first, last, undated = df.agg(F.min(d), F.max(d), F.count_if(d.isNull())).first()
     if undated:
         raise ValueError(f"{undated} rows without an approval day")
-    test = _span(last, test_days - 1) if last else None
+    test = newest_days(last, 0, test_days) if last else None
     before = test and test[0] - dt.timedelta(days=gap_days)
     _check_plan([{"train": (first, before), "gap": gap_days, "valid": test}] if last else [])
     return df.withColumn("split", F.when(d >= F.lit(test[0]), "test").when(d < F.lit(before), "train"))
 
 
-def _span(last: dt.date, back: int) -> tuple[dt.date, dt.date]:
-    return last - dt.timedelta(days=back), last
-
-
 def _check_plan(parts: Sequence[dict]) -> None:
     """A usable plan: at least one part, days to train on before the gap, validation days in order, and the gap kept."""
     problems = [
@@ -75,7 +71,7 @@ def fold_plan(days: Sequence[dt.date], n_splits: int = 5, gap_days: int = 0, min
         blocks = []
     elif validation_days is not None:
         ends = [days[-1] - one * (validation_days * k) for k in reversed(range(n_splits))]
-        blocks = [_span(end, validation_days - 1) for end in ends]
+        blocks = [newest_days(end, 0, validation_days) for end in ends]
     else:
         initial = 0 if min_train_days is None else max(min_train_days, 1) + gap_days
         pool = [d for d in days if (d - days[0]).days >= initial]

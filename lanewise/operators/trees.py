@@ -63,7 +63,7 @@ def _counts(rows: DataFrame, trees: Sequence[DeepTree], role: str) -> DataFrame:
     """tree, fold, role, leaf, n, total, squares: rows per leaf of every tree, each row read once."""
     out, at = rows, []
     for i, t in enumerate(trees):
-        out = t.model.setLeafCol(f"leaf{i}").setPredictionCol(f"value{i}").transform(out).drop(f"value{i}")
+        out = t.model.setLeafCol(f"leaf{i}").setPredictionCol(f"value{i}").transform(out).drop(f"value{i}", "rawPrediction", "probability")
         at.append(F.struct(F.lit(t.name).alias("tree"), F.col(f"leaf{i}").cast("int").alias("leaf")))
     each = out.select("y", F.explode(F.array(*at)).alias("t")).select("t.*", "y")
     return each.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.sum("y").alias("total"), F.sum(F.col("y") * F.col("y")).alias("squares")) \

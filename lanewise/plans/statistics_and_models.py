@@ -210,13 +210,13 @@ def _grams(t):
 @query("vif_elimination")
 def _(t):
     _, trace = stats.vif_elimination(_grams(t), REPRESENTATIVES, ["payment_value_sum"])
-    return rows_df(t, trace, "step int, stage string, removed string, reason string, max_vif double")
+    return rows_df(t, trace, stats.TRACE)
 
 
 @query("vif_stage_summary")
 def _(t):
     _, trace = stats.vif_elimination(_grams(t), REPRESENTATIVES, ["payment_value_sum"])
-    return rows_df(t, stats.stage_summary(trace, len(ALL_NUM)), "stage string, removed int, removed_columns string, remaining int")
+    return stats.stage_summary(rows_df(t, trace, stats.TRACE), len(ALL_NUM))
 
 
 @query("design_rank")
@@ -323,7 +323,7 @@ def _(t):
 
 @query("hypothesis_check")
 def _(t):
-    rows = stats.hypothesis_rows({"R1": _coefficients(t, "regression")})
+    rows = stats.hypothesis_rows({"C1": _coefficients(t, "classification"), "R1": _coefficients(t, "regression")})
     return rows_df(t, rows, "hypothesis string, feature string, model string, expected_sign string, observed_sign string, verdict string, coef double, p_value double")
 
 
@@ -356,9 +356,7 @@ def _ic_path(t, criterion):
 
 @query("forward_cv_stepwise")
 def _(t):
-    path = _cv_path(t)
-    chosen, best = stats.one_se_rule(path, higher_is_better=False)
-    return rows_df(t, [{**r, "in_one_se_model": 1 <= r["step"] <= chosen, "best_step": r["step"] == best} for r in path], PATH + ", in_one_se_model boolean, best_step boolean")
+    return stats.mark_one_se(rows_df(t, _cv_path(t), PATH), higher_is_better=False)
 
 
 @query("forward_ic_stepwise")
@@ -389,44 +387,47 @@ def _(t):
 
 @query("selection_overlap")
 def _(t):
-    path = _cv_path(t)
-    step, _ = stats.one_se_rule(path, higher_is_better=False)
-    picked = lambda c: [r["added_unit"] for r in _ic_path(t, c) if r["step"]]
-    rows = stats.selection_overlap(NUM + CAT, path, step, bic=picked("bic"), aic=picked("aic"), lasso=[u for u, v in _lasso(t)[1] if v > 0])
-    return rows_df(t, rows, "unit string, cv_stepwise boolean, bic boolean, aic boolean, lasso boolean, cv_step_entered int, n_methods int")
+    path = stats.mark_one_se(rows_df(t, _cv_path(t), PATH), higher_is_better=False)
+    picked = {c: [r["added_unit"] for r in _ic_path(t, c) if r["step"]] for c in ("bic", "aic")}
+    return stats.selection_overlap(NUM + CAT, path, {**picked, "lasso": [u for u, v in _lasso(t)[1] if v > 0]})
 
 
 # ---- selection for the late label ----
 
-def _logit_rows(t):
-    """(encoded rows, columns, unit columns): all training rows as fold 0 and each fold with its own design. A level that a fold's
-    training rows lack is a column of zeros there."""
-    whole = fit_linear_design(train_rows(t))
-    rows = folds(t)
+WHOLE = 6  # the fold of all training rows, after the five of the plan
 
-    def one(i):
-        train, valid = ml.fold_parts(rows, i)
-        return i, fit_linear_design(train), train, valid
-    parts = ml.in_parallel(one, range(1, 6))
-    units = {u: list(dict.fromkeys(c for d in (whole, *(p[1] for p in parts)) for c in d.units[u])) for u in whole.units}
-    columns = [c for cols in units.values() for c in cols]
 
-    def encoded(d, df, fold, role):
-        x = d.encode(df, keep=["y"])
-        return logit.design_rows(x.withColumns({c: F.lit(0.0) for c in columns if c not in d.columns}), columns, fold, role)
-    tables = [encoded(whole, train_rows(t), 0, "train")]
-    for i, d, train, valid in parts:
-        tables += [encoded(d, train, i, "train"), encoded(d, valid, i, "valid")]
-    return written(t, "logit-rows", lambda: union_all(tables)), columns, units
+def _wide(rows):
+    """(rows with the terms of the linear design as columns, null where missing; unit -> columns). Scales and fill-in values are each
+    fold's own; the levels are those of all given rows, so that one unseen in a fold is a column without variation there."""
+    d = design.Design(NUM, CAT, {"log_cols": LOGS, "cyclic": True}, scale=False)
+    counts = design.category_counts(rows.replace(design.ROUTE_MERGES, subset=["route_type"]), CAT)
+    units = {u: list(terms) for u, terms in d.units_without_levels().items()}
+    held = design.expand(rows, NUM, LOGS, cyclic=True, merge_mixed_route=True)
+    for c in CAT:
+        reference = min(counts[c], key=lambda x: (-x[1], x[0]))[0]
+        units[c] = [f"{c}_{v}" for v, _ in counts[c] if v != reference]
+        held = held.withColumns({f"{c}_{v}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for v, _ in counts[c] if v != reference})
+    return held, units
 
 
-def fit_linear_design(rows):
-    return design.fit_design(rows, NUM, CAT, log_cols=LOGS, cyclic=True, merge_mixed_route=True)
+def _logit_rows(t):
+    """(rows with each fold's preparation, columns, unit columns): every training row once, with the folds that it trains and validates."""
+    plan = folds(t)
+    roles = plan.groupBy("order_id").agg(F.min(F.when(F.col("role") == "train", F.col("fold"))).alias("lo"), F.count_if(F.col("role") == "train").alias("trains"),
+                                         F.min(F.when(F.col("role") == "valid", F.col("fold"))).alias("valid"))
+    wide, units = _wide(train_rows(t))
+    columns = [c for cols in units.values() for c in cols]
+    member = wide.join(roles, "order_id", "left").withColumn("lo", F.coalesce("lo", F.lit(WHOLE)))
+    if member.where((F.col("lo") < WHOLE) & (F.col("trains") != WHOLE - F.col("lo"))).head(1):
+        raise ValueError("a row that trains in a fold must train in all later ones")
+    rows = written(t, "logit-rows", lambda: logit.raw_rows(member, columns, F.col("lo"), F.lit(WHOLE), F.col("valid"), F.col("y")))
+    return logit.prepare(rows, len(columns), range(1, WHOLE + 1)), columns, units
 
 
 def _logit_ic(t, criteria=("aic", "bic")):
     rows, columns, units = _logit_rows(t)
-    return logit.forward_ic(rows, columns, units, criteria)
+    return logit.forward_ic(rows, WHOLE, columns, units, criteria)
 
 
 def _logit_cv(t):
@@ -436,7 +437,7 @@ def _logit_cv(t):
 
 def _logit_l1(t):
     rows, columns, units = _logit_rows(t)
-    table, model = logit.l1_path(rows, columns, range(1, 6))
+    table, model = logit.l1_path(rows, WHOLE, columns, range(1, 6))
     largest = dict(zip(columns, np.abs(model.beta[1:])))
     return table, [(u, max((float(largest[c]) for c in cols), default=0.0)) for u, cols in units.items()]
 
@@ -455,13 +456,13 @@ def _(t):
     return rows_df(t, _logit_ic(t)[1], "step int, unit string, method string, reason string")
 
 
+LATE_PATH = "step int, added_unit string, n_units int, n_encoded_columns int, cv_mean double, cv_se double"
+
+
 @query("forward_cv_stepwise_late")
 def _(t):
     """Path of the logit by mean fold average precision."""
-    path = _logit_cv(t)
-    chosen, best = stats.one_se_rule(path, higher_is_better=True)
-    return rows_df(t, [{**r, "in_one_se_model": 1 <= r["step"] <= chosen, "best_step": r["step"] == best} for r in path],
-                   "step int, added_unit string, n_units int, n_encoded_columns int, cv_mean double, cv_se double, in_one_se_model boolean, best_step boolean")
+    return stats.mark_one_se(rows_df(t, _logit_cv(t), LATE_PATH), higher_is_better=True)
 
 
 @query("l1_penalty_path")
@@ -479,11 +480,9 @@ def _(t):
 
 @query("selection_overlap_late")
 def _(t):
-    path = _logit_cv(t)
-    step, _ = stats.one_se_rule(path, higher_is_better=True)
+    path = stats.mark_one_se(rows_df(t, _logit_cv(t), LATE_PATH), higher_is_better=True)
     picked = {c: [r["added_unit"] for r in p if r["step"]] for c, p in _logit_ic(t)[0].items()}
-    rows = stats.selection_overlap(NUM + CAT, path, step, **picked, lasso=[u for u, v in _logit_l1(t)[1] if v > 0])
-    return rows_df(t, rows, "unit string, cv_stepwise boolean, bic boolean, aic boolean, lasso boolean, cv_step_entered int, n_methods int")
+    return stats.selection_overlap(NUM + CAT, path, {**picked, "lasso": [u for u, v in _logit_l1(t)[1] if v > 0]})
 
 
 # ---- models ----
@@ -541,22 +540,35 @@ def _(t):
     return _tree_grid(t, "regression")
 
 
+FOREST_ROW = "maxDepth int, minInstancesPerNode int, featureSubsetStrategy string, subsamplingRate double, impurity string, weight string, numTrees int"
+SIMPLEST = [F.col("maxDepth"), F.desc("minInstancesPerNode"), F.col("numTrees")]
+
+
+def _forest_search(t, task, space=ml.FOREST_SPACE, tries=STAGE_A, first_trees=STAGE_A_TREES, second_trees=STAGE_B_TREES):
+    """Random stage, then the neighbouring grid of its best candidate. Both stages share one table of scores, kept for the session."""
+    if task == "regression":
+        space = {**{k: v for k, v in space.items() if k != "weight"}, "impurity": ["variance"]}
+    fs, spec = folds(t, task), lambda c: forest_spec(task, **c)
+    key = (t.spark.sparkContext.applicationId, t.path, f"forest-search-{task}-{tries}-{first_trees}")
+    path = _WRITTEN.setdefault(key, shared_path(t.spark, "forest-search"))
+
+    def stage(name, candidates):
+        found = ml.candidate_table(ml.search(spec, candidates, fs, 5, path), FOREST_ROW)
+        return ml.mark_best(found, SIMPLEST).select(F.lit(name).alias("stage"), "*")
+    first = stage("A", [{**c, "numTrees": first_trees} for c in ml.random_grid(space, tries)])
+    best = first.where("best").first().asDict()
+    second = stage("B", ml.neighbour_grid(space, {k: best[k] for k in space}, ["maxDepth", "minInstancesPerNode", "featureSubsetStrategy"], numTrees=list(second_trees)))
+    return first.withColumn("best", F.lit(False)).unionByName(second)
+
+
 @query("random_forest_search")
 def _(t):
-    """Random stage, then the neighbouring grid of its best candidate."""
-    return rows_df(t, _forest_search(t), "stage string, maxDepth int, minInstancesPerNode int, featureSubsetStrategy string, subsamplingRate double, impurity string, "
-                   "weight string, numTrees int, mean_score double, sd_score double, best boolean")
+    return _forest_search(t, "classification")
 
 
-def _forest_search(t, space=ml.FOREST_SPACE, tries=STAGE_A, first_trees=STAGE_A_TREES, second_trees=STAGE_B_TREES):
-    fs = folds(t)
-    spec = lambda c: forest_spec("classification", **c)
-    first = ml.search(spec, [{**c, "numTrees": first_trees} for c in ml.random_grid(space, tries)], fs, 5)
-    best = ml.pick_best(first)
-    core = {k: best[k] for k in space}
-    second = ml.search(spec, ml.neighbour_grid(space, core, ["maxDepth", "minInstancesPerNode", "featureSubsetStrategy"], numTrees=list(second_trees)), fs, 5)
-    chosen = ml.pick_best(second)
-    return [{"stage": "A", **r, "best": False} for r in first] + [{"stage": "B", **r, "best": r is chosen} for r in second]
+@query("random_forest_search_regression")
+def _(t):
+    return _forest_search(t, "regression")
 
 
 @query("hyperparameter_sensitivity")
@@ -611,16 +623,16 @@ def _(t):
 
 @query("monthly_backtest")
 def _(t):
-    """Refit at the start of each month whose training window lies in the data, score that month, plus equal-weight averages."""
+    """Refit at the start of each month whose training window lies in the data and score that month: metrics per month, their equal-weight
+    mean and deviation, and the metrics of all months together. All refits share their passes over the rows, which are stored once."""
     rows = feature_rows(t)
-    def cohort(month):
-        later = labels.scoring_eligibility(rows, f"{month}-01", str(_last(month))).where(~F.col("order_status").isin(labels.EXCLUDED_STATUSES))
-        return labels.labels_as_of(later, F.date_add(day("approved_at"), 46))
-    table = ml.monthly_backtest(logit_spec("C1", NUM), lambda run: labels.training_window(rows, run, "classification"),
-                                {m: (f"{m}-02", cohort(m)) for m in backtest_months(rows)})
+    months = backtest_months(rows)
+    scored = ml.monthly_refits(_wide, rows, months).withColumn("month", F.element_at(F.array(*[F.lit(m) for m in months]), F.col("model") + 1))
     cols = ["avg_precision", "roc_auc", "brier"]
-    mean = table.agg(*[F.avg(c).alias(c) for c in cols]).select(F.lit("equal-weight mean").alias("month"), *cols)
-    return table.select("month", *cols).unionByName(mean)
+    table = metrics.classification_metrics(scored, ["month"]).select("month", *cols)
+    summary = [table.agg(*[fn(c).alias(c) for c in cols]).select(F.lit(name).alias("month"), *cols)
+               for name, fn in (("equal-weight mean", F.avg), ("equal-weight sd", F.stddev_samp))]
+    return union_all([table, *summary, metrics.classification_metrics(scored).select(F.lit("pooled").alias("month"), *cols)])
 
 
 def backtest_months(rows) -> list[str]:
@@ -629,13 +641,6 @@ def backtest_months(rows) -> list[str]:
     return [r["month"] for r in found if labels.required_dates(f"{r['month']}-02", 45, 365)[0] >= found[0]["first"]]
 
 
-def _last(month):
-    import calendar
-    import datetime as dt
-    y, m = map(int, month.split("-"))
-    return dt.date(y, m, calendar.monthrange(y, m)[1])
-
-
 @query("class_weight_sensitivity")
 def _(t):
     parts = []
@@ -746,5 +751,6 @@ def _(t):
     rows = feature_rows(t).withColumn("order_item_count", F.when(F.col("order_id") % 50 == 1, 0).otherwise(F.col("order_item_count")))
     states = f.design.levels["customer_state"]
     # The model reads all predictors; the rules checked are those of the columns that the SQL states.
-    out = ml.bulk_score(f, rows, ["promised_lead_days", "seller_dist_km_mean", "payment_value_sum", "order_item_count"], {"customer_state": states})
+    out = ml.bulk_score(f, rows, ["promised_lead_days", "seller_dist_km_mean", "payment_value_sum", "order_item_count"], {"customer_state": states},
+                        others=feature_rows(t).columns)
     return out.groupBy(F.array_join("violations", ",").alias("violations")).agg(n_rows("rows"), F.count("p").alias("scored"))

@@ -31,19 +31,35 @@ def dense_ap(score, y):
 
 @pytest.fixture(scope="module")
 def made(spark):
-    """Two folds of training and validation rows plus all training rows as fold 0; the last column repeats the first."""
+    """Training rows of fold 0, of folds 0 and 1, of all three, and validation rows of folds 1 and 2; the last column repeats the first."""
     rng = np.random.default_rng(8)
-    parts = []
-    for fold, n in ((0, 900), (1, 400), (2, 600)):
-        for role, m in (("train", n), ("valid", 150)) if fold else (("train", n),):
-            x = np.round(rng.normal(size=(m, 4)), 1)
-            x[:, 2:] = x[:, 2:] > 0.8
-            x = np.column_stack([x, x[:, 0]])
-            y = (rng.random(m) < 1 / (1 + np.exp(2 - 1.5 * x[:, 0] - x[:, 2]))).astype(float)
-            parts.append((fold, role, x, y))
-    rows = [(f, r, float(yy), *map(float, xx)) for f, r, x, y in parts for xx, yy in zip(x, y)]
-    df = spark.createDataFrame(rows, "fold int, role string, y double, x0 double, x1 double, x2 double, x3 double, x4 double").repartition(5)
-    return df, {(f, r): (np.column_stack([np.ones(len(y)), x]), y) for f, r, x, y in parts}
+    rows, dense = [], {}
+    for lo, hi, valid, n in ((0, 0, None, 400), (0, 1, None, 300), (0, 2, None, 500), (1, 0, 1, 150), (0, 0, 2, 150)):
+        x = np.round(rng.normal(size=(n, 4)), 1)
+        x[:, 2:] = x[:, 2:] > 0.8
+        x = np.column_stack([x, x[:, 0]])
+        y = (rng.random(n) < 1 / (1 + np.exp(2 - 1.5 * x[:, 0] - x[:, 2]))).astype(float)
+        rows += [(lo, hi, valid, float(b), *map(float, a)) for a, b in zip(x, y)]
+        for part in [(f, "train") for f in range(lo, hi + 1)] + [(valid, "valid")] * (valid is not None):
+            dense.setdefault(part, []).append((np.column_stack([np.ones(n), x]), y))
+    df = spark.createDataFrame(rows, "train_lo int, train_hi int, valid int, y double, x0 double, x1 double, x2 double, x3 double, x4 double").repartition(5)
+    return logit.Rows(df, 5, {}), {k: (np.concatenate([z for z, _ in v]), np.concatenate([y for _, y in v])) for k, v in dense.items()}
+
+
+def test_preparation_per_fold(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(3, 2, (90, 2)), 1)
+    x[rng.random((90, 2)) < 0.2] = np.nan
+    x[:, 1] = np.where(np.arange(90) < 60, np.nan, 5.0)  # no value in fold 1, one value in fold 2
+    rows = [(1 if i < 60 else 2, 1 if i < 30 else 2, None, 0.0, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)]
+    made = logit.prepare(spark.createDataFrame(rows, "train_lo int, train_hi int, valid int, y double, x0 double, x1 double"), 2, [1, 2])
+    for f, mine in ((1, x[:60]), (2, x[30:])):
+        prep = made.preps[f]
+        fill = [np.nanmedian(c) if (~np.isnan(c)).any() else 0.0 for c in mine.T]
+        full = np.where(np.isnan(mine), fill, mine)
+        sd = np.where(full.std(axis=0) > 0, full.std(axis=0), 1.0)
+        assert np.allclose(prep.fill, fill) and np.allclose(prep.mean, full.mean(axis=0)) and np.allclose(prep.scale, sd)
+        assert np.allclose(prep.apply(mine)[:, 1:], (full - full.mean(axis=0)) / sd)
 
 
 def test_batch_of_models_equals_dense_fits(made):
@@ -56,15 +72,15 @@ def test_batch_of_models_equals_dense_fits(made):
 
 
 def test_separated_labels_end(spark):
-    rows = [(0, "train", float(i > 5), float(i > 5)) for i in range(12)]
-    m = logit.fit_many(spark.createDataFrame(rows, "fold int, role string, y double, x0 double"), [logit.Model((0,))])[0]
+    rows = [(0, 0, float(i > 5), float(i > 5)) for i in range(12)]
+    m = logit.fit_many(logit.Rows(spark.createDataFrame(rows, "train_lo int, train_hi int, y double, x0 double"), 1, {}), [logit.Model((0,))])[0]
     assert m.loglik > -1e-3 and np.isfinite(m.beta).all() and m.method
 
 
 def test_ic_paths_equal_a_plain_loop(made):
     df, dense = made
     z, y = dense[0, "train"]
-    paths, log = logit.forward_ic(df, COLUMNS, UNITS)
+    paths, log = logit.forward_ic(df, 0, COLUMNS, UNITS)
     at = {c: i + 1 for i, c in enumerate(COLUMNS)}
     for name, price in (("aic", 2.0), ("bic", np.log(len(y)))):
         def cost(units):
@@ -121,9 +137,9 @@ def test_l1_models_meet_the_optimality_conditions(made):
         z = z[:, :5]
         pull = z.T @ (y - 1 / (1 + np.exp(-z @ m.beta)))
         on = m.beta[1:] != 0
-        assert m.converged and abs(pull[0]) < 1e-3
+        assert m.converged and abs(pull[0]) < 2e-3
         assert np.all(np.abs(pull[1:]) <= m.penalty * (1 + 1e-4) + 1e-3)
         assert np.allclose(pull[1:][on], m.penalty * np.sign(m.beta[1:][on]), atol=2e-3 * max(1, m.penalty))
     assert (models[0].beta[1:] != 0).sum() < (models[-2].beta[1:] != 0).sum()
-    table, best = logit.l1_path(df, COLUMNS, [1, 2], grid)
+    table, best = logit.l1_path(df, 0, COLUMNS, [1, 2], grid)
     assert sum(r["best"] for r in table) == 1 and best.fold == 0 and best.converged

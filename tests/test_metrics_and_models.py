@@ -152,7 +152,8 @@ def test_vif_and_elimination(spark):
     assert np.isinf(v[[0, 1, 3, 4]]).all() and v[2] < 1.1
     left, trace = stats.vif_elimination({"t": g}, {}, [])
     assert "const" not in left and trace[0]["stage"] == "constant" and len(left) == 3
-    assert stats.stage_summary(trace, 5)[-1]["remaining"] == 3
+    summary = stats.stage_summary(spark.createDataFrame([tuple(r.values()) for r in trace], stats.TRACE), 5).collect()
+    assert [r["stage"] for r in summary] == ["start", *stats.STAGES] and summary[-1]["remaining"] == 3 and summary[1]["removed_columns"] == "const"
 
 
 def test_forward_selection_finds_the_signal(spark):
@@ -167,7 +168,12 @@ def test_forward_selection_finds_the_signal(spark):
     tr, va = pdf[pdf.order_id < 1000], pdf[pdf.order_id >= 1000]
     scores = [np.sqrt(((b["y"] - x(b) @ np.linalg.lstsq(x(a), a["y"], rcond=None)[0]) ** 2).mean()) for a, b in ((tr, va), (va, tr))]
     assert np.isclose(cv[2]["cv_mean"], np.mean(scores))
-    assert stats.one_se_rule([{"step": i, "cv_mean": m, "cv_se": 0.02} for i, m in enumerate([0, .1, .19, .2, .18])], True) == (2, 3)
+    steps = [(i, u, m, 0.02) for i, (u, m) in enumerate(zip("-abcd", [0.0, .1, .19, .2, .18]))]
+    marked = stats.mark_one_se(spark.createDataFrame(steps, "step int, added_unit string, cv_mean double, cv_se double"), True)
+    assert [(r.step, r.in_one_se_model, r.best_step) for r in marked.orderBy("step").collect()] == \
+        [(0, False, False), (1, True, False), (2, True, False), (3, False, True), (4, False, False)]
+    table = [tuple(r) for r in stats.selection_overlap(["d", "a", "b", "x"], marked, {"bic": ["a"], "lasso": ["a", "x"]}).collect()]
+    assert table[0] == ("a", True, True, True, 1, 3) and table[1:] == [("b", True, False, False, 2, 1), ("x", False, False, True, None, 1), ("d", False, False, False, 4, 0)]
 
 
 def test_resampling_counts(spark):
@@ -183,9 +189,30 @@ def test_resampling_counts(spark):
     assert moved.where(F.col("v") != F.col("order_id")).count() > 80
 
 
-def test_search_tie_goes_to_the_simpler_tree():
-    rows = [{"maxDepth": 8, "minInstancesPerNode": 5, "mean_score": 0.50003}, {"maxDepth": 4, "minInstancesPerNode": 50, "mean_score": 0.5}, {"maxDepth": 2, "minInstancesPerNode": 50, "mean_score": 0.4}]
-    assert ml.pick_best(rows)["maxDepth"] == 4
+def test_search_goes_on_where_it_broke_off_and_ties_go_to_the_simpler_model(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x, path = rng.integers(0, 10, 600), str(tmp_path / "scores")
+    y = rng.random(600) < 0.1 + 0.06 * x
+    rows = [(i, f, "valid" if i % 3 == f else "train", float(v), float(c), 20) for f in (1, 2) for i, (v, c) in enumerate(zip(x, y))]
+    folds = spark.createDataFrame(rows, "order_id long, fold int, role string, a double, y double, promised_lead_days int").withColumn("label", F.col("y").cast("int"))
+    tried = []
+
+    def spec_of(c):
+        def make():
+            tried.append(c["maxDepth"])
+            return ml.forest("classification", numTrees=3, impurity="gini", featureSubsetStrategy="all", maxDepth=c["maxDepth"])
+        return ml.Spec("f", "classification", make, ["a"], weight=c["weight"])
+    first = [{"maxDepth": 1, "weight": None}, {"maxDepth": 4, "weight": "balanced"}]
+    ml.search(spec_of, first, folds, 2, path)
+    assert sorted(tried) == [1, 1, 4, 4]
+    found = ml.search(spec_of, [*first, {"maxDepth": 6, "weight": None}], folds, 2, path)
+    assert sorted(tried) == [1, 1, 4, 4, 6, 6] and found.count() == 6
+    table = ml.candidate_table(found, "maxDepth int, weight string").collect()
+    assert {(r.maxDepth, r.weight) for r in table} == {(1, None), (4, "balanced"), (6, None)}
+    direct = ml.cv_metrics([ml.Spec("d", "classification", spec_of(first[1]).estimator, ["a"], weight="balanced")], folds, 2).collect()
+    assert next(r for r in table if r.maxDepth == 4).mean_score == pytest.approx(np.mean([r["avg_precision"] for r in direct]), rel=1e-9)
+    tied = spark.createDataFrame([(8, 5, 0.50003), (4, 50, 0.5), (2, 50, 0.4)], "maxDepth int, minInstancesPerNode int, mean_score double")
+    assert [r.maxDepth for r in ml.mark_best(tied, [F.col("maxDepth"), F.desc("minInstancesPerNode")]).where("best").collect()] == [4]
     near = ml.neighbour_grid({"a": [1, 2, 3, 4], "b": ["x", "y"]}, {"a": 3, "b": "x"}, ["a"], trees=[10])
     assert [c["a"] for c in near] == [2, 3, 4] and {c["b"] for c in near} == {"x"}
 

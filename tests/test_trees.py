@@ -61,3 +61,10 @@ def test_cuts_equal_direct_fits(rows, task, label):
         assert r["mean_score"] == pytest.approx(np.mean(scores), rel=1e-9)
         whole = ml.fit(spec_of(**params), df).model
         assert r["n_leaves"] == ml.model_size(whole)
+
+
+def test_entropy_trees_share_the_pass(rows):
+    folds = rows.withColumn("fold", F.lit(1)).withColumn("role", F.when(F.col("order_id") % 4 == 0, "valid").otherwise("train"))
+    spec_of = lambda **p: ml.Spec("t", "classification", lambda: ml.tree("classification", **p), ["a", "b"])
+    found = trees.grid_search(spec_of, {"maxDepth": [2, 5], "minInstancesPerNode": [1, 50], "impurity": ["gini", "entropy"]}, rows, folds, 1, "classification")
+    assert len(found) == 8 and all(0 < r["mean_score"] <= 1 and r["n_leaves"] >= 1 for r in found)
