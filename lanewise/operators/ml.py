@@ -25,8 +25,8 @@ from ..functions.scalars import clip_to_waiting_period
 from ..functions.times import day, month_label
 from ..session import shared_folder, shared_path
 from . import labels, logit, metrics
-from .design import Design, fit_design
-from .ordering import global_rank, hash_order, ordered_blocks
+from .design import Design, category_counts, fit_design
+from .ordering import exact_quantiles, global_rank, hash_order, ordered_blocks
 
 SEED = 42
 THREADS = 4
@@ -375,12 +375,37 @@ def permutation_importance(f: Fitted, df: DataFrame, features: Sequence[str], re
     return table.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance_mean"), "feature")))
 
 
-def partial_dependence(f: Fitted, df: DataFrame, feature: str, grid_values: Sequence) -> DataFrame:
-    """Mean prediction with one feature set to each grid value, over the given rows."""
-    out = df.drop(feature).withColumn(feature, F.explode(F.array(*[F.lit(v) for v in grid_values])))
+def dependence_grids(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), points: int = 20) -> dict[str, list]:
+    """Values of each feature: its levels, its distinct values if there are at most `points`, else even steps from the 5 % to the 95 % quantile."""
+    few = df.agg(*[F.approx_count_distinct(c).alias(c) for c in numeric]).first() if numeric else {}
+    out: dict[str, list] = {}
+    wide = []
+    for c in numeric:
+        values = [r[0] for r in df.select(F.col(c).cast("double")).where(F.col(c).isNotNull()).distinct().limit(points + 1).collect()] if few[c] <= 2 * points else []
+        if values and len(values) <= points:
+            out[c] = sorted(values)
+        else:
+            wide.append(c)
+    if wide:
+        edges = {r["variable"]: (r["lo"], r["hi"]) for r in exact_quantiles(df, [], wide, {"lo": 0.05, "hi": 0.95}).collect()}
+        for c in wide:
+            if c in edges:
+                lo, hi = edges[c]
+                out[c] = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
+    return out | {c: [v for v, _ in levels] for c, levels in category_counts(df, categorical).items()} if categorical else out
+
+
+def partial_dependence(f: Fitted, df: DataFrame, grids: Mapping[str, Sequence]) -> DataFrame:
+    """feature, value, average: mean prediction over the given rows with one feature set to each of its values; one scoring pass for all."""
+    cells = [F.struct(F.lit(c).alias("feature"), F.lit(None if isinstance(v, str) else float(v)).cast("double").alias("number"),
+                      F.lit(v if isinstance(v, str) else None).cast("string").alias("level")) for c, values in grids.items() for v in values]
+    each = df.withColumn("_g", F.explode(F.array(*cells)))
+    kinds = dict(df.dtypes)
+    made = each.withColumns({c: F.when(F.col("_g.feature") == c, F.col("_g.level") if kinds[c] == "string" else F.col("_g.number")).otherwise(F.col(c)) for c in grids})
     target = "p" if f.spec.task == "classification" else "days"
-    scored = f.score(out.withColumn("_grid", F.col(feature)), ["_grid"])
-    return scored.groupBy(F.col("_grid").alias("value")).agg(F.avg(target).alias("average")).select(F.lit(feature).alias("feature"), "value", "average")
+    value = F.coalesce("_g.level", F.col("_g.number").cast("string"))
+    scored = f.score(made.withColumns({"_feature": F.col("_g.feature"), "_value": value}), ["_feature", "_value"])
+    return scored.groupBy(F.col("_feature").alias("feature"), F.col("_value").alias("value")).agg(F.avg(target).alias("average"))
 
 
 # ---- class balance ----

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import n_rows
@@ -704,7 +704,8 @@ def _(t):
 
 @query("feature_rank")
 def _(t):
-    return rows_df(t, [{"feature": f, "importance": v, "rank": i} for i, (f, v) in enumerate(ml.impurity_importance(_forest(t)), 1)], "feature string, importance double, rank int")
+    table = rows_df(t, [{"feature": f, "importance": v} for f, v in ml.impurity_importance(_forest(t))], "feature string, importance double")
+    return table.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))  # one row per feature
 
 
 @query("impurity_importance")
@@ -713,14 +714,15 @@ def _(t):
     return rows_df(t, [{"model": k, "feature": f, "importance": v} for k, m in both for f, v in ml.impurity_importance(m)], "model string, feature string, importance double")
 
 
+ASKED = 5  # numeric predictors whose dependence is reported, by importance
+
+
 @query("partial_dependence")
 def _(t):
+    """The most important numeric predictors over 20 points and both categoricals over their levels."""
     f, rows = _forest(t), train_rows(t)
-    lo, hi = ordering.quantile_values(rows, "promised_lead_days", [0.05, 0.95])
-    grid = [lo + (hi - lo) * i / 9 for i in range(10)]
-    states = [v for v, _ in design.category_counts(rows, ["customer_state"])["customer_state"]]
-    cast = lambda df: df.select("feature", F.col("value").cast("string").alias("value"), "average")
-    return cast(ml.partial_dependence(f, rows, "promised_lead_days", grid)).unionByName(cast(ml.partial_dependence(f, rows, "customer_state", states)))
+    top = [c for c, _ in ml.impurity_importance(f) if c in NUM][:ASKED]
+    return ml.partial_dependence(f, rows, ml.dependence_grids(rows, top, CAT))
 
 
 @query("linear_importance")

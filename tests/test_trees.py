@@ -68,3 +68,16 @@ def test_entropy_trees_share_the_pass(rows):
     spec_of = lambda **p: ml.Spec("t", "classification", lambda: ml.tree("classification", **p), ["a", "b"])
     found = trees.grid_search(spec_of, {"maxDepth": [2, 5], "minInstancesPerNode": [1, 50], "impurity": ["gini", "entropy"]}, rows, folds, 1, "classification")
     assert len(found) == 8 and all(0 < r["mean_score"] <= 1 and r["n_leaves"] >= 1 for r in found)
+
+
+def test_partial_dependence_equals_scoring_each_value(rows):
+    df = rows.where("order_id < 300").withColumn("c", F.when(F.col("order_id") % 3 == 0, "x").otherwise("z"))
+    fitted = ml.fit(ml.Spec("t", "classification", lambda: ml.tree("classification", maxDepth=5, minInstancesPerNode=1), ["a", "b"], ["c"]), df)
+    grids = ml.dependence_grids(df.withColumn("wide", F.col("order_id").cast("double")), ["a", "wide"], ["c"])
+    assert grids["a"] == [float(i) for i in range(10)] and grids["c"] == ["x", "z"]
+    assert len(grids["wide"]) == 20 and grids["wide"][0] == pytest.approx(299 * 0.05) and grids["wide"][-1] == pytest.approx(299 * 0.95)
+    got = {(r.feature, r.value): r.average for r in ml.partial_dependence(fitted, df, {"a": grids["a"], "c": grids["c"]}).collect()}
+    assert len(got) == 12
+    for (feature, value), average in got.items():
+        fixed = df.withColumn(feature, F.lit(value) if feature == "c" else F.lit(float(value)))
+        assert average == pytest.approx(fitted.score(fixed, ["order_id"]).agg(F.avg("p")).first()[0], rel=1e-12)
