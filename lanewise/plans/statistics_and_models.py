@@ -541,7 +541,6 @@ def _(t):
 
 
 FOREST_ROW = "maxDepth int, minInstancesPerNode int, featureSubsetStrategy string, subsamplingRate double, impurity string, weight string, numTrees int"
-SIMPLEST = [F.col("maxDepth"), F.desc("minInstancesPerNode"), F.col("numTrees")]
 
 
 def _forest_search(t, task, space=ml.FOREST_SPACE, tries=STAGE_A, first_trees=STAGE_A_TREES, second_trees=STAGE_B_TREES):
@@ -554,7 +553,7 @@ def _forest_search(t, task, space=ml.FOREST_SPACE, tries=STAGE_A, first_trees=ST
 
     def stage(name, candidates):
         found = ml.candidate_table(ml.search(spec, candidates, fs, 5, path), FOREST_ROW)
-        return ml.mark_best(found, SIMPLEST).select(F.lit(name).alias("stage"), "*")
+        return ml.mark_best(found, [F.col("maxDepth"), F.desc("minInstancesPerNode"), F.col("numTrees")]).select(F.lit(name).alias("stage"), "*")
     first = stage("A", [{**c, "numTrees": first_trees} for c in ml.random_grid(space, tries)])
     best = first.where("best").first().asDict()
     second = stage("B", ml.neighbour_grid(space, {k: best[k] for k in space}, ["maxDepth", "minInstancesPerNode", "featureSubsetStrategy"], numTrees=list(second_trees)))

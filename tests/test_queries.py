@@ -34,3 +34,12 @@ def test_returns_rows(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["month", "orders", "late_rate"]
+
+
+def test_imports_without_a_session():
+    """The driver reads the catalogue before it starts Spark."""
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
