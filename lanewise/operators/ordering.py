@@ -1,8 +1,8 @@
 """Global ordering without a single-task window.
 
 Rows are range-partitioned on the full ordering key, so ties on a hot score are
-split by the tie-breaker, and the layout is cut with a reliable checkpoint: block
-numbers stay the same when a task is rerun. Per-block totals (one row per block
+split by the tie-breaker, and written once to the shared folder: block numbers
+stay the same when a task is rerun. Per-block totals (one row per block
 and group) carry the running offsets.
 """
 from __future__ import annotations
@@ -20,18 +20,26 @@ BLOCK_ROWS, SMALL_ROWS = 2_000_000, 200
 
 
 def ordered_blocks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Checkpointed copy of ``df`` with a block number that grows with ``order``.
+    """Copy of ``df`` in the shared folder with a block number that grows with ``order``.
 
-    The rows are written once, so the sampling of the ranges does not compute them again, and counted: a block holds about
-    BLOCK_ROWS rows at most, whatever the volume, and small inputs are not cut finer than SMALL_ROWS.
+    The rows are held while they are counted and the ranges sampled (lost parts are computed again), and written once, with their blocks,
+    which thus stay the same for all readers. A block holds about BLOCK_ROWS rows at most, whatever the volume, and small inputs are
+    not cut finer than SMALL_ROWS.
     """
-    spark = df.sparkSession
+    spark, level = df.sparkSession, df.storageLevel
+    held = level.useMemory or level.useDisk
     path = shared_path(spark, "ordered")
-    df.write.parquet(path)
-    rows = spark.read.schema(df.schema).parquet(path)
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK_ROWS), min(shuffle_partitions(spark), -(-n // SMALL_ROWS)))
-    return rows.repartitionByRange(blocks, *order).withColumn(BLOCK, F.spark_partition_id()).checkpoint()
+    if not held:
+        df.persist()
+    try:
+        n = df.count()
+        blocks = max(1, -(-n // BLOCK_ROWS), min(shuffle_partitions(spark), -(-n // SMALL_ROWS)))
+        placed = df.repartitionByRange(blocks, *order).withColumn(BLOCK, F.spark_partition_id())
+        placed.write.parquet(path)
+    finally:
+        if not held:
+            df.unpersist()
+    return spark.read.schema(placed.schema).parquet(path)
 
 
 def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column],
