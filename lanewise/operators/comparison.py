@@ -1,64 +1,127 @@
 """Model choice under sampling noise: unit-level bootstraps and fold intervals."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import ratio
 from ..functions.tails import t_ppf
-from ..session import shared_folder
+from ..session import share_code, shared_folder
 from .metrics import ranking_scores, score_curve
-from .ordering import ordered_blocks
+from .ordering import BLOCK_ROWS, global_rank, ordered_blocks
 
 # Fixed value: order of preference among tied model families.
 FAMILY_RANK = {"linear": 0, "tree": 1, "forest": 2}
 
 
-def resampling_units(df: DataFrame, unit: str) -> list:
-    """Distinct resampling units; calendar units keep this list short."""
-    units = sorted(r[0] for r in df.select(unit).where(F.col(unit).isNotNull()).distinct().limit(100_001).collect())
-    if len(units) > 100_000:
-        raise ValueError("resample calendar units (days or blocks of days), not single rows")
-    return units
+# Units of one task's share of the draws, and cells of the largest table of draws a worker holds whole.
+UNIT_BLOCK, TABLE_CELLS = 4096, 16_000_000
 
 
-def draw_counts(spark: SparkSession, strata: Sequence[int], draws: int, seed: int = 42) -> DataFrame:
-    """(b, u, m): how often unit ``u`` appears in draw ``b``.
+def block_totals(n: int, draws: int, seed: int, block: int) -> np.ndarray:
+    """How many of the ``n`` picks of each draw fall into one block of units.
 
-    Units are numbered stratum after stratum; each draw takes as many units from a
-    stratum as the stratum has.
+    The picks are halved down a tree over the blocks. A node's generator is seeded by its range, so all
+    blocks agree on the splits without meeting, and the totals of a draw add up to ``n``.
     """
-    places, start = [], 0
-    for size in strata:
-        places += [(start + i, start, size) for i in range(size)]
-        start += size
-    look = spark.createDataFrame(places, "_i int, _start int, _size int")
-    ids = spark.range(start * draws).select(F.expr(f"CAST(id div {start} AS INT)").alias("b"), F.expr(f"CAST(id % {start} AS INT)").alias("_i"), "id")
-    return ids.join(F.broadcast(look), "_i").select(
-        "b", (F.col("_start") + F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_size")).cast("int")).alias("u")) \
-        .groupBy("b", "u").agg(F.count(F.lit(1)).alias("m"))
+    edge = lambda at: min(n, at * UNIT_BLOCK)
+    lo, hi, left = 0, -(-n // UNIT_BLOCK), np.full(draws, n, dtype=np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        first = np.random.default_rng([seed, lo, hi]).binomial(left, (edge(mid) - edge(lo)) / (edge(hi) - edge(lo)))
+        if block < mid:
+            left, hi = first, mid
+        else:
+            left, lo = left - first, mid
+    return left
 
 
-def _indexed(df: DataFrame, unit: str, units: Sequence) -> DataFrame:
-    """Adds ``u``, the position of the unit, through a lookup as long as the unit list."""
-    look = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(units)], df.select(F.col(unit).alias("_unit_key")).schema.add("u", T.IntegerType()))
-    return df.join(F.broadcast(look), F.col(unit) == F.col("_unit_key")).drop("_unit_key")
+def multiplicities(n: int, draws: int, seed: int, block: int) -> np.ndarray:
+    """(units of the block, draws): how often each unit appears when ``n`` units are drawn ``n`` times with replacement.
+
+    A pure function of its arguments, so a task that runs again gives the same draws. A count above 255 does not
+    occur: even for 256 units its chance is below 10^-500.
+    """
+    size = min(n, (block + 1) * UNIT_BLOCK) - block * UNIT_BLOCK
+    totals = block_totals(n, draws, seed, block)
+    picks = np.random.default_rng([seed, block, 0, 1]).integers(0, size, totals.sum())
+    cells = picks * draws + np.repeat(np.arange(draws), totals)
+    return np.bincount(cells, minlength=size * draws).reshape(size, draws).astype(np.uint8)
+
+
+def draw_table(strata: Sequence[int], draws: int, seed: int = 42) -> np.ndarray:
+    """Multiplicities of units numbered stratum after stratum; each draw takes as many units from a stratum as it has."""
+    return np.concatenate([multiplicities(size, draws, seed + i, block) for i, size in enumerate(strata) for block in range(-(-size // UNIT_BLOCK))])
+
+
+def resampling_units(df: DataFrame, unit: str, most: int) -> list | None:
+    """Distinct resampling units in order, or None if there are more than ``most``."""
+    units = sorted(r[0] for r in df.select(unit).where(F.col(unit).isNotNull()).distinct().limit(most + 1).collect())
+    return units if len(units) <= most else None
+
+
+def _indexed(df: DataFrame, unit: str, draws: int) -> tuple[DataFrame, int, bool]:
+    """``df`` with ``u``, the position of its unit from 0, the number of units, and whether one table of draws covers them."""
+    units = resampling_units(df, unit, TABLE_CELLS // draws)
+    key = F.col(unit) == F.col("_unit_key")
+    if units is not None:
+        look = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(units)], df.select(F.col(unit).alias("_unit_key")).schema.add("u", T.LongType()))
+        return df.join(F.broadcast(look), key).drop("_unit_key"), len(units), True
+    ranked = global_rank(df.select(F.col(unit).alias("_unit_key")).where("_unit_key IS NOT NULL").distinct(), [F.col("_unit_key")]) \
+        .select("_unit_key", (F.col("rank") - 1).alias("u"), "n")
+    return df.join(ranked.drop("n"), key).drop("_unit_key"), ranked.first()["n"], False
+
+
+def _by_unit(df: DataFrame) -> DataFrame:
+    """Rows in order of their unit; the rows of one unit may lie in several tasks."""
+    return df.repartitionByRange("u", *[c for c in df.columns if c != "u"]).sortWithinPartitions("u")
+
+
+def _weights(n: int, draws: int, seed: int):
+    """Rows of multiplicities for an array of unit positions in ascending order, one block of units at a time."""
+    held: dict[int, np.ndarray] = {}
+
+    def rows(u: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        start = 0
+        while start < len(u):
+            block = int(u[start]) // UNIT_BLOCK
+            stop = int(np.searchsorted(u, (block + 1) * UNIT_BLOCK))
+            if block not in held:
+                held.clear()
+                held[block] = multiplicities(n, draws, seed, block)
+            yield slice(start, stop), held[block][u[start:stop] - block * UNIT_BLOCK]
+            start = stop
+    return rows
 
 
 def bootstrap_rmse(df: DataFrame, unit: str, draws: int = 2000, seed: int = 42, actual: str = "target",
                    predicted: str = "days") -> DataFrame:
-    """(b, model, value): RMSE of each draw, exact from per-unit sums of squares."""
+    """(b, model, value): RMSE of each draw, exact from per-unit sums of squares. Any number of units, single rows included."""
+    share_code(df.sparkSession)
     known = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
-    units = resampling_units(known, unit)
     e = F.col(predicted) - F.col(actual)
-    per_unit = _indexed(known.groupBy("model", unit).agg(F.sum(e * e).alias("sse"), F.count(F.lit(1)).alias("n")), unit, units)
-    return draw_counts(df.sparkSession, [len(units)], draws, seed).join(per_unit, "u").groupBy("b", "model").agg(
-        F.sqrt(F.sum(F.col("m") * F.col("sse")) / F.sum(F.col("m") * F.col("n"))).alias("value"))
+    per_unit, n, _ = _indexed(known.groupBy("model", unit).agg(F.sum(e * e).alias("sse"), F.count(F.lit(1)).cast("double").alias("n")), unit, draws)
+
+    def totals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, sums = _weights(n, draws, seed), {}
+        for rows in frames:
+            values = rows[["sse", "n"]].to_numpy()
+            for at, m in weights(rows["u"].to_numpy()):
+                models = rows["model"].to_numpy()[at]
+                for model in pd.unique(models):
+                    mine = models == model
+                    sums[model] = sums.get(model, 0) + values[at][mine].T @ m[mine]
+        for model, (sse, k) in sums.items():
+            yield pd.DataFrame({"b": np.arange(draws), "model": model, "sse": sse, "n": k})
+
+    parts = _by_unit(per_unit.select("model", "u", "sse", "n")).mapInPandas(totals, "b int, model string, sse double, n double")
+    return parts.groupBy("b", "model").agg(F.sqrt(ratio(F.sum("sse"), F.sum("n"))).alias("value"))
 
 
 def bootstrap_ap(df: DataFrame, unit: str, draws: int = 2000, seed: int = 42, score: str = "p", label: str = "label",
@@ -68,54 +131,86 @@ def bootstrap_ap(df: DataFrame, unit: str, draws: int = 2000, seed: int = 42, sc
     Counts per (model, score, unit) are laid out in score order; each block turns unit
     multiplicities into weighted running counts for all draws at once, with the
     totals of earlier blocks carried in. Exact, and no task holds more than a block.
+    Few units (days): a worker makes the table of draws itself. Many units (orders): each
+    row takes its draws along, a byte each, from a pass in unit order. A score may span blocks: the first and last
+    score of a block are added up over all of its blocks.
     """
-    spark = df.sparkSession
-    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    units = resampling_units(known, unit)
-    if len(units) * draws > 40_000_000:
-        raise ValueError("too many units for one multiplicity table: use longer blocks or fewer draws")
-    drawn = draw_counts(spark, strata or [len(units)], draws, seed).toPandas()
-    table = np.zeros((len(units), draws), dtype=np.int16)
-    table[drawn["u"], drawn["b"]] = drawn["m"]
-    weights = spark.sparkContext.broadcast(table)
-    counts = _indexed(known.groupBy("model", F.col(score).alias("score"), unit).agg(
-        F.count(F.lit(1)).alias("k"), F.sum(F.col(label).cast("bigint")).alias("pos")), unit, units).drop(unit)
-    # Equal scores stay in one block: the layout key is (model, score) without the unit.
-    blocks = ordered_blocks(counts, [F.col("model"), F.desc("score")])
+    share_code(df.sparkSession)
+    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
+    counts = known.groupBy("model", F.col(score).alias("score"), unit).agg(
+        F.count(F.lit(1)).alias("k"), F.sum(F.col(label).cast("bigint")).alias("pos"))
+    counts, n, small = _indexed(counts, unit, draws)
+    counts = counts.select("model", "score", "u", "k", "pos")
+    if not small and strata:
+        raise ValueError("strata are lists of calendar units")
+
+    def take_along(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = _weights(n, draws, seed)
+        for rows in frames:
+            for at, m in weights(rows["u"].to_numpy()):
+                for lo in range(0, len(m), 2048):
+                    yield rows.iloc[at].iloc[lo:lo + 2048].assign(w=[r.tobytes() for r in m[lo:lo + 2048]])
+
+    if not small:
+        counts = _by_unit(counts).mapInPandas(take_along, "model string, score double, u long, k long, pos long, w binary")
+    blocks = ordered_blocks(counts, [F.col("model"), F.desc("score"), F.col("u")], rows=BLOCK_ROWS if small else max(1, TABLE_CELLS // draws))
+    sizes = list(strata or [n])
+
+    def weighted(rows: pd.DataFrame, columns: Sequence[str]) -> Iterator[tuple[slice, list[np.ndarray]]]:
+        """Products with the multiplicities, some draws at a time."""
+        width = max(1, 4_000_000 // max(1, len(rows)))
+        held = None if small else np.frombuffer(b"".join(rows["w"]), dtype=np.uint8).reshape(len(rows), draws)
+        for lo in range(0, draws, width):
+            at = slice(lo, min(draws, lo + width))
+            m = (_cached_table(tuple(sizes), draws, seed)[:, at][rows["u"].to_numpy()] if small else held[:, at]).astype(np.int64)
+            yield at, [m * rows[c].to_numpy()[:, None] for c in columns]
 
     def totals(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        w = weights.value
-        by_unit = pdf.groupby("u")[["k", "pos"]].sum()
-        m = w[by_unit.index.to_numpy()]
-        return pd.DataFrame({"_block": key[0], "model": key[1], "b": np.arange(w.shape[1]),
-                             "k": by_unit["k"].to_numpy() @ m, "pos": by_unit["pos"].to_numpy() @ m})
+        if small:
+            pdf = pdf.groupby("u", as_index=False)[["k", "pos"]].sum()
+        out = {c: np.zeros(draws, dtype=np.int64) for c in ("k", "pos")}
+        for at, products in weighted(pdf, ("k", "pos")):
+            for c, x in zip(("k", "pos"), products):
+                out[c][at] = x.sum(0)
+        return pd.DataFrame({"_block": key[0], "model": key[1], "b": np.arange(draws), **out})
 
     per_block = blocks.groupBy("_block", "model").applyInPandas(totals, "_block int, model string, b int, k long, pos long")
     w = Window.partitionBy("model", "b")
     before = w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_block.select("_block", "model", "b", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"),
-                             F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("p0"), F.sum("pos").over(w).alias("p_all"))
+                             F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("p0"))
 
     def precision_steps(key, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(len(start))
-        if len(rows):
-            start = start.sort_values("b")
-            rows = rows.sort_values("score", ascending=False)
-            first = np.flatnonzero(np.r_[True, np.diff(rows["score"].to_numpy()) != 0])
-            u, k, pos = (rows[c].to_numpy() for c in ("u", "k", "pos"))
-            width = max(1, 4_000_000 // len(rows))
-            for lo in range(0, len(start), width):
-                cols = slice(lo, lo + width)
-                m = weights.value[u, cols].astype(np.int64)
-                ks, ps = np.add.reduceat(m * k[:, None], first), np.add.reduceat(m * pos[:, None], first)
-                ck = ks.cumsum(0) + start["k0"].to_numpy()[cols]
-                cp = ps.cumsum(0) + start["p0"].to_numpy()[cols]
-                out[cols] = (ps * np.divide(cp, ck, out=np.zeros(ck.shape), where=ck > 0)).sum(0)
-        return pd.DataFrame({"model": key[1], "b": start["b"].to_numpy(), "part": out, "p_all": start["p_all"].to_numpy()})
+        """Per draw: the finished steps inside the block, and the open first and last score with the running counts at their end."""
+        start, rows = start.sort_values("b"), rows.sort_values("score", ascending=False)
+        scores = rows["score"].to_numpy()
+        first = np.flatnonzero(np.r_[True, np.diff(scores) != 0])
+        ends = sorted({0, len(first) - 1})
+        part = np.zeros(draws)
+        edges = {i: np.zeros((3, draws), dtype=np.int64) for i in ends}
+        for at, (k, pos) in weighted(rows, ("k", "pos")):
+            ks, ps = np.add.reduceat(k, first), np.add.reduceat(pos, first)
+            ck, cp = ks.cumsum(0) + start["k0"].to_numpy()[at], ps.cumsum(0) + start["p0"].to_numpy()[at]
+            steps = ps * np.divide(cp, ck, out=np.zeros(ck.shape), where=ck > 0)
+            part[at] = steps[1:-1].sum(0)
+            for i in ends:
+                edges[i][:, at] = ps[i], ck[i], cp[i]
+        base = {"model": key[1], "b": np.arange(draws)}
+        frames = [pd.DataFrame({**base, "score": scores[first[i]], "part": 0.0, "pos": e[0], "ck": e[1], "cp": e[2]}) for i, e in edges.items()]
+        return pd.concat([pd.DataFrame({**base, "score": np.nan, "part": part, "pos": 0, "ck": 0, "cp": 0}), *frames])
 
     parts = blocks.groupBy("_block", "model").cogroup(carry.groupBy("_block", "model")).applyInPandas(
-        precision_steps, "model string, b int, part double, p_all long")
-    return parts.groupBy("b", "model").agg(ratio(F.sum("part"), F.max("p_all")).alias("value"))
+        precision_steps, "model string, b int, score double, part double, pos long, ck long, cp long")
+    per_score = parts.groupBy("b", "model", "score").agg(
+        (F.sum("part") + F.sum("pos") * F.coalesce(ratio(F.max("cp"), F.max("ck")), F.lit(0.0))).alias("part"))
+    positives = per_block.groupBy("b", "model").agg(F.sum("pos").alias("p_all"))
+    return per_score.groupBy("b", "model").agg(F.sum("part").alias("part")).join(positives, ["b", "model"]) \
+        .select("b", "model", ratio("part", "p_all").alias("value"))
+
+
+@lru_cache(maxsize=1)
+def _cached_table(strata: tuple[int, ...], draws: int, seed: int) -> np.ndarray:
+    return draw_table(strata, draws, seed)
 
 
 def bootstrap_vs_leader(df: DataFrame, unit: str, task: str, draws: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
@@ -181,7 +276,7 @@ def monthly_block_bootstrap(df: DataFrame, month: str, day: str, a: str, b: str,
     rows = df.where(F.col("model").isin(a, b) & F.col("label").isNotNull() & F.col("p").isNotNull()).withColumn("_unit", unit) \
         .withColumn("model", F.concat_ws("|", F.col(month), F.col("model")))
     sizes: dict[str, int] = {}
-    for u in resampling_units(rows, "_unit"):
+    for u in resampling_units(rows, "_unit", TABLE_CELLS // draws) or []:
         sizes[u[:7]] = sizes.get(u[:7], 0) + 1
     values = bootstrap_ap(rows, "_unit", draws, seed, strata=list(sizes.values())) \
         .withColumn("month", F.split_part("model", F.lit("|"), F.lit(1))).withColumn("_m", F.split_part("model", F.lit("|"), F.lit(2)))

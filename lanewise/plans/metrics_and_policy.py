@@ -314,10 +314,21 @@ def _(t):
     return comparison.monthly_block_bootstrap(long_scores(t), "month", "approval_day", "M1", "M2")
 
 
+def _choices(t, unit):
+    rows = long_scores(t).where("split = 'Validation'")
+    return union_all([comparison.choose_model(comparison.bootstrap_vs_leader(rows, unit, k), {"M1": "forest", "M2": "linear"}, {"M1": 4000, "M2": 25})
+                      .select(F.lit(k).alias("task"), "*") for k in ("classification", "regression")])
+
+
 @query("choose_model")
 def _(t):
-    table = comparison.bootstrap_vs_leader(long_scores(t).where("split = 'Validation'"), "approval_day", "regression", draws=500)
-    return comparison.choose_model(table, {"M1": "forest", "M2": "linear"}, {"M1": 4000, "M2": 25})
+    return _choices(t, "approval_day")
+
+
+@query("choose_model_by_order")
+def _(t):
+    """The same choice with single orders as resampling units: the sensitivity check beside whole days."""
+    return _choices(t, "order_id")
 
 
 @query("paired_fold_interval", f"""WITH {FOLD_CLS}, nt AS (SELECT fold, count(*) AS nv FROM fl WHERE model = 'M1' GROUP BY 1), d AS (SELECT a.avg_precision - b.avg_precision AS d, nv / (nv * (1 + a.fold))::DOUBLE AS share FROM fcls a JOIN fcls b ON a.fold = b.fold AND b.model = 'M2' JOIN nt ON nt.fold = a.fold WHERE a.model = 'M1')

@@ -63,22 +63,52 @@ def test_f1_threshold_prefers_the_first_maximum(spark):
     assert np.isclose(metrics.f1_threshold(metrics.score_curve(df)).first()["threshold"], -best[1])
 
 
-def test_bootstrap_ap_equals_rescoring_every_draw(spark):
+@pytest.mark.parametrize("unit", ["day", "order_id"])
+def test_bootstrap_ap_equals_rescoring_every_draw(spark, unit, monkeypatch):
+    """Days from one table of draws; single orders with their draws taken along, in blocks that cut a score held by a third of them."""
+    if unit == "order_id":
+        monkeypatch.setattr(comparison, "TABLE_CELLS", 25 * 40)
     df, _ = scored(spark)
-    both = df.withColumn("model", F.lit("a")).unionByName(df.withColumn("p", F.round(1 - F.col("p") / 2, 2)).withColumn("model", F.lit("b")))
-    got = comparison.bootstrap_ap(both, "day", 25, seed=9).toPandas().set_index(["model", "b"])["value"]
-    units = comparison.resampling_units(both.where("label IS NOT NULL"), "day")
-    draws = comparison.draw_counts(spark, [len(units)], 25, 9).toPandas()
-    assert draws.groupby("b")["m"].sum().eq(len(units)).all()
+    both = df.withColumn("model", F.lit("a")).unionByName(df.withColumn("p", F.when(F.col("order_id") % 3 == 0, 0.5).otherwise(F.round(1 - F.col("p") / 2, 2))).withColumn("model", F.lit("b")))
+    got = comparison.bootstrap_ap(both, unit, 25, seed=9).toPandas().set_index(["model", "b"])["value"]
     pdf = both.where("label IS NOT NULL").toPandas()
-    pdf["u"] = pdf["day"].map({d: i for i, d in enumerate(units)})
+    units = sorted(set(pdf[unit]))
+    draws = comparison.draw_table([len(units)], 25, 9)
+    assert len(got) == 50 and (draws.sum(0) == len(units)).all()
+    pdf["u"] = pdf[unit].map({d: i for i, d in enumerate(units)})
     for b in (0, 7, 24):
-        times = draws[draws["b"] == b].set_index("u")["m"]
         for model, g in pdf.groupby("model"):
-            rows = g.loc[g.index.repeat(g["u"].map(times).fillna(0).astype(int))]
+            rows = g.loc[g.index.repeat(draws[g["u"], b])]
             assert np.isclose(got[(model, b)], average_precision(rows["label"].to_numpy(int), rows["p"].to_numpy()))
 
 
+def test_bootstrap_rmse_over_single_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(m, i, float(rng.normal()), float(rng.normal()) if i % 50 else None) for m in ("a", "b") for i in range(9000)]
+    df = spark.createDataFrame(rows, "model string, order_id long, days double, target double")
+    pdf = df.where("target IS NOT NULL").toPandas()
+    units = sorted(set(pdf["order_id"]))
+    draws, at = comparison.draw_table([len(units)], 20, 3), {u: i for i, u in enumerate(units)}
+    for cells in (20 * 9000, 20 * 100):
+        monkeypatch.setattr(comparison, "TABLE_CELLS", cells)
+        got = comparison.bootstrap_rmse(df, "order_id", 20, 3).toPandas().set_index(["model", "b"])["value"]
+        for model, g in pdf.groupby("model"):
+            m = draws[g["order_id"].map(at)]
+            want = np.sqrt((m * ((g["days"] - g["target"]) ** 2).to_numpy()[:, None]).sum(0) / m.sum(0))
+            assert np.allclose(got[model].sort_index(), want)
+
+
+def test_draws_are_multinomial_over_blocks():
+    n, draws = 2 * comparison.UNIT_BLOCK + 700, 300
+    table = comparison.draw_table([n], draws, 5)
+    assert table.shape == (n, draws) and (table.sum(0) == n).all()
+    assert abs(table.var(1).mean() - (1 - 1 / n)) < 0.01 and abs((table == 0).mean() - (1 - 1 / n) ** n) < 0.003
+    last = comparison.block_totals(n, draws, 5, 2)
+    assert abs(last.mean() - 700) < 5 and abs(last.var() - 700 * (1 - 700 / n)) < 150
+    again = comparison.multiplicities(n, draws, 5, 1)
+    assert (again == table[comparison.UNIT_BLOCK:2 * comparison.UNIT_BLOCK]).all()
+
+
 def test_choose_simplest_tied_model(spark):
     table = spark.createDataFrame([("F", 0.3, 0.0, 0.0, 0.0, True, True), ("L", 0.29, -0.01, -0.03, 0.01, False, True), ("T", 0.2, -0.1, -0.2, -0.05, False, False), ("B", 0.1, -0.2, -0.3, -0.1, False, False)],
                                   "model string, score double, diff_vs_leader double, ci_low double, ci_high double, leader boolean, tied boolean")
