@@ -26,6 +26,7 @@ from ..functions.times import day, month_label
 from ..session import shared_folder, shared_path
 from . import labels, logit, metrics
 from .design import Design, category_counts, fit_design
+from .neighbours import nearest
 from .ordering import exact_quantiles, global_rank, hash_order, ordered_blocks
 
 SEED = 42
@@ -431,41 +432,50 @@ def oversample(df: DataFrame, y: str = "y", seed: int = SEED) -> DataFrame:
     return ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_h", "rank", "n")
 
 
+def flag_columns(df: DataFrame, numeric: Sequence[str]) -> list[str]:
+    """Numeric columns that hold 0 and 1 only (nulls aside)."""
+    row = df.agg(*[F.coalesce(F.bool_and(F.col(c).isin(0, 1)), F.lit(False)).alias(f"b{i}") for i, c in enumerate(numeric)]).first()
+    return [c for i, c in enumerate(numeric) if row[f"b{i}"]]
+
+
 def synthetic_minority(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str = "y", k: int = 5, seed: int = SEED) -> DataFrame:
     """Balanced rows with interpolated minority rows added.
 
-    Neighbours come from positions along hashed projections of the scaled numerics (k rows on
-    either side within a block), never from all pairs. Numerics are interpolated,
-    categoricals take the most frequent neighbour level.
+    Neighbours are the ``k`` nearest minority rows by squared distance, where a differing level or 0/1 flag
+    counts half the squared median deviation of the numbers. Numbers (median-filled) are interpolated towards one neighbour,
+    levels and flags take the neighbours' most frequent value (ties: the smallest; no neighbour: the row's own). New rows have
+    negative ids. A table of one class comes back as it is.
     """
+    columns = ["order_id", y, *[F.col(c).cast("double").alias(c) for c in numeric], *categorical]
     counts = {r[0]: r[1] for r in df.groupBy(y).count().collect()}
-    low = min(counts, key=counts.get)
+    if len(counts) < 2:
+        return df.select(*columns)
+    low = min(counts, key=lambda v: (counts[v], -v))
     need = max(counts.values()) - counts[low]
-    rows = df.where(F.col(y) == low)
-    row = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(numeric)]).first()
-    projection = F.lit(0.0)
-    import random
-    rng = random.Random(seed)
-    for i, c in enumerate(numeric):
-        sd = row[f"s{i}"] or 1.0
-        projection = projection + F.lit(rng.gauss(0, 1)) * (F.coalesce(F.col(c), F.lit(row[f"m{i}"])) - F.lit(row[f"m{i}"])) / F.lit(sd)
-    blocks = ordered_blocks(rows.withColumn("_proj", projection), [F.col("_proj"), F.col("order_id")])
-    w = Window.partitionBy("_block").orderBy("_proj", "order_id")
-    near = blocks.withColumn("_near", F.collect_list(F.struct(*numeric, *categorical)).over(w.rowsBetween(-k, k)))
+    flags = flag_columns(df, numeric)
+    moving, levels = [c for c in numeric if c not in flags], [*flags, *categorical]
+    medians = {r["variable"]: r["m"] for r in exact_quantiles(df, [], numeric, {"m": 0.5}).collect()} if numeric else {}
+    filled = df.select("order_id", y, *[F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c, 0.0))).alias(c) for c in numeric], *categorical)
+    minority = filled.where(F.col(y) == low)
+    spread = sorted(minority.agg(*[F.stddev_pop(c) for c in moving]).first()) if moving else [1.0]
+    mismatch = ((spread[(len(spread) - 1) // 2] + spread[len(spread) // 2]) / 2) ** 2 / 2
+    path = shared_path(df.sparkSession, "neighbours")
+    nearest(minority, "order_id", moving, levels, mismatch, k, seed=seed).write.parquet(path)
+    near = df.sparkSession.read.parquet(path)
+    common = near.select("id", F.explode("near").alias("order_id")).join(minority.select("order_id", *levels), "order_id") \
+        .groupBy("id").agg(*[F.mode(c, True).alias(f"_{c}") for c in levels], F.count(F.lit(1)).alias("_seen"))
     times = F.ceil(F.lit(need) / F.lit(counts[low])).cast("int")
-    made = global_rank(near.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).withColumn("_h", F.xxhash64("order_id", "_copy", F.lit(seed))),
-                       [F.col("_h"), F.col("order_id"), F.col("_copy")]).where(F.col("rank") <= need)
-    pick = F.element_at("_near", (F.pmod(F.xxhash64("_h", F.lit(1)), F.size("_near")) + 1).cast("int"))
+    made = global_rank(near.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).withColumn("_h", F.xxhash64("id", "_copy", F.lit(seed))),
+                       [F.col("_h"), F.col("id"), F.col("_copy")]).where(F.col("rank") <= need)
+    pick = F.element_at(F.when(F.size("near") > 0, F.col("near")).otherwise(F.array("id")), (F.pmod(F.xxhash64("_h", F.lit(1)), F.greatest(F.size("near"), F.lit(1))) + 1).cast("int"))
     step = F.pmod(F.xxhash64("_h", F.lit(2)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    made = made.withColumn("_pick", pick).withColumn("_step", step)
-    def mode(c):
-        levels = F.transform("_near", lambda s: s[c].cast("string"))
-        scored = F.transform(F.array_distinct(F.array_compact(levels)), lambda v: F.struct(
-            F.size(F.filter(levels, lambda x: x == v)).alias("n"), v.alias("v")))
-        return F.array_max(scored)["v"]
-    outs = [(F.col(c) + F.col("_step") * (F.col(f"_pick.{c}") - F.col(c))).alias(c) for c in numeric]
-    new = made.select((-F.col("rank")).alias("order_id"), F.col(y), *outs, *[mode(c).alias(c) for c in categorical])
-    return df.select("order_id", y, *[F.col(c).cast("double").alias(c) for c in numeric], *categorical).unionByName(new)
+    made = made.select("id", F.col("rank"), pick.alias("_pick"), step.alias("_step"))
+    own = minority.withColumnRenamed("order_id", "id")
+    other = minority.select(F.col("order_id").alias("_pick"), *[F.col(c).alias(f"_to_{c}") for c in moving])
+    joined = made.join(own, "id").join(other, "_pick").join(common, "id", "left")
+    new = joined.select((-F.col("rank")).alias("order_id"), y, *[(F.col(c) + F.col("_step") * (F.col(f"_to_{c}") - F.col(c))).alias(c) if c in moving
+                        else F.when(F.col("_seen").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in [*numeric, *categorical]])
+    return df.select(*columns).unionByName(new)
 
 
 def bulk_score(f: Fitted, df: DataFrame, numeric: Sequence[str], categories: Mapping[str, Sequence[str]], others: Sequence[str] | None = None) -> DataFrame:
