@@ -478,6 +478,42 @@ def synthetic_minority(df: DataFrame, numeric: Sequence[str], categorical: Seque
     return df.select(*columns).unionByName(new)
 
 
+STRATEGIES = {"none": lambda rows, num, cat: rows, "undersample": lambda rows, num, cat: undersample(rows),
+              "oversample": lambda rows, num, cat: oversample(rows), "smotenc": synthetic_minority}
+FOLD_METRICS = ["avg_precision", "roc_auc", "brier", "precision_top10", "recall_top10", "top10_lift"]
+
+
+def resampled_scores(specs: Sequence[Spec], train: DataFrame, valid: DataFrame, num: Sequence[str], cat: Sequence[str], strategy: str, fold: int) -> DataFrame:
+    """(model, strategy, fold, order_id, y, p): all models fitted on the same resampled training rows, scored on untouched ones."""
+    path = shared_path(train.sparkSession, f"resampled-{strategy}")
+    STRATEGIES[strategy](train, num, cat).write.parquet(path)
+    rows = train.sparkSession.read.parquet(path)
+    parts = [fit(s, rows).score(valid, ["order_id", "y"]).select(F.lit(s.name).alias("model"), F.lit(strategy).alias("strategy"), F.lit(fold).alias("fold"), "order_id", "y", "p") for s in specs]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def resampling_summary(scored: DataFrame) -> DataFrame:
+    """One row per model and strategy from ``resampled_scores``; fold 0 is the fit on all training rows, scored on Validation.
+
+    Fold means and deviations (``cv_``), Validation scores with the mean probability and late rate (``val_``), the mean paired
+    gain in average precision over no resampling with its standard error, and whether the gain exceeds twice that error.
+    """
+    by = ["model", "strategy"]
+    table = metrics.classification_metrics(scored.withColumn("label", F.col("y").cast("int")), [*by, "fold"])
+    base = table.where("strategy = 'none'").select("model", "fold", F.col("avg_precision").alias("_base"))
+    gain = F.col("avg_precision") - F.col("_base")
+    cv = table.where("fold > 0").join(base, ["model", "fold"], "left").groupBy(by).agg(
+        *[f(c).alias(f"cv_{c}_{name}") for c in FOLD_METRICS for f, name in ((F.avg, "mean"), (F.stddev_samp, "sd"))],
+        F.avg(gain).alias("ap_gain_vs_none"), ratio(F.stddev_samp(gain), F.sqrt(F.count(gain))).alias("ap_gain_se"))
+    chance = scored.where("fold = 0").groupBy(by).agg(F.avg("p").alias("val_mean_probability"))
+    val = table.where("fold = 0").select(*by, *[F.col(c).alias(f"val_{c}") for c in [*FOLD_METRICS, "late_rate"]])
+    return cv.join(val, by, "left").join(chance, by, "left").withColumn(
+        "clear_ap_gain", F.coalesce((F.col("strategy") != "none") & (F.col("ap_gain_vs_none") > 2 * F.col("ap_gain_se")), F.lit(False)))
+
+
 def bulk_score(f: Fitted, df: DataFrame, numeric: Sequence[str], categories: Mapping[str, Sequence[str]], others: Sequence[str] | None = None) -> DataFrame:
     """Scores of valid rows plus rejected rows with their reasons and no score. With ``others``, unknown columns are refused."""
     from .contract import split_valid, validate

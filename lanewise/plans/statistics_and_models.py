@@ -669,21 +669,13 @@ def _(t):
 
 @query("resampling_experiment")
 def _(t):
-    """Fold AP per strategy, with the paired gain over no resampling and its standard error."""
-    rows = folds(t)
+    """The logit and the forest under every strategy: five folds, and one fit on all training rows scored on Validation."""
+    plan, specs = folds(t), [logit_spec("C1"), forest_spec("classification", "C3", weight="balanced")]
     def one(job):
-        strategy, i = job
-        train, valid = ml.fold_parts(rows, i)
-        made = {"none": lambda x: x, "undersample": ml.undersample, "oversample": ml.oversample,
-                "synthetic": lambda x: ml.synthetic_minority(x, NUM, CAT)}[strategy](train)
-        return ml.fit(logit_spec("C1", NUM), made).score(valid, ["order_id", "y", "fold"]).withColumn("model", F.lit(strategy))
-    jobs = [(s, i) for s in ("none", "undersample", "oversample", "synthetic") for i in range(1, 6)]
-    scored = union_all(ml.in_parallel(one, jobs)).withColumn("label", F.col("y").cast("int"))
-    ap = metrics.ranking_scores(metrics.score_curve(scored, ["model", "fold"]), ["model", "fold"]).select("model", "fold", "avg_precision")
-    base = ap.where("model = 'none'").select("fold", F.col("avg_precision").alias("b"))
-    return ap.join(base, "fold").groupBy("model").agg(
-        F.avg("avg_precision").alias("cv_mean"), F.stddev_samp("avg_precision").alias("cv_sd"), F.avg(F.col("avg_precision") - F.col("b")).alias("gain"),
-        (F.stddev_samp(F.col("avg_precision") - F.col("b")) / F.sqrt(n_rows())).alias("gain_se"))
+        strategy, fold = job
+        train, valid = ml.fold_parts(plan, fold) if fold else (train_rows(t), test_rows(t))
+        return ml.resampled_scores(specs, train, valid, NUM, CAT, strategy, fold)
+    return ml.resampling_summary(union_all(ml.in_parallel(one, [(s, i) for s in ml.STRATEGIES for i in range(6)])))
 
 
 # ---- interpretation ----

@@ -64,3 +64,16 @@ def test_synthetic_from_one_row_and_from_one_class(spark):
     new = ml.synthetic_minority(df, ["a"], ["lev"]).where("order_id < 0").collect()
     assert [(r["y"], r["a"], r["lev"]) for r in new] == [(1.0, 2.0, None)]
     assert ml.synthetic_minority(df.where("y = 0"), ["a"], ["lev"]).count() == 2
+
+
+def test_resampling_summary_pairs_the_folds(spark):
+    """Gains over no resampling by hand: fold scores of 1.0 against 0.5 and 1.0, and a Validation row of its own."""
+    def fold(strategy, f, p):
+        return [("C1", strategy, f, i, y, s) for i, (y, s) in enumerate(zip((1.0, 0.0, 0.0), p))]
+    rows = fold("none", 1, (0.5, 0.9, 0.1)) + fold("none", 2, (0.9, 0.2, 0.1)) + fold("none", 0, (0.2, 0.3, 0.4)) \
+        + fold("over", 1, (0.9, 0.5, 0.1)) + fold("over", 2, (0.8, 0.2, 0.1)) + fold("over", 0, (0.4, 0.3, 0.2))
+    got = {r["strategy"]: r for r in ml.resampling_summary(spark.createDataFrame(rows, "model string, strategy string, fold int, order_id int, y double, p double")).collect()}
+    none, over = got["none"], got["over"]
+    assert np.isclose(none["cv_avg_precision_mean"], 0.75) and none["ap_gain_vs_none"] == 0 and not none["clear_ap_gain"]
+    assert np.isclose(over["ap_gain_vs_none"], 0.25) and np.isclose(over["ap_gain_se"], 0.25) and not over["clear_ap_gain"]
+    assert np.isclose(none["val_avg_precision"], 1 / 3) and np.isclose(over["val_avg_precision"], 1) and np.isclose(over["val_mean_probability"], 0.3)
