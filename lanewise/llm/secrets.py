@@ -11,7 +11,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import hashed_share, let, text_or_empty, words_column
+from .text import hashed_share, in_chunks, let, text_or_empty, words_column
 
 # Fixed patterns: kind -> (pattern, shortest value, group that holds the value).
 PATTERNS = {
@@ -26,6 +26,20 @@ TOKEN = r"[A-Za-z0-9+/_-]{16,}=*"
 NO_SPANS = "array<struct<start: int, kind: int, end: int>>"
 
 
+def _running_spans(steps: Column, kind: int, size, keep) -> Column:
+    """Spans of the kept steps, each placed after the gaps and sizes of all steps before it."""
+    after = lambda at, s: at + s["gap"] + size(s)
+
+    def chunk_spans(chunk: Column, at: Column) -> Column:
+        empty = F.struct(at.alias("at"), F.from_json(F.lit("[]"), NO_SPANS).alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            span = F.array(F.struct((acc["at"] + s["gap"]).alias("start"), F.lit(kind).alias("kind"), after(acc["at"], s).alias("end")))
+            return F.struct(after(acc["at"], s).alias("at"), F.when(keep(s), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(chunk, empty, step, lambda acc: acc["out"])
+    return F.flatten(in_chunks(steps, after, chunk_spans))
+
+
 def _places(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
     """Spans of all non-overlapping matches whose value is long enough, from the texts between the matches."""
     hits, values = F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), group)
@@ -36,13 +50,7 @@ def _places(text: Column, pattern: str, kind: int, group: int, least: int) -> Co
                            lambda a, b: F.struct(a.alias("all"), b.alias("value")))
         steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), sizes,
                            lambda g, s: F.struct(g.alias("gap"), s["all"].alias("all"), s["value"].alias("value")))
-        empty = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), NO_SPANS).alias("out"))
-
-        def step(acc: Column, s: Column) -> Column:
-            start = acc["at"] + s["gap"]
-            span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + s["all"]).alias("end")))
-            return F.struct((start + s["all"]).alias("at"), F.when(s["value"] < least, acc["out"]).otherwise(F.concat(acc["out"], span)).alias("out"))
-        return F.aggregate(steps, empty, step, lambda acc: acc["out"])
+        return let(steps, lambda all_steps: _running_spans(all_steps, kind, lambda s: s["all"], lambda s: s["value"] >= least))
 
     return F.when(text.rlike(pattern), let(hits, spans)).otherwise(F.from_json(F.lit("[]"), NO_SPANS))
 
@@ -111,27 +119,32 @@ def markov_spans(text: Column, model: list[float], threshold: float) -> Column:
         gaps = F.transform(F.split(text, TOKEN, -1), lambda p: F.length(p))
         steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(tokens)), tokens, lambda g, t: F.struct(
             g.alias("gap"), F.length(t).alias("n"), (log_ratio(t, model) > threshold).alias("hit")))
-        empty = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), NO_SPANS).alias("out"))
-
-        def step(acc: Column, s: Column) -> Column:
-            start = acc["at"] + s["gap"]
-            span = F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), (start + s["n"]).alias("end")))
-            return F.struct((start + s["n"]).alias("at"), F.when(s["hit"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-        return F.aggregate(steps, empty, step, lambda acc: acc["out"])
+        return let(steps, lambda all_steps: _running_spans(all_steps, 3, lambda s: s["n"], lambda s: s["hit"]))
     return F.when(text.rlike(TOKEN), let(F.regexp_extract_all(text, F.lit(TOKEN), 0), with_tokens)).otherwise(F.from_json(F.lit("[]"), NO_SPANS))
 
 
+def _furthest(at: Column, span: Column) -> Column:
+    return F.greatest(at, span["end"])
+
+
 def _blanked(text: Column, base: Column) -> Column:
     """The text with every character of a base span as a space, so places stay and no token reaches into a span."""
-    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = F.greatest(acc["at"], s["end"])
-        parts = F.array(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
-                        F.repeat(F.lit(" "), end - F.greatest(acc["at"], s["start"])))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast("array<string>")), parts).alias("out"))
-    whole = F.aggregate(base, empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(base) > 0, whole).otherwise(text)
+    def chunk_text(chunk: Column, at: Column) -> Column:
+        # Cut out the chunk's part of the text first: a place in it is found by counting from its start.
+        end = F.aggregate(chunk, at, _furthest)
+
+        def blanked(part: Column) -> Column:
+            empty = F.struct(at.alias("at"), F.from_json(F.lit("[]"), "array<string>").alias("out"))
+
+            def step(acc: Column, s: Column) -> Column:
+                plain = F.greatest(s["start"] - acc["at"], F.lit(0))
+                blank = F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0))
+                parts = F.array(F.substring(part, acc["at"] - at + 1, plain), F.repeat(F.lit(" "), blank))
+                return F.struct(_furthest(acc["at"], s).alias("at"), F.concat(acc["out"], parts).alias("out"))
+            return F.aggregate(chunk, empty, step, lambda acc: F.array_join(acc["out"], ""))
+        return let(F.substring(text, at + 1, end - at), blanked)
+    tail = F.substring(text, F.aggregate(base, F.lit(0), _furthest) + 1, F.length(text))
+    return F.when(F.size(base) > 0, F.concat(F.array_join(in_chunks(base, _furthest, chunk_text), ""), tail)).otherwise(text)
 
 
 def scan(docs: DataFrame, model: list[float], doc_id: str = "doc_id", text: str = "text", threshold: float = 1.0) -> DataFrame:

@@ -131,3 +131,20 @@ def hashed_share(docs: DataFrame, bound: int, doc_id: str = "doc_id", seed: int
     if rows <= bound:
         return docs
     return docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 20)) < int(bound / rows * (1 << 20)))
+
+
+CHUNK = 256
+
+
+def in_chunks(items: Column, carry, each) -> Column:
+    """each(chunk, at) per chunk of 256 array elements; ``at`` is carry(at, element) over all elements before, from 0.
+
+    A fold that appends to an array copies it at every step; per chunk the copies stay short, whatever the length of the array.
+    """
+    def walk(chunks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<int>").alias("starts"))
+        starts = F.aggregate(chunks, first, lambda acc, chunk: F.struct(
+            F.aggregate(chunk, acc["at"], carry).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+        return F.zip_with(chunks, starts, each)
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+    return let(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK))), walk)

@@ -520,3 +520,20 @@ def test_repeated_words_overlap(spark):
     cases = {" ".join(w): 0, " ".join(w[:8] * 2): 16, " ".join(["x"] * 12): 12, " ".join(w + ["z"] + w): 18, " ".join(["x"] * 8): 0}
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert [r.n_repeat_words for r in rules.ledger(df).orderBy("doc_id").collect()] == list(cases.values())
+
+
+def test_secrets_many_spans_in_one_text(spark):
+    """64,000 base spans and 16,000 scored tokens in one text: right places, in seconds."""
+    import re
+    import time
+    from lanewise.llm import secrets
+    hexes = [f"{i:020x}" for i in range(64_000)]
+    text = "\u00e9 ".join(h + (" Zq9" + "xK7vQ2mR8tL4w" + str(i % 10) if i % 4 == 0 else "") for i, h in enumerate(hexes))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    docs.count()
+    began = time.time()
+    row = secrets.scan(docs, [1.5] * secrets.SIDE ** 2).collect()[0]
+    took = time.time() - began
+    assert [(s["start"], s["end"]) for s in row["base"]] == [m.span() for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert [(s["start"], s["end"]) for s in row["added"]] == [m.span() for m in re.finditer("Zq9[A-Za-z0-9]+", text)]
+    assert took < 20, took
