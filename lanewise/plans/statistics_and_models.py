@@ -597,12 +597,21 @@ def _(t):
 
 @query("refit_check")
 def _(t):
-    """Same specification fitted on Train and on the whole history, scored on one later month."""
-    later = labels.scoring_eligibility(feature_rows(t), "1998-06-01", "1998-06-30").where(~F.col("order_status").isin(labels.EXCLUDED_STATUSES))
-    later = labels.labels_as_of(later, F.date_add(day("approved_at"), 46)).withColumn("y", F.col("label").cast("double"))
-    spec = logit_spec("C1", NUM)
-    parts = [ml.fit(spec, rows).score(later, ["order_id", "label"]).withColumn("model", F.lit(name)) for name, rows in (("train", train_rows(t)), ("history", task_rows(t)))]
-    return metrics.classification_metrics(union_all(parts), ["model"])
+    """Both tasks: the same specification fitted on Train and on the whole history, scored on every later month of the data."""
+    last = t.orders.agg(F.max(day("approved_at"))).first()[0]
+    later = labels.scoring_eligibility(feature_rows(t), RUN_DATE, last).where(~F.col("order_status").isin(labels.EXCLUDED_STATUSES)).withColumn("month", month_label("approved_at"))
+    known = F.date_add(day("approved_at"), 46)
+    late = labels.labels_as_of(later, known).withColumn("y", F.col("label").cast("double"))
+    lead = labels.targets_as_of(later, known, 45).withColumn("y", F.col("target").cast("double"))
+    parts = {}
+    for spec, rows, truth in ((logit_spec("C1"), late, "label"), (linear_spec("R1"), lead, "target")):
+        fits = (("train", train_rows(t, spec.task)), ("history", task_rows(t, spec.task)))
+        parts[spec.task] = union_all([ml.fit(spec, part).score(rows, ["order_id", "month", truth, "promised_lead_days"]).withColumn("model", F.lit(name)) for name, part in fits])
+    tables = [metrics.classification_metrics(parts["classification"], ["model", "month"]), metrics.regression_metrics(parts["regression"], ["model", "month"])]
+    long = [x.select(F.lit(k).alias("task"), "model", "month", F.explode(F.create_map(*[v for c in x.columns if c not in ("model", "month") for v in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value"))
+            for k, x in zip(("classification", "regression"), tables)]
+    both = union_all(long).groupBy("task", "month", "metric").agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(m) for m in ("train", "history")])
+    return both.withColumn("history_minus_train", F.col("history") - F.col("train"))
 
 
 @query("feature_group_ablation")

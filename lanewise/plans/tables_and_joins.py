@@ -65,6 +65,25 @@ def _(t):
     return back.groupBy("approval_day").agg(F.count("order_id").alias("orders"), F.avg("promise").alias("mean_promise"))
 
 
+@query("json_month_inputs", f"""WITH b AS (SELECT strftime(approved_at, '%Y-%m') AS month, p, days, {label(f"DATE '{RUN_DATE}'")} AS y, date_diff('day', estimated_at::DATE, delivered_at::DATE) AS gone
+      FROM r_orders LEFT JOIN r_scores USING (order_id) WHERE approved_at IS NOT NULL)
+    SELECT month, count(*) AS orders, count(p) AS scored, count(y) AS known, sum(y)::BIGINT AS late, round(avg(p), 6) AS mean_p, round(avg(abs(days - gone)), 6) AS mean_abs_days FROM b GROUP BY 1""")
+def _(t):
+    """Scores, outcomes and actual days from the promise, written as keyed JSON and joined back as a month-end review reads them."""
+    orders = labels_as_of(t.orders.where("approved_at IS NOT NULL"), RUN_DATE).join(t.scores, "order_id", "left")
+    paths = {field: shared_path(t.spark, field) for field in ("scores", "outcomes", "actual_days_from_promise")}
+    values = {"scores": F.when(F.col("p").isNotNull(), F.array("p", "days")), "outcomes": F.col("label"),
+              "actual_days_from_promise": calendar_days("delivered_at", "estimated_at")}
+    for field, value in values.items():
+        snapshots.write_keyed_json(orders, paths[field], field, "order_id", value)
+    read = lambda field, name: snapshots.read_keyed_json(t.spark, paths[field], field, "int", lines=True).withColumnRenamed("value", name)
+    months = t.orders.select(F.col("order_id").cast("string").alias("order_id"), F.date_format("approved_at", "yyyy-MM").alias("month"))
+    back = months.join(snapshots.read_score_json(t.spark, paths["scores"], lines=True), "order_id") \
+        .join(read("outcomes", "y"), "order_id").join(read("actual_days_from_promise", "gone"), "order_id")
+    return back.groupBy("month").agg(F.count(F.lit(1)).alias("orders"), F.count("p").alias("scored"), F.count("y").alias("known"), F.sum("y").alias("late"),
+                                     F.avg("p").alias("mean_p"), F.avg(F.abs(F.col("days") - F.col("gone"))).alias("mean_abs_days"))
+
+
 @query("write_parquet_eda", "SELECT count(*) AS rows, count(late) AS known, sum(late)::BIGINT AS late FROM ot")
 def _(t):
     path = shared_path(t.spark, "orders")

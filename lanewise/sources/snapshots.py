@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import day
@@ -43,8 +43,20 @@ def read_day_json(spark: SparkSession, path: str, row_schema: str, lines: bool =
         .select("approval_day", "row.*")
 
 
-def read_score_json(spark: SparkSession, path: str) -> DataFrame:
+def write_keyed_json(df: DataFrame, path: str, field: str, key: str, value: Column, rows: int = 10_000) -> None:
+    """``{field: {key: value | null}}`` documents, one per line, of about ``rows`` keys each; keys are unique."""
+    parts = max(1, -(-df.count() // rows))
+    df.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part")).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col(key).cast("string"), value.alias("value")))).alias(field)).select(field).write.json(path)
+
+
+def read_keyed_json(spark: SparkSession, path: str, field: str, value_type: str, lines: bool = False) -> DataFrame:
+    """(order_id, value) of ``{field: {order_id: value | null}}`` documents: outcomes, or actual days from the promise."""
+    raw = spark.read.schema(f"{field} map<string, {value_type}>").option("multiLine", not lines).json(path)
+    return raw.select(F.explode(field).alias("order_id", "value"))
+
+
+def read_score_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """``{"scores": {order_id: [p, days] | null}}`` files."""
-    raw = spark.read.schema("scores map<string, array<double>>").option("multiLine", True).json(path)
-    return raw.select(F.explode("scores").alias("order_id", "pair")).select(
-        "order_id", F.get("pair", F.lit(0)).alias("p"), F.get("pair", F.lit(1)).alias("days"))
+    return read_keyed_json(spark, path, "scores", "array<double>", lines).select(
+        "order_id", F.get("value", F.lit(0)).alias("p"), F.get("value", F.lit(1)).alias("days"))
