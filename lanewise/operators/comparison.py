@@ -14,7 +14,7 @@ from ..functions.nulls import ratio
 from ..functions.tails import t_ppf
 from ..session import share_code, shared_folder
 from .metrics import ranking_scores, score_curve
-from .ordering import BLOCK_ROWS, global_rank, ordered_blocks
+from .ordering import global_rank, ordered_blocks
 
 # Fixed value: order of preference among tied model families.
 FAMILY_RANK = {"linear": 0, "tree": 1, "forest": 2}
@@ -153,7 +153,7 @@ def bootstrap_ap(df: DataFrame, unit: str, draws: int = 2000, seed: int = 42, sc
 
     if not small:
         counts = _by_unit(counts).mapInPandas(take_along, "model string, score double, u long, k long, pos long, w binary")
-    blocks = ordered_blocks(counts, [F.col("model"), F.desc("score"), F.col("u")], rows=BLOCK_ROWS if small else max(1, TABLE_CELLS // draws))
+    blocks = ordered_blocks(counts, [F.col("model"), F.desc("score"), F.col("u")], rows=None if small else max(1, TABLE_CELLS // draws))
     sizes = list(strata or [n])
 
     def weighted(rows: pd.DataFrame, columns: Sequence[str]) -> Iterator[tuple[slice, list[np.ndarray]]]:

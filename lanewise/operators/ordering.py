@@ -19,11 +19,11 @@ BLOCK = "_block"
 BLOCK_ROWS, SMALL_ROWS = 2_000_000, 200
 
 
-def ordered_blocks(df: DataFrame, order: Sequence[Column], rows: int = BLOCK_ROWS) -> DataFrame:
+def ordered_blocks(df: DataFrame, order: Sequence[Column], rows: int | None = None) -> DataFrame:
     """Copy of ``df`` in the shared folder with a block number that grows with ``order``.
 
     The rows are held while they are counted and the ranges sampled (lost parts are computed again), and written once, with their blocks,
-    which thus stay the same for all readers. A block holds about ``rows`` rows at most, whatever the volume, and small inputs are
+    which thus stay the same for all readers. A block holds about ``rows`` (BLOCK_ROWS) rows at most, whatever the volume, and small inputs are
     not cut finer than SMALL_ROWS.
     """
     spark, level = df.sparkSession, df.storageLevel
@@ -33,7 +33,7 @@ def ordered_blocks(df: DataFrame, order: Sequence[Column], rows: int = BLOCK_ROW
         df.persist()
     try:
         n = df.count()
-        blocks = max(1, -(-n // rows), min(shuffle_partitions(spark), -(-n // SMALL_ROWS)))
+        blocks = max(1, -(-n // (rows or BLOCK_ROWS)), min(shuffle_partitions(spark), -(-n // SMALL_ROWS)))
         placed = df.repartitionByRange(blocks, *order).withColumn(BLOCK, F.spark_partition_id())
         placed.write.parquet(path)
     finally:
