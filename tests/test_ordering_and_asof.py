@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lanewise.functions.tails import chi2_sf, normal_ppf, t_ppf
@@ -101,3 +102,26 @@ def test_blocks_stay_bounded_as_rows_grow(spark, monkeypatch):
         blocks = ordering.ordered_blocks(spark.range(rows), [F.desc("id")])
         sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
         assert sum(sizes) == rows and max(sizes) <= 1.5 * 1000
+
+
+@pytest.mark.parametrize("sketched", [1_000_000, 100])
+def test_narrowed_quantiles_equal_exact_ones(spark, monkeypatch, sketched):
+    monkeypatch.setattr(ordering, "SKETCHED_ROWS", sketched)
+    rows = [(i, i % 4, i % 4 + i % 3, None if i % 7 == 0 else (i * 7919 % 1009) / 8.0 - 50, float(i % 3), float("nan") if i % 5 == 0 else -float(i) ** 2, None) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, lo int, hi int, a double, b double, c double, d double")
+    probs = {"low": 0.05, "mid": 0.5, "high": 0.93}
+    for span, member in (((), df.withColumn("g", F.lit(0))), ((F.col("lo"), F.col("hi")), df.withColumn("g", F.explode(F.sequence("lo", "hi"))))):
+        wanted = {(r["g"], r["variable"]): tuple(r[k] for k in probs) for r in ordering.exact_quantiles(member, ["g"], ["a", "b", "c", "d"], probs).collect()}
+        found = ordering.narrowed_quantiles(df, ["a", "b", "c", "d"], probs, span)
+        got = {(g, c): tuple(v[k] for k in probs) for g, cols in found.items() for c, v in cols.items()}
+        assert set(got) == set(wanted) and all(got[k] == pytest.approx(wanted[k], rel=1e-12) for k in wanted)
+    assert ordering.narrowed_quantiles(df.where("id < 0"), ["a"], probs) == {}
+
+
+def test_narrowed_quantiles_count_few_values_one_by_one(spark, monkeypatch):
+    df = spark.range(40_000).select(F.pmod(F.xxhash64("id"), F.lit(10 ** 9)).cast("double").alias("x"))
+    edges = [(v, v + 1e6) for v in (4e8, 5e8)]
+    value, outside = ordering._coarse(F.col("x"), edges)
+    assert df.select(value.alias("v"), outside.alias("o")).distinct().count() < 400
+    monkeypatch.setattr(ordering, "exact_quantiles", lambda *a: pytest.fail("the bracket holds the median"))
+    assert ordering.narrowed_quantiles(df, ["x"], {"m": 0.5})[0]["x"]["m"] == df.agg(F.median("x")).first()[0]
