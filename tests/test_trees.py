@@ -81,3 +81,23 @@ def test_partial_dependence_equals_scoring_each_value(rows):
     for (feature, value), average in got.items():
         fixed = df.withColumn(feature, F.lit(value) if feature == "c" else F.lit(float(value)))
         assert average == pytest.approx(fitted.score(fixed, ["order_id"]).agg(F.avg("p")).first()[0], rel=1e-12)
+
+
+def test_few_files_are_dealt_over_the_cores(spark, tmp_path):
+    spark.range(20_000).selectExpr("id", "id % 3 AS y").coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    made = ml.dealt(one)
+    sizes = [r[0] for r in made.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+    assert made.agg(F.count("*"), F.sum("id"), F.sum("y")).first() == one.agg(F.count("*"), F.sum("id"), F.sum("y")).first()
+    few = one.where("id < 100")
+    assert ml.dealt(few) is few and ml.dealt(few, 100) is not few
+
+
+def test_held_nodes_leave_the_forest_as_it_is(rows, monkeypatch):
+    df = rows.where("order_id < 900").withColumn("y", F.col("days"))
+    spec = ml.Spec("f", "regression", lambda: ml.forest("regression", maxDepth=6, minInstancesPerNode=2, numTrees=7, featureSubsetStrategy="sqrt", subsamplingRate=0.5), ["a", "b"])
+    held = ml.fit(spec, df).model
+    assert held.getCacheNodeIds() and held.getMaxMemoryInMB() == 512
+    monkeypatch.setattr(ml, "FOREST_PASSES", {})
+    assert ml.fit(spec, df).model.toDebugString.splitlines()[1:] == held.toDebugString.splitlines()[1:]
