@@ -101,3 +101,14 @@ def test_held_nodes_leave_the_forest_as_it_is(rows, monkeypatch):
     assert held.getCacheNodeIds() and held.getMaxMemoryInMB() == 512
     monkeypatch.setattr(ml, "FOREST_PASSES", {})
     assert ml.fit(spec, df).model.toDebugString.splitlines()[1:] == held.toDebugString.splitlines()[1:]
+
+
+def test_inference_encodes_its_rows_once(spark, rows):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+    slow = F.udf(seen, "double")
+    found, _ = ml.logit_inference(rows.where("order_id < 500").select("y", slow("a").alias("a"), "b"), ["a", "b"], "y")
+    assert [r["term"] for r in found] == ["a", "b", "const"] and 500 <= read.value <= 1000
