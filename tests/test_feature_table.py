@@ -50,3 +50,14 @@ def test_lines_are_not_dealt_by_place_nor_aggregated_before(tables, orders):
     assert "hashpartitioning(customer_zip" not in plan and "hashpartitioning(seller_zip" not in plan
     # Lines are dealt by order alone, before they are aggregated: a partial aggregate of a whole split would spill.
     assert not re.search(r"hashpartitioning\(order_id#\w+, \w+#", plan) and "REPARTITION_BY_COL" in plan
+
+
+def test_large_tables_are_dealt_in_parts_of_bounded_size(spark, tables, orders, monkeypatch):
+    many = SimpleNamespace(**{**vars(tables), "items": tables.items.crossJoin(spark.range(10)).drop("id")})
+    usual = {r.order_id: r for r in features.basket_by_order(many, orders).collect()}
+    monkeypatch.setattr(features, "DEALT_ROWS", 5)  # 60 lines: 12 parts, though the session has 8 shuffle partitions
+    made = features.basket_by_order(many, orders)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(order_id#\w+, (\d+)\)", plan)
+    assert dealt and set(dealt) == {"12"}
+    assert {r.order_id: r for r in made.collect()} == usual
