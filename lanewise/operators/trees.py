@@ -10,9 +10,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, shared_path
 from .audits import union_all
 from .ml import build_design, dealt, fold_parts, in_parallel, tree, vectorise
 
@@ -21,34 +24,63 @@ DEEPEST = 30
 
 @dataclass
 class Leaves:
-    """Paths of a tree's leaves in the order of their numbers: the node passed at each depth, the last one repeated below the leaf."""
-    paths: np.ndarray
+    """Parent and depth of a tree's nodes (the root is its own parent), and the leaves in the order of their numbers."""
+    parent: np.ndarray
+    level: np.ndarray
+    leaf: np.ndarray
 
     @property
     def depth(self) -> np.ndarray:
-        return (np.diff(self.paths, axis=1) != 0).sum(axis=1)
+        return self.level[self.leaf]
 
     def cut(self, depth: int) -> np.ndarray:
         """The node that stands for each leaf once the tree is cut at `depth`."""
-        return self.paths[:, min(depth, self.paths.shape[1] - 1)]
+        at = self.leaf
+        for _ in range(int(max(self.level.max() - depth, 0))):
+            at = np.where(self.level[at] > depth, self.parent[at], at)
+        return at
 
     def count(self, depth: int) -> int:
         return len(np.unique(self.cut(depth)))
 
 
+def _numbers(values: Sequence[int]) -> np.ndarray:
+    return np.array(values, dtype=np.int32)
+
+
 def leaves_of(debug: str) -> Leaves:
-    """Leaves from a tree's printed rules, which show each node indented by its depth."""
-    paths, open_nodes, node = [], [0], 0
+    """Leaves from a tree's printed rules, which show each node indented by its depth; for small trees."""
+    parent, level, leaves, open_nodes = [0], [0], [], [0]
     for line in debug.splitlines()[1:]:
         text = line.lstrip()
         depth = len(line) - len(text) - 2
         if text.startswith(("If", "Else")):
-            node += 1
-            open_nodes[depth + 1:] = [node]
+            open_nodes[depth + 1:] = [len(parent)]
+            parent.append(open_nodes[depth])
+            level.append(depth + 1)
         elif text.startswith("Predict"):
-            paths.append(list(open_nodes[:depth + 1]))
-    longest = max(map(len, paths))
-    return Leaves(np.array([p + p[-1:] * (longest - len(p)) for p in paths], dtype=np.int64))
+            leaves.append(open_nodes[depth])
+    return Leaves(_numbers(parent), _numbers(level), _numbers(leaves))
+
+
+def model_leaves(spark, model) -> Leaves:
+    """Leaves of a fitted tree from its stored nodes: a few numbers a node, where the printed rules of a deep tree take about a kilobyte a leaf.
+
+    A node is numbered before its left part and that before its right one, so leaves in order of their nodes are in order of their numbers.
+    """
+    path = shared_path(spark, "tree")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("id", "leftChild", "rightChild").toArrow()
+    of, left, right = (nodes[c].to_numpy() for c in nodes.column_names)
+    parent, level = np.zeros(len(of), np.int32), np.zeros(len(of), np.int32)
+    inner = left >= 0
+    parent[left[inner]], parent[right[inner]] = of[inner], of[inner]
+    above = parent.copy()
+    while above.any():  # one round for each level of the tree
+        level += above > 0
+        above = parent[above]
+    level[1:] += 1  # nodes below the root have it above them too
+    return Leaves(parent, level, np.sort(of[~inner]).astype(np.int32))
 
 
 @dataclass
@@ -59,41 +91,44 @@ class DeepTree:
     model: object
 
 
-def _counts(rows: DataFrame, trees: Sequence[DeepTree], role: str) -> DataFrame:
-    """tree, fold, role, leaf, n, total, squares: rows per leaf of every tree, each row read once."""
+def _counts(rows: DataFrame, trees: Sequence[DeepTree], valid: bool) -> DataFrame:
+    """tree (its place), valid, leaf, n, total, squares: rows per leaf of every tree, each row read once."""
     out, at = rows, []
     for i, t in enumerate(trees):
         out = t.model.setLeafCol(f"leaf{i}").setPredictionCol(f"value{i}").transform(out).drop(f"value{i}", "rawPrediction", "probability")
-        at.append(F.struct(F.lit(t.name).alias("tree"), F.col(f"leaf{i}").cast("int").alias("leaf")))
+        at.append(F.struct(F.lit(i).alias("tree"), F.col(f"leaf{i}").cast("int").alias("leaf")))
     each = out.select("y", F.explode(F.array(*at)).alias("t")).select("t.*", "y")
     return each.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.sum("y").alias("total"), F.sum(F.col("y") * F.col("y")).alias("squares")) \
-        .withColumns({"fold": F.lit(trees[0].fold), "role": F.lit(role)})
+        .withColumn("valid", F.lit(valid))
 
 
-def deep_trees(spec_of: Callable[..., object], grid: Sequence[Mapping], train: DataFrame, valid: DataFrame | None, fold: int) -> tuple[list[DeepTree], DataFrame]:
-    """The deep tree of every grid point on one fold, and the leaf counts of its training and validation rows."""
+def deep_trees(spec_of: Callable[..., object], grid: Sequence[Mapping], train: DataFrame, valid: DataFrame | None, fold: int) -> tuple[list[DeepTree], pa.Table]:
+    """The deep tree of every grid point on one fold, and the leaf counts of its training and validation rows. Models end with their counts."""
     specs = [(f"{g['minInstancesPerNode']}|{g['impurity']}", spec_of(maxDepth=DEEPEST, **g)) for g in grid]
     d = build_design(specs[0][1], train)
     rows = dealt(vectorise(d, train, ["y"])).persist()
+    shared_folder(rows.sparkSession)
 
     def one(item):
         name, spec = item
         model = spec.estimator().setFeaturesCol("features").setLabelCol("y").fit(rows)
-        return DeepTree(name, fold, leaves_of(model.toDebugString), model)
+        return DeepTree(name, fold, model_leaves(rows.sparkSession, model), model)
     trees = in_parallel(one, specs)
-    parts = [_counts(rows, trees, "train")]
+    parts = [_counts(rows, trees, False)]
     if valid is not None:
-        parts.append(_counts(vectorise(d, valid, ["y"]), trees, "valid"))
-    counts = union_all(parts).toPandas()
+        parts.append(_counts(vectorise(d, valid, ["y"]), trees, True))
+    counts = union_all(parts).toArrow()
+    for t in trees:
+        t.model = None
     rows.unpersist()
     return trees, counts
 
 
-def _column(counts, name: str, role: str, size: int) -> np.ndarray:
+def _column(counts: pa.Table, tree: int, valid: bool, size: int) -> np.ndarray:
     """(n, total, squares) per leaf of one tree."""
-    some = counts[(counts["tree"] == name) & (counts["role"] == role)]
+    some = counts.filter(pc.and_(pc.equal(counts["tree"], tree), pc.equal(counts["valid"], valid)))
     out = np.zeros((size, 3))
-    out[some["leaf"].to_numpy(int)] = some[["n", "total", "squares"]].to_numpy(float)
+    out[some["leaf"].to_numpy()] = np.column_stack([some[c].to_numpy() for c in ("n", "total", "squares")])
     return out
 
 
@@ -127,14 +162,15 @@ def grid_search(spec_of: Callable[..., object], space: Mapping[str, Sequence], t
     for fold in range(n_folds + 1):
         part = fold_parts(folds, fold) if fold else (train, None)
         trees, counts = deep_trees(spec_of, grid, *part, fold)
-        for t, g in zip(trees, grid):
-            size = len(t.leaves.paths)
+        for i, (t, g) in enumerate(zip(trees, grid)):
+            size = len(t.leaves.leaf)
+            known, asked = (_column(counts, i, v, size) if fold else None for v in (False, True))
             for depth in space["maxDepth"]:
                 key = (depth, g["minInstancesPerNode"], g["impurity"])
                 if not fold:
                     sizes[key] = t.leaves.count(depth)
                 else:
-                    scored.setdefault(key, []).append(score_cut(t, depth, _column(counts, t.name, "train", size), _column(counts, t.name, "valid", size), task))
+                    scored.setdefault(key, []).append(score_cut(t, depth, known, asked, task))
     out = [{"maxDepth": k[0], "minInstancesPerNode": k[1], "impurity": k[2], "mean_score": float(np.mean(v)), "sd_score": float(np.std(v, ddof=1)),
             "n_leaves": sizes[k]} for k, v in scored.items()]
     enough = max(r["mean_score"] for r in out) - tol

@@ -33,6 +33,20 @@ def test_leaves_of_printed_rules():
     assert trees.leaves_of("header\n  Predict: 0.5\n").count(5) == 1
 
 
+def test_stored_nodes_give_the_printed_leaves(spark, rows, monkeypatch):
+    spec = ml.Spec("t", "regression", lambda: ml.tree("regression", maxDepth=30, minInstancesPerNode=1), ["a", "b"])
+    one = ml.Spec("t", "regression", lambda: ml.tree("regression", maxDepth=30, minInstancesPerNode=4_000), ["a", "b"])
+    for s in (spec, one):
+        model = ml.fit(s, rows).model
+        got, printed = trees.model_leaves(spark, model), trees.leaves_of(model.toDebugString)
+        assert len(got.leaf) == ml.model_size(model) and got.depth.tolist() == printed.depth.tolist()
+        assert all((got.cut(d) == printed.cut(d)).all() for d in (0, 1, 2, 5, 30))
+    # The rules of a deep tree are never printed: they take about a kilobyte a leaf on the driver.
+    monkeypatch.setattr(trees, "leaves_of", None)
+    found, counts = trees.deep_trees(lambda **p: ml.Spec("t", "regression", lambda: ml.tree("regression", **p), ["a", "b"]), [{"minInstancesPerNode": 1, "impurity": "variance"}], rows, None, 0)
+    assert found[0].model is None and counts.num_rows == len(found[0].leaves.leaf) and sum(counts["n"].to_pylist()) == 4_000
+
+
 @pytest.mark.parametrize("task,label", [("classification", "y"), ("regression", "days")])
 def test_cuts_equal_direct_fits(rows, task, label):
     df = rows.withColumn("y", F.col(label))
