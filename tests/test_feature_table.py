@@ -1,4 +1,5 @@
 """Baskets per order: repeated and missing keys, and lines that cross the network narrow and unaggregated."""
+import datetime as dt
 import re
 from types import SimpleNamespace
 
@@ -61,3 +62,39 @@ def test_large_tables_are_dealt_in_parts_of_bounded_size(spark, tables, orders,
     dealt = re.findall(r"hashpartitioning\(order_id#\w+, (\d+)\)", plan)
     assert dealt and set(dealt) == {"12"}
     assert {r.order_id: r for r in made.collect()} == usual
+
+
+def test_rows_cross_the_network_without_what_a_small_table_adds(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 5, 2.0), (2, 6, 3.0), (2, None, 4.0), (None, 5, 1.0), (3, 7, 0.5)], "order_id long, customer_id long, v double")
+    places = spark.createDataFrame([(5, "S", 1), (6, "T", 2), (6, "T", 3)], "customer_id long, customer_state string, customer_zip int")
+    deal = features._by_order(rows)
+
+    def looked_up(spent=()):
+        made = features._look_up(rows, [(places, "customer_id")], deal, spent)
+        return made._jdf.queryExecution().optimizedPlan().toString(), sorted(map(str, made.drop(*spent).collect()))
+    small, want = looked_up()
+    assert len(want) == 6 and small.index("Join") < small.index("RepartitionByExpression")  # joined after the deal
+    monkeypatch.setattr(features, "DIMENSION_ROWS", 0)
+    large, got = looked_up()
+    assert got == want and large.index("Join") > large.index("RepartitionByExpression")
+    assert looked_up(["customer_id"])[1] == sorted(str(r) for r in rows.join(places, "customer_id", "left").drop("customer_id").collect())
+    held = features._look_up(rows, [(places, "customer_id")], deal, ["customer_id"]).select("order_id", "customer_id")
+    assert sorted(map(str, held.collect())) == sorted(f"Row(order_id={i}, customer_id={c})" for i, c in [(1, 0), (2, 0), (2, 0), (2, None), (None, 0), (3, 0)])
+
+
+def test_orders_cross_the_network_before_their_customers_are_known(spark):
+    """The feature table joins customers to orders that lie by order: no shuffle on the customer."""
+    day = dt.datetime(1998, 3, 2)
+    tables = SimpleNamespace(
+        items=spark.createDataFrame([(1, 10, 100, 5.0, 1.0)], "order_id long, product_id long, seller_id long, price double, freight_value double"),
+        products=spark.createDataFrame([(10, "a", 100, 1, 2, 2, 2)], "product_id long, category string, weight_g int, photos int, length_cm int, height_cm int, width_cm int"),
+        sellers=spark.createDataFrame([(100, 7, "x", "S")], "seller_id long, seller_zip int, seller_city string, seller_state string"),
+        geolocation=spark.createDataFrame([(7, 0.0, 0.0)], "zip int, lat double, lng double"),
+        customers=spark.createDataFrame([(5, 7, "x", "S"), (6, 7, "x", "S")], "customer_id long, customer_zip int, customer_city string, customer_state string"),
+        payments=spark.createDataFrame([(1, "A", 6.0, 2)], "order_id long, payment_type string, payment_value double, installments int"),
+        orders=spark.createDataFrame([(1, 5, day, day, day, day, day), (2, None, day, day, day, day, day), (None, 6, day, day, day, day, day)],
+                                     "order_id long, customer_id long, purchase_ts timestamp_ntz, approved_at timestamp_ntz, carrier_at timestamp_ntz, delivered_at timestamp_ntz, estimated_at timestamp_ntz"))
+    table = features.feature_table(tables, ["A"])
+    assert "hashpartitioning(customer_id" not in table._jdf.queryExecution().executedPlan().toString()
+    got = {r.order_id: (r.customer_state, r.route_type, r.order_item_count, r.payment_value_sum) for r in table.collect()}
+    assert got == {1: ("S", "2. All same-state", 1, 6.0), 2: (None, "1. All interstate", None, None), None: ("S", "1. All interstate", None, None)}
