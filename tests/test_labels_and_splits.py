@@ -104,3 +104,18 @@ def test_availability_filter(spark):
         ("2", ts("2018-01-02"), None, ts("2018-02-01"), "shipped", 1.0), ("3", ts("2018-02-20"), None, ts("2018-03-15"), "shipped", 1.0)], SCHEMA + ", y double")
     kept = splits.available_training_rows(df, dt.date(2018, 3, 1), labels.labels_as_of, "label")
     assert sorted(r.order_id for r in kept.collect()) == ["0", "2"]
+
+
+@pytest.mark.parametrize("audit, known", [(labels.labels_as_of, "label"), (lambda df, run: labels.targets_as_of(df, run, 45), "target")])
+def test_known_outcomes_stay_beside_their_rows(spark, audit, known):
+    start, at = dt.date(2018, 3, 1), lambda d: dt.datetime(2018, 1, 1) + dt.timedelta(days=d)
+    rows = [(1, at(0), at(10), at(20), 7), (2, at(0), at(30), at(20), 8), (3, at(0), at(70), at(80), 9), (None, at(0), at(10), at(20), 7), (4, at(1), None, at(20), 7)]
+    make = lambda some: spark.createDataFrame(some, "order_id long, approved_at timestamp_ntz, delivered_at timestamp_ntz, estimated_at timestamp_ntz, label int")
+
+    def joined(df):
+        return df.join(audit(df, start).select("order_id", F.col(known).alias("_seen")), "order_id")
+    once, twice = make(rows), make([*rows, (1, at(0), at(25), at(20), 7)])
+    for df in (once, twice):
+        got = splits.known_outcomes(df, start, audit, known)
+        assert got.columns == joined(df).columns and sorted(map(str, got.collect())) == sorted(map(str, joined(df).collect()))
+    assert "Join" not in splits.known_outcomes(once, start, audit, known)._jdf.queryExecution().optimizedPlan().toString()
