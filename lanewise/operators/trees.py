@@ -15,9 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, shared_path
-from .audits import union_all
-from .ml import build_design, dealt, fold_parts, in_parallel, tree, vectorise
+from ..session import shared_path
+from . import growth
+from .design import Design
+from .ml import build_design, dealt, fold_parts, in_parallel
 
 DEEPEST = 30
 
@@ -91,37 +92,70 @@ class DeepTree:
     model: object
 
 
-def _counts(rows: DataFrame, trees: Sequence[DeepTree], valid: bool) -> DataFrame:
-    """tree (its place), valid, leaf, n, total, squares: rows per leaf of every tree, each row read once."""
-    out, at = rows, []
-    for i, t in enumerate(trees):
-        out = t.model.setLeafCol(f"leaf{i}").setPredictionCol(f"value{i}").transform(out).drop(f"value{i}", "rawPrediction", "probability")
-        at.append(F.struct(F.lit(i).alias("tree"), F.col(f"leaf{i}").cast("int").alias("leaf")))
-    each = out.select("y", F.explode(F.array(*at)).alias("t")).select("t.*", "y")
-    return each.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.sum("y").alias("total"), F.sum(F.col("y") * F.col("y")).alias("squares")) \
-        .withColumn("valid", F.lit(valid))
+def _flat(design: Design, df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """y and the encoded columns under names that cannot clash."""
+    names = [f"x{i}" for i in range(len(design.columns))]
+    held = df.withColumn("_keep", F.struct("y"))
+    return design.encode(held, keep=["_keep"]).toDF("_keep", *names).select(F.col("_keep.y").cast("double").alias("y"), *names), names
+
+
+def _tree_of(nodes: Mapping[str, np.ndarray], i: int, kind: growth.Kind) -> tuple[Leaves, np.ndarray]:
+    """Leaves of the tree of one kind and their rows (rows, sum, squares of training, then of asked rows): its joint nodes, less sibling leaves
+    of one prediction, which are merged."""
+    mine = np.flatnonzero(nodes["mask"] >> i & 1)
+    parent, level = np.searchsorted(nodes["id"][mine], nodes["parent"][mine]), nodes["level"][mine]
+    stats = np.column_stack([nodes[c][mine] for c in ("n", "total", "squares", "asked", "asked_total", "asked_squares")])
+    n, total = stats[:, 0], stats[:, 1]
+    says = total / np.maximum(n, 1) if kind.impurity == "variance" else (total > n - total).astype(float)
+    leaf, kept = np.ones(len(mine), bool), np.ones(len(mine), bool)
+    leaf[parent[1:]] = False
+    left = np.arange(1, len(mine), 2)  # after the root, nodes come as pairs of siblings
+    for depth in range(int(level.max()), 0, -1):
+        pair = left[level[left] == depth]
+        pair = pair[leaf[pair] & leaf[pair + 1] & (says[pair] == says[pair + 1])]
+        leaf[parent[pair]] = True
+        leaf[pair] = leaf[pair + 1] = kept[pair] = kept[pair + 1] = False
+    number = np.cumsum(kept) - 1
+    ends = np.flatnonzero(leaf)
+    return Leaves(_numbers(number[parent[kept]]), _numbers(level[kept]), _numbers(number[ends])), stats[ends]
+
+
+def _counts(tree: int, stats: np.ndarray) -> list[pa.Table]:
+    """tree (its place), valid, leaf, n, total, squares: rows per leaf of one tree."""
+    out = []
+    for valid, some in ((False, stats[:, :3]), (True, stats[:, 3:])):
+        leaf = np.flatnonzero(some[:, 0])
+        out.append(pa.table({"tree": np.full(len(leaf), tree), "leaf": leaf, "n": some[leaf, 0].astype(np.int64), "total": some[leaf, 1],
+                             "squares": some[leaf, 2], "valid": np.full(len(leaf), valid)}))
+    return out
 
 
 def deep_trees(spec_of: Callable[..., object], grid: Sequence[Mapping], train: DataFrame, valid: DataFrame | None, fold: int) -> tuple[list[DeepTree], pa.Table]:
-    """The deep tree of every grid point on one fold, and the leaf counts of its training and validation rows. Models end with their counts."""
+    """The deep tree of every grid point on one fold, and the leaf counts of its training and validation rows; all trees grow together."""
     specs = [(f"{g['minInstancesPerNode']}|{g['impurity']}", spec_of(maxDepth=DEEPEST, **g)) for g in grid]
+    made = [spec.estimator() for _, spec in specs]
+    kinds = [growth.Kind(e.getMinInstancesPerNode(), e.getImpurity()) for e in made]
     d = build_design(specs[0][1], train)
-    rows = dealt(vectorise(d, train, ["y"])).persist()
-    shared_folder(rows.sparkSession)
-
-    def one(item):
-        name, spec = item
-        model = spec.estimator().setFeaturesCol("features").setLabelCol("y").fit(rows)
-        return DeepTree(name, fold, model_leaves(rows.sparkSession, model), model)
-    trees = in_parallel(one, specs)
-    parts = [_counts(rows, trees, False)]
-    if valid is not None:
-        parts.append(_counts(vectorise(d, valid, ["y"]), trees, True))
-    counts = union_all(parts).toArrow()
-    for t in trees:
-        t.model = None
-    rows.unpersist()
-    return trees, counts
+    flat, names = _flat(d, train)
+    rows = dealt(flat).persist()
+    n = rows.count()
+    if not n:
+        raise ValueError(f"fold {fold} has no training rows")
+    splits = growth.candidate_splits(rows, names, n, made[0].getMaxBins(), made[0].getSeed())
+    held = growth.binned(rows, names, splits).persist()
+    asked = growth.binned(_flat(d, valid)[0], names, splits) if valid is not None else None
+    try:
+        found = growth.grow(held, asked, [len(x) + 1 for x in splits], kinds, DEEPEST)
+    finally:
+        held.unpersist()
+        rows.unpersist()
+    nodes = {c: found[c].to_numpy() for c in found.column_names}
+    trees, counts = [], []
+    for i, ((name, _), kind) in enumerate(zip(specs, kinds)):
+        leaves, stats = _tree_of(nodes, i, kind)
+        trees.append(DeepTree(name, fold, leaves, None))
+        counts += _counts(i, stats)
+    return trees, pa.concat_tables(counts)
 
 
 def _column(counts: pa.Table, tree: int, valid: bool, size: int) -> np.ndarray:
@@ -157,20 +191,17 @@ def grid_search(spec_of: Callable[..., object], space: Mapping[str, Sequence], t
     The best is, among points within `tol` of the best mean, the one with the fewest leaves, then the best mean.
     """
     grid = [{"minInstancesPerNode": m, "impurity": i} for m in space["minInstancesPerNode"] for i in space["impurity"]]
-    scored: dict[tuple, list[float]] = {}
-    sizes: dict[tuple, int] = {}
-    for fold in range(n_folds + 1):
-        part = fold_parts(folds, fold) if fold else (train, None)
-        trees, counts = deep_trees(spec_of, grid, *part, fold)
+    def one(fold):
+        """Leaves of every point's tree (fold 0, all training rows) or its score on the fold."""
+        trees, counts = deep_trees(spec_of, grid, *(fold_parts(folds, fold) if fold else (train, None)), fold)
+        out = {}
         for i, (t, g) in enumerate(zip(trees, grid)):
-            size = len(t.leaves.leaf)
-            known, asked = (_column(counts, i, v, size) if fold else None for v in (False, True))
+            known, asked = (_column(counts, i, v, len(t.leaves.leaf)) if fold else None for v in (False, True))
             for depth in space["maxDepth"]:
-                key = (depth, g["minInstancesPerNode"], g["impurity"])
-                if not fold:
-                    sizes[key] = t.leaves.count(depth)
-                else:
-                    scored.setdefault(key, []).append(score_cut(t, depth, known, asked, task))
+                out[depth, g["minInstancesPerNode"], g["impurity"]] = score_cut(t, depth, known, asked, task) if fold else t.leaves.count(depth)
+        return out
+    sizes, *each = in_parallel(one, range(n_folds + 1))
+    scored = {k: [found[k] for found in each] for g in grid for depth in space["maxDepth"] for k in [(depth, g["minInstancesPerNode"], g["impurity"])]}
     out = [{"maxDepth": k[0], "minInstancesPerNode": k[1], "impurity": k[2], "mean_score": float(np.mean(v)), "sd_score": float(np.std(v, ddof=1)),
             "n_leaves": sizes[k]} for k, v in scored.items()]
     enough = max(r["mean_score"] for r in out) - tol
